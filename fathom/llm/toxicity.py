@@ -224,3 +224,18 @@ def score(docs: DataFrame, index: Index, evidence: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], names=["doc_id", "score", "evidence", "cosines"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, "doc_id long, score double, evidence array<long>, cosines array<double>")
+
+
+def reject(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all columns, that score under the threshold."""
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for lo, hi, data, bounds in blocks.chunks(batch.column(at)):
+                    whole, before, stems, stems_before = term_hashes(data, bounds)
+                    clean = [index.score(*index.vector(whole[before[k] : before[k + 1]], stems[stems_before[k] : stems_before[k + 1]]))[0] < threshold for k in range(hi - lo)]
+                    yield batch.slice(lo, hi - lo).filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
