@@ -28,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated byte runs are cut out, with what they leave of split characters; emptied documents go."""
     found = suffix.deduplicate(docs).where("n_removed = 0 or length(kept) > 0")
-    text = F.when(F.col("n_removed") == 0, F.decode("kept", F.lit("UTF-8"))).otherwise(_whole_characters(F.col("kept")))
+    text = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(_whole_characters(F.col("kept")))
     found = found.select(F.col("doc_id").alias("__id"), text.alias("__text")).dropDuplicates(["__id"])
     joined = docs.drop("text").join(found, F.col("doc_id").eqNullSafe(F.col("__id")))
     return joined.withColumn("text", F.col("__text")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)

@@ -95,7 +95,7 @@ sizes AS (SELECT DISTINCT size FROM k),
 g AS (SELECT doc_id, size, i, array_to_string(ws[i:i + size - 1], ' ') AS g
       FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, sizes WHERE len(ws) >= size)),
 h AS (SELECT doc_id, i, g.size, item_id FROM g JOIN k ON k.g = g.g AND k.size = g.size),
-hit AS (SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS at FROM h) GROUP BY doc_id),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM h) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items,
        sha256(coalesce(it.items, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
