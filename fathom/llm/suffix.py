@@ -12,11 +12,12 @@ within a shard of documents and then across shards, before anything is sorted.
 
 The pieces that remain are transformed shard by shard: positions in the order
 of their first ``CONTEXT`` bytes (a bounded-context Burrows-Wheeler transform),
-with the two bytes before each. ``merge`` then interleaves the transforms.
-Every round orders all positions by those two bytes, stably, which extends the
-sorted context by two bytes and carries the common prefix of neighbours along;
-no suffix is compared or sorted anew. After SIZE / 2 rounds, runs with a common
-prefix of SIZE are the repeated intervals.
+with the two bytes before each. ``merge`` interleaves the transforms: every
+round orders all positions by those two bytes, stably, which extends the sorted
+context by two. From ``MERGED`` bytes on only unsettled runs, whose neighbours
+still agree, are refined, by the place of the position one context further; so
+the common prefix doubles, and no suffix is compared or sorted anew. Runs with a
+common prefix of SIZE are the repeated intervals.
 
 Results for odd input: null or empty text has no bytes and no spans; texts
 shorter than SIZE lose nothing; rows with one doc_id and equal text stand at the
@@ -35,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .scratch import store, width
+from .scratch import width
 
 SIZE = 100
 GRAM = 32
 STEP = 2
-CONTEXT = 16
+CONTEXT = 8
+MERGED = 16
 COLLECTION = 4 << 20
 SHARDS_PER_PARTITION = 2
 _PLACE_BITS = np.uint64(28)
@@ -91,27 +93,39 @@ def transform(before: np.ndarray, positions: np.ndarray, last: np.ndarray) -> np
     return positions
 
 
-def merge(before: np.ndarray, last: np.ndarray, shards: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, common): all shards interleaved by their first SIZE bytes.
+def merge(before: np.ndarray, last: np.ndarray, shards: list[np.ndarray]) -> np.ndarray:
+    """The place of each position among all shards, interleaved by their first MERGED bytes; equal bytes, equal places.
 
     before has the two bytes that precede each position and last the position
-    two before it, both cyclic within a piece. common counts the bytes, in steps
-    of two and up to SIZE, that a position shares with the one listed before it.
+    two before it, both cyclic within a piece.
     """
     positions = np.concatenate(shards)
     block = np.zeros(len(positions), np.int32)
-    common = np.zeros(len(positions), np.int16)
-    for _ in range(SIZE // STEP):
+    for _ in range(MERGED // STEP):
         key = before[positions]
         order = np.argsort(key, kind="stable")
         key, block = key[order], block[order]
-        differs = (key[1:] != key[:-1]) | (block[1:] != block[:-1])
+        differs = np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
         positions = last[positions[order]]
-        common[1:] += ~differs * np.int16(STEP)
-        block = np.concatenate([[0], np.cumsum(differs, dtype=np.int32)]).astype(np.int32)
-        if differs.all():
-            break
-    return positions, common
+        block = np.cumsum(differs, dtype=np.int32)
+    place = np.empty(len(positions), np.int32)
+    place[positions] = np.flatnonzero(differs)[block - 1]
+    return place
+
+
+def refine(place: np.ndarray, wanted: np.ndarray, further: np.ndarray) -> None:
+    """Settle runs of equal place among wanted by the place of the further positions."""
+    alive = np.bincount(place[wanted], minlength=len(place))[place[wanted]] > 1
+    own, ahead = wanted[alive], further[alive]
+    key = place[own].astype(np.int64) << 32 | place[ahead]
+    order = np.argsort(key)
+    key, own = key[order], own[order]
+    if len(own):
+        run, sub = key >> 32, np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.concatenate([[True], run[1:] != run[:-1]])
+        count = np.arange(len(own))
+        shift = np.maximum.accumulate(np.where(sub, count, 0)) - np.maximum.accumulate(np.where(first, count, 0))
+        place[own] = (run + shift).astype(np.int32)
 
 
 def repeated_starts(contents: list[bytes], rank: np.ndarray, at: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
@@ -130,10 +144,15 @@ def repeated_starts(contents: list[bytes], rank: np.ndarray, at: np.ndarray, gro
     following = np.where(within + 1 < sizes[owner], np.arange(len(text)) + 1, first[owner])
     before = text[last].astype(np.uint16) << np.uint16(8) | text[following[last]]
     shards = [transform(before, np.flatnonzero(group[owner] == g).astype(np.int32), last) for g in np.unique(group)]
-    positions, common = merge(before, last, shards)
-    interval = np.cumsum(common < SIZE)
-    start = within[positions] <= sizes[owner[positions]] - STEP - SIZE
-    positions, interval = positions[start], interval[start]
+    interval = merge(before, last, shards)
+    room = sizes[owner] - STEP - within
+    every = np.arange(len(text))
+    for context, step in ((MERGED, MERGED), (2 * MERGED, 2 * MERGED), (4 * MERGED, SIZE - 4 * MERGED)):
+        fits = every[room >= context + step]
+        refine(interval, fits, fits + step)
+    positions = every[room >= SIZE]
+    positions = positions[np.argsort(interval[positions], kind="stable")]
+    interval = interval[positions]
     place = rank[owner[positions]].astype(np.int64) << 36 | (at[owner[positions]] + within[positions])
     heads = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
     earliest = np.repeat(np.minimum.reduceat(place, heads), np.diff(np.append(heads, len(place))))
@@ -173,8 +192,20 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(shard[own]), pa.array(keys[own])], names=["shard", "key"])
 
 
+def _covered(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Disjoint (document, start, end) that cover the same bytes."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    if not len(doc):
+        return doc, start, end
+    number = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
+    reach = np.maximum.accumulate(end + number * (1 << 40)) - number * (1 << 40)
+    heads = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (start[1:] > reach[:-1])]))
+    return doc[heads], start[heads], reach[np.append(heads[1:], len(doc)) - 1]
+
+
 def _shard_pieces(docs: pa.Table, replies: pa.Table) -> pa.Table:
-    """The shard's distinct pieces whose anchor is repeated; later equal ones come without content, as found."""
+    """The shard's distinct pieces whose anchor is repeated; what later equal ones cover comes without content."""
     wanted = np.sort(np.asarray(replies.column("key").combine_chunks()).view(np.uint64)) if replies.num_rows else np.zeros(0, np.uint64)
     columns: list[list] = [[np.zeros(0, np.int64)] for _ in range(6)]
     texts = []
@@ -185,19 +216,27 @@ def _shard_pieces(docs: pa.Table, replies: pa.Table) -> pa.Table:
             hit = wanted[rank] == key
             start, windows, key, doc = start[hit], windows[hit], key[hit], doc[hit]
             digest = blocks.span_hashes(data, start, start + windows + SIZE - 1)
-            for col, x in zip(columns, (blocks.signed(key), blocks.signed(digest), ids[doc], start - bounds[doc], windows, np.full(len(start), len(texts))), strict=True):
+            for col, x in zip(columns, (blocks.signed(key), blocks.signed(digest), ids[doc], start - bounds[doc], start, np.full(len(start), len(texts))), strict=True):
                 col.append(x)
-            texts.append((data, bounds[doc]))
-    key, digest, doc, at, windows, run = (np.concatenate(c) for c in columns)
-    base = np.concatenate([np.zeros(0, np.int64), *(b for _, b in texts)])
+            texts.append((data, windows))
+    key, digest, doc, at, start, run = (np.concatenate(c) for c in columns)
+    windows = np.concatenate([np.zeros(0, np.int64), *(w for _, w in texts)])
     order = np.lexsort((at, doc, digest))
     new = np.ones(len(order), bool)
     a, b = order[1:], order[:-1]
     new[1:] = (digest[a] != digest[b]) | (key[a] != key[b]) | (windows[a] != windows[b])
     head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
     keep = new | ((doc[order] == doc[head]) & (at[order] == at[head]))
-    contents = [texts[run[k]][0][base[k] + at[k] : base[k] + at[k] + windows[k] + SIZE - 1].tobytes() if own else None for k, own in zip(order, keep, strict=True)]
-    return pa.table({"key": key[order], "digest": digest[order], "content": pa.array(contents, pa.binary()), "doc_id": doc[order], "at": at[order], "windows": windows[order]})
+    own, later = order[keep], order[~keep]
+    spans = zip(run[own].tolist(), start[own].tolist(), (start[own] + windows[own] + SIZE - 1).tolist(), strict=True)
+    contents = [texts[r][0][x:y].tobytes() for r, x, y in spans]
+    local = _covered(doc[later], at[later], at[later] + windows[later] + SIZE - 1)
+    with np.errstate(over="ignore"):
+        spread = blocks.signed(blocks.mix(local[0].view(np.uint64)))
+    return pa.table({
+        "key": np.concatenate([key[own], spread]), "digest": np.concatenate([digest[own], np.zeros(len(spread), np.int64)]), "content": pa.array(contents + [None] * len(spread), pa.binary()),
+        "doc_id": np.concatenate([doc[own], local[0]]), "at": np.concatenate([at[own], local[1]]), "windows": np.concatenate([windows[own], local[2] - local[1] - SIZE + 1]),
+    })
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,6 +250,10 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not kept:
         return
     table = pa.Table.from_batches(kept).combine_chunks()
+    known = table.filter(table.column("content").is_null())
+    table = table.filter(table.column("content").is_valid())
+    start = np.asarray(known.column("at").combine_chunks())
+    out = [(np.asarray(known.column("doc_id").combine_chunks()), start, start + np.asarray(known.column("windows").combine_chunks()) + SIZE - 1)]
     key, digest, doc, at, windows = (np.asarray(table.column(c).combine_chunks()) for c in ("key", "digest", "doc_id", "at", "windows"))
     content = table.column("content").combine_chunks()
     order = np.lexsort((at, doc, digest, key))
@@ -218,7 +261,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same[1:] = (key[order][1:] == key[order][:-1]) & (digest[order][1:] == digest[order][:-1])
     head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
     later = order[(doc[order] > doc[head]) | (at[order] > at[head])]
-    out = [(doc[later], at[later], at[later] + windows[later] + SIZE - 1)]
+    out.append((doc[later], at[later], at[later] + windows[later] + SIZE - 1))
     lone = order[~same]
     heads = np.flatnonzero(np.concatenate([[True], key[lone][1:] != key[lone][:-1]])) if len(lone) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(heads, len(lone)))
@@ -238,7 +281,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if f.any():
                 a, b = _runs(f)
                 out.append((np.full(len(a), doc[k]), at[k] + a, at[k] + b + SIZE - 1))
-    doc, start, end = (np.concatenate(c) for c in zip(*out, strict=True))
+    doc, start, end = _covered(*(np.concatenate(c) for c in zip(*out, strict=True)))
     yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(end)], names=["doc_id", "start", "end"])
 
 
@@ -250,11 +293,8 @@ def repeated_bytes(named: DataFrame) -> DataFrame:
     anchors = by_shard.applyInArrow(_anchors, "shard long, key long, n long")
     replies = anchors.repartition(width(spark), "key").mapInArrow(_repeated, "shard long, key long")
     pieces = by_shard.cogroup(replies.groupBy("shard")).applyInArrow(_shard_pieces, _PIECE)
-    # Copies within a shard stay behind an earlier piece: their windows are found without meeting the others.
-    pieces = store(pieces, "pieces")
-    local = pieces.where("content is null").select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("windows") + SIZE - 1).alias("end"))
-    met = pieces.where("content is not null").repartition(width(spark), "key").mapInArrow(_found, "doc_id long, start long, end long")
-    return local.union(met).select(shard_of(F.col("doc_id"), shards), "doc_id", "start", "end")
+    met = pieces.repartition(width(spark), "key").mapInArrow(_found, "doc_id long, start long, end long")
+    return met.select(shard_of(F.col("doc_id"), shards), "doc_id", "start", "end")
 
 
 def shard_of(doc_id, shards: int):
