@@ -8,9 +8,15 @@ at most 2 * (1 - s**WIDE)**HALVES: 2.2e-4 at 0.75, 6e-6 at 0.8, 3e-8 at 0.85.
 
 Every link is confirmed on the full shingle sets. Equal sets form one class
 before any banding, so exact copies cost one aggregation. In each table bucket
-documents are first tried against one centre (a star, linear in the bucket);
-whatever a bucket still holds in different components is then compared
-exhaustively, so a bucket loses no link between its members.
+documents are first tried against one centre (a star, linear in the bucket), the
+member with the fewest shingles of its own. Documents that mixed buckets still
+hold in different components are then compared exhaustively in blocks of at most
+``BLOCK`` x ``BLOCK`` sets, each block pair a group of its own, which emits links
+that join components, never pairs as such. Documents that cannot reach the
+similarity are left out first: shingles that no other candidate has lie outside
+every intersection, so with u of those, n shingles and m = min(n_x - u_x,
+n_y - u_y), the similarity is at most m / (m + u_x + u_y). The bound is exact,
+so a bucket loses no link between its members.
 
 Results for odd input: null, empty or blank text has an empty set, is linked
 with nothing and is its own component; repeated rows each get a result row; a
@@ -35,6 +41,7 @@ from .scratch import store
 SHINGLE = 5
 WIDE = 4
 HALVES = 24
+BLOCK = 512
 _SEED = np.random.Generator(np.random.PCG64(7))
 _ODD = (_SEED.integers(0, 2**31, 2 * HALVES * WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _XOR = _SEED.integers(0, 2**32, 2 * HALVES * WIDE, dtype=np.uint32)[:, None]
@@ -145,6 +152,52 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.col("n") * 100 >= percent * (F.size("a") + F.size("b") - F.col("n"))).select("x", "y")
 
 
+def _block_links(clusters: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) that join different labels among all documents of each cluster, found block pair by block pair."""
+    counts = clusters.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    dealt = clusters.join(counts, "label").select(F.col("v").alias("doc"), F.col("label").alias("cluster"), "blocks", F.pmod(F.xxhash64("v"), "blocks").alias("own"))
+    dealt = dealt.join(labels.select(F.col("v").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    dealt = dealt.join(sets, "doc").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "label", "shingles")
+
+    def join(table: pa.Table) -> pa.Table:
+        doc, label = (np.asarray(table.column(c).combine_chunks()) for c in ("doc", "label"))
+        lists = table.column("shingles").combine_chunks()
+        sizes = np.diff(np.asarray(lists.offsets))
+        values = np.asarray(lists.flatten())
+        terms, back = np.unique(values, return_inverse=True)
+        row = np.repeat(np.arange(len(doc)), sizes)
+        shared = np.bincount(back, minlength=len(terms)) > 1
+        place = (np.cumsum(shared) - 1)[back]
+        row, place = row[shared[back]], place[shared[back]]
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        both = np.zeros((len(doc), len(doc)), np.float32)
+        for lo in range(0, int(shared.sum()), 2048):
+            a, b = np.searchsorted(place, [lo, lo + 2048])
+            part = np.zeros((len(doc), 2048), np.float32)
+            part[row[a:b], place[a:b] - lo] = 1
+            both += part @ part.T
+        joined = (100 + percent) * both.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :])
+        joined &= label[:, None] != label[None, :]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for x, y in zip(*np.nonzero(np.triu(joined, 1)), strict=True):
+            a, b = root(int(label[x])), root(int(label[y]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((min(doc[x], doc[y]), max(doc[x], doc[y])))
+        return pa.table({"x": pa.array([p[0] for p in out], pa.int64()), "y": pa.array([p[1] for p in out], pa.int64())})
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(join, "x long, y long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -158,25 +211,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = keys.join(shared, "key", "left_semi")
     sides = keys.groupBy("doc").agg(F.collect_list(F.when(~F.col("second"), F.col("key"))).alias("a"), F.collect_list(F.when(F.col("second"), F.col("key"))).alias("b"))
     tables = sides.select("doc", F.explode("a").alias("a"), "b").select("doc", "a", F.explode("b").alias("b")).select("doc", F.xxhash64("a", "b").alias("bucket"))
-    centres = tables.groupBy("bucket").agg(F.min("doc").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = store(tables.join(centres, "bucket"), "buckets")
+    full = tables.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    buckets = store(tables.join(full, "bucket", "left_semi"), "buckets")
 
-    tried = buckets.where("doc > centre").groupBy("doc", "centre").agg(F.count("*").alias("n"))
-    tried = tried.groupBy("doc").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("x")).select("x", F.col("doc").alias("y"))
-    tried = store(tried, "tried")
     members = buckets.select("doc").distinct()
     sets = store(named.where("doc_id is not null").join(members, named.doc_id == members.doc, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc long, shingles array<long>"), "sets")
+    lone = sets.select("doc", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.max("doc").alias("doc")).where("n = 1").groupBy("doc").agg(F.count("*").alias("own"))
+    sized = store(sets.select("doc", F.size("shingles").alias("size")).join(lone, "doc", "left").select("doc", F.coalesce("own", F.lit(0)).alias("own"), (F.col("size") - F.coalesce("own", F.lit(0))).alias("open")), "sizes")
+    placed = buckets.join(sized, "doc")
+    can_link = f"{100 - percent} * least({{0}}open, {{1}}open) >= {percent} * ({{0}}own + {{1}}own)"
+
+    centres = placed.groupBy("bucket").agg(F.min(F.struct("own", "doc", "open")).alias("c")).select("bucket", F.col("c.doc").alias("centre"), F.col("c.own").alias("cown"), F.col("c.open").alias("copen"))
+    tried = placed.join(centres, "bucket").where("doc <> centre").where(can_link.format("", "c")).groupBy("doc", "centre").agg(F.count("*").alias("n"))
+    tried = tried.groupBy("doc").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre")).select(F.least("doc", "centre").alias("x"), F.greatest("doc", "centre").alias("y")).distinct()
+    tried = store(tried, "tried")
     links = store(_confirmed(tried, sets, percent), "confirmed")
 
     first = components(links)
-    sized = sets.select("doc", F.size("shingles").alias("size"))
-    placed = buckets.select("bucket", "doc").join(first.withColumnRenamed("v", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("label", "doc").alias("label"))
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    placed = placed.join(mixed, "bucket", "left_semi").join(sized, "doc")
-    left, right = (placed.select("bucket", F.col("doc").alias(d), F.col("label").alias(f"l{d}"), F.col("size").alias(f"n{d}")) for d in "xy")
-    apart = left.join(right, "bucket").where("x < y and lx <> ly").where(f"nx * 100 >= {percent} * ny and ny * 100 >= {percent} * nx")
-    rest = apart.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti")
-    late = store(_confirmed(rest, sets, percent), "late")
+    placed = placed.join(first.withColumnRenamed("v", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("own").alias("least")).where("lo < hi").select("bucket", "least")
+    placed = placed.join(mixed, "bucket").where(f"{100 - percent} * open >= {percent} * (own + least)")
+    heads = placed.groupBy("bucket").agg(F.min("doc").alias("x"))
+    spokes = store(placed.join(heads, "bucket").where("doc <> x").select("x", F.col("doc").alias("y")).distinct(), "spokes")
+    late = store(_block_links(components(spokes), first, sets, percent), "late")
     if late.isEmpty():
         labels = first
     else:
