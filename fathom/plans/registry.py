@@ -1,10 +1,499 @@
-"""Every registered query and its SQL twin."""
+"""Every registered query of the lifecycle and verification operators, with its SQL twin."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import reputation, scalars, udfs
+from ..operators import analytics, lifecycle, simulation
+from ..sources import logs
+from ..sources import tables as T
+from . import rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(twin: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if twin:
+            SQL[f.__name__] = twin
+        return f
+
+    return register
+
+
+def _longs(*values: int):
+    return F.array(*(F.lit(v).cast("bigint") for v in values))
+
+
+def _tier(standing: str) -> str:
+    return f"CASE WHEN {standing} >= 0 THEN 0 WHEN {standing} >= -8 THEN 1 WHEN {standing} >= -31 THEN 2 WHEN {standing} >= -63 THEN 3 ELSE 4 END"
+
+
+_DELTA = "CASE detail WHEN 'Ok' THEN 1 WHEN 'FidelityBelowThreshold' THEN -8 WHEN 'IntegrityViolation' THEN -32 WHEN 'CommitmentMismatch' THEN -64 ELSE 0 END"
+_VERDICT_CTE = f"v AS ({T.VERDICTS}), n AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY seq) AS rn FROM v), f AS (SELECT worker, rn, seq, detail, 0 AS before, greatest(-128, least(0, {_DELTA})) AS after FROM n WHERE rn = 1 UNION ALL SELECT n.worker, n.rn, n.seq, n.detail, f.after, greatest(-128, least(0, f.after + {_DELTA.replace('detail', 'n.detail')})) FROM f JOIN n ON n.worker = f.worker AND n.rn = f.rn + 1)"
+_SHARE = "CASE tier WHEN 0 THEN 0.02 WHEN 1 THEN 0.10 WHEN 2 THEN 0.25 ELSE 1.0 END::DOUBLE"
+
+
+# Reputation ---------------------------------------------------------------------------------------------------------------------------
+@query(f"WITH RECURSIVE {_VERDICT_CTE}, l AS (SELECT worker, rn AS verdicts, after AS standing FROM f QUALIFY row_number() OVER (PARTITION BY worker ORDER BY rn DESC) = 1) SELECT worker, verdicts, standing::INT AS standing, ({_tier('standing')})::INT AS tier FROM l")
+def rep_standing(spark, d):
+    out = lifecycle.standings(T.derived(spark, d, T.VERDICTS))
+    return out.withColumn("tier", reputation.tier_of(F.col("standing")))
+
+
+@query(f"WITH RECURSIVE {_VERDICT_CTE} SELECT worker, seq, detail, before::INT AS before, after::INT AS after, ({_tier('before')})::INT AS tier_before, ({_tier('after')})::INT AS tier_after FROM f")
+def rep_trajectory(spark, d):
+    out = lifecycle.trajectories(T.derived(spark, d, T.VERDICTS))
+    return out.withColumn("tier_before", reputation.tier_of(F.col("before"))).withColumn("tier_after", reputation.tier_of(F.col("after")))
+
+
+@query(f"WITH s AS (SELECT -(user_id % 140)::BIGINT AS standing, event_id % 33 AS n FROM events), t AS (SELECT DISTINCT standing, n, {_tier('standing')} AS tier FROM s) SELECT standing, n, tier::INT AS tier, {_SHARE} AS share, least(n, ceil({_SHARE} * n)::BIGINT) AS challenges, tier < 3 AS eligible FROM t")
+def tier_sampling(spark, d):
+    s = T.table(spark, d, "events").select((-(F.col("user_id") % 140)).alias("standing"), (F.col("event_id") % 33).alias("n")).distinct()
+    tier = reputation.tier_of(F.col("standing"))
+    share = reputation.share_for(tier)
+    return s.select("standing", "n", tier.alias("tier"), share.alias("share"), reputation.challenge_count(share, F.col("n")).alias("challenges"), reputation.eligible(tier).alias("eligible"))
+
+
+@query(f"SELECT detail, count(*) AS n, any_value(({_DELTA})::INT) AS delta, any_value(greatest(-128, least(0, -100 + {_DELTA}))::INT) AS after FROM ({T.VERDICTS}) GROUP BY detail")
+def verdict_deltas(spark, d):
+    by = T.derived(spark, d, T.VERDICTS).groupBy("detail").agg(F.count("*").alias("n"))
+    return by.select("detail", "n", reputation.verdict_delta(F.col("detail")).cast("int").alias("delta"), reputation.after_verdict(F.lit(-100), F.col("detail")).cast("int").alias("after"))
+
+
+# Lifecycle ----------------------------------------------------------------------------------------------------------------------------
+def _duck_rules(alias_state: str, alias_event: str) -> dict[str, str]:
+    swap = lambda t: t.replace("s.", f"{alias_state}.").replace("e.", f"{alias_event}.")
+    return {k: swap(v) for k, v in (rules.NEXT | {"error": rules.ERROR, "actions": rules.ACTIONS}).items()}
+
+
+def _fold_cte() -> str:
+    r = _duck_rules("s", "e")
+    first = ", ".join(f"{rules.START[k]} AS {k}" for k in rules.FIELDS)
+    step = ", ".join(f"{r[k]} AS {k}" for k in (*rules.FIELDS, "error", "actions"))
+    return f"ev AS ({T.TASK_EVENTS}), n AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY seq) AS rn FROM ev), f AS (SELECT task, 0::BIGINT AS rn, 0::BIGINT AS seq, '' AS event, '' AS was, {first}, NULL::VARCHAR AS error, '' AS actions FROM (SELECT DISTINCT task FROM n) UNION ALL SELECT e.task, e.rn, e.seq, e.event, s.status AS was, {step} FROM f s JOIN n e ON e.task = s.task AND e.rn = s.rn + 1)"
+
+
+_FOLD = _fold_cte()
+
+
+def _replayed(spark, d):
+    return lifecycle.replay(T.derived(spark, d, T.TASK_EVENTS))
+
+
+@query(f"WITH RECURSIVE {_FOLD} SELECT task, status, holder, epoch, deadline, epoch_hw, retries FROM f QUALIFY row_number() OVER (PARTITION BY task ORDER BY rn DESC) = 1")
+def fsm_state(spark, d):
+    return lifecycle.final_states(T.derived(spark, d, T.TASK_EVENTS))
+
+
+@query(f"WITH RECURSIVE {_FOLD} SELECT task, seq, event, was, error FROM f WHERE error IS NOT NULL")
+def fsm_rejections(spark, d):
+    return _replayed(spark, d).where("error is not null").select("task", "seq", "event", "was", "error")
+
+
+@query(f"WITH RECURSIVE {_FOLD} SELECT task, seq, i - 1 AS place, split_part(actions, ',', i::INT) AS action FROM (SELECT task, seq, actions, unnest(range(1, len(string_split(actions, ',')) + 1)) AS i FROM f WHERE actions <> '')")
+def fsm_actions(spark, d):
+    rows = _replayed(spark, d).where("actions <> ''").select("task", "seq", F.posexplode(F.split("actions", ",")).alias("place", "action"))
+    return rows.withColumn("place", F.col("place").cast("bigint"))
+
+
+@query(f"WITH RECURSIVE {_FOLD} SELECT event, was AS state, status AS next, coalesce(error, 'Ok') AS outcome, count(*) AS n FROM f WHERE rn > 0 GROUP BY ALL")
+def fsm_transitions(spark, d):
+    return _replayed(spark, d).groupBy("event", F.col("was").alias("state"), F.col("status").alias("next"), F.coalesce("error", F.lit("Ok")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH RECURSIVE {_FOLD} SELECT error, count(*) AS n FROM f WHERE event = 'Submit' AND error IN ('StaleEpoch', 'WrongHolder') GROUP BY error")
+def zombie_rejections(spark, d):
+    return _replayed(spark, d).where("event = 'Submit' and error in ('StaleEpoch', 'WrongHolder')").groupBy("error").agg(F.count("*").alias("n"))
+
+
+_LEASED = f"WITH RECURSIVE {_FOLD}, l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY task ORDER BY rn DESC) = 1)"
+
+
+@query(f"{_LEASED} SELECT task, holder, epoch, deadline FROM l WHERE status = 'Leased'")
+def leases_current(spark, d):
+    return lifecycle.final_states(T.derived(spark, d, T.TASK_EVENTS)).where("status = 'Leased'").select("task", "holder", "epoch", "deadline")
+
+
+@query(f"{_LEASED} SELECT task, deadline, row_number() OVER (ORDER BY task) AS place FROM l WHERE status = 'Leased' AND (SELECT max(event_id) FROM events) * 0.98 >= deadline")
+def leases_expired(spark, d):
+    now = T.table(spark, d, "events").agg((F.max("event_id") * 0.98).alias("now"))
+    due = leases_current(spark, d).crossJoin(F.broadcast(now)).where(scalars.expired(F.col("now"), F.col("deadline")))
+    return due.select("task", "deadline", F.row_number().over(Window.orderBy("task")).cast("bigint").alias("place"))
+
+
+@query(f"{_LEASED} SELECT holder, count(*) AS in_flight FROM l WHERE status IN ('Leased', 'Submitted', 'Verifying') GROUP BY holder")
+def in_flight(spark, d):
+    states = lifecycle.final_states(T.derived(spark, d, T.TASK_EVENTS))
+    return states.where(F.col("status").isin("Leased", "Submitted", "Verifying")).groupBy("holder").agg(F.count("*").alias("in_flight"))
+
+
+@query(f"WITH RECURSIVE {_FOLD} SELECT count(*) FILTER (error = 'StaleEpoch') AS zombies_rejected, count(*) FILTER (actions = 'NotifyAccepted') AS released, count(*) FILTER (actions = 'NotifyAccepted') - count(DISTINCT task) FILTER (actions = 'NotifyAccepted') AS double_outputs, count(*) FILTER (event = 'Lease' AND error IS NULL) AS epoch_advances FROM f")
+def chaos_report(spark, d):
+    accepted = F.col("actions") == "NotifyAccepted"
+    return _replayed(spark, d).agg(F.count_if(F.col("error") == "StaleEpoch").alias("zombies_rejected"), F.count_if(accepted).alias("released"), (F.count_if(accepted) - F.count_distinct(F.when(accepted, F.col("task")))).alias("double_outputs"), F.count_if((F.col("event") == "Lease") & F.col("error").isNull()).alias("epoch_advances"))
+
+
+@query(f"WITH RECURSIVE {_FOLD} SELECT task, arg_max(seq, seq) AS seq, max(deadline) AS deadline FROM f WHERE event IN ('Lease', 'Heartbeat') AND error IS NULL GROUP BY task")
+def heartbeat_extensions(spark, d):
+    return _replayed(spark, d).where("event in ('Lease', 'Heartbeat') and error is null").groupBy("task").agg(F.max("seq").alias("seq"), F.max("deadline").alias("deadline"))
+
+
+# Queue and placement ------------------------------------------------------------------------------------------------------------------
+@query(f"SELECT task, priority, enqueued, row_number() OVER (PARTITION BY priority ORDER BY enqueued, seq) AS place FROM ({T.READY})")
+def ready_order(spark, d):
+    order = Window.partitionBy("priority").orderBy("enqueued", "seq")
+    return T.derived(spark, d, T.READY_SPARK).select("task", "priority", "enqueued", F.row_number().over(order).cast("bigint").alias("place"))
+
+
+@query(f"WITH t AS (SELECT unnest([4000, 8000, 20000]::BIGINT[]) AS now), a AS (SELECT now, task, enqueued, priority + greatest(now - enqueued, 0) // 1000 AS aged FROM ({T.READY}), t) SELECT now, task, aged FROM a QUALIFY row_number() OVER (PARTITION BY now ORDER BY aged DESC, enqueued, task) = 1")
+def aged_next_task(spark, d):
+    ticks = T.derived(spark, d, T.READY_SPARK).withColumn("now", F.explode(F.array(*(F.lit(t).cast("bigint") for t in (4000, 8000, 20000)))))
+    aged = ticks.withColumn("aged", scalars.aged_priority(F.col("priority"), F.col("enqueued"), F.col("now")))
+    best = aged.groupBy("now").agg(F.max_by(F.struct("task", "aged"), F.struct("aged", -F.col("enqueued"), -F.col("task"))).alias("b"))
+    return best.select("now", "b.task", "b.aged")
+
+
+@query(f"SELECT worker FROM ({T.WORKERS}) WHERE tier < 3 AND in_flight < 4 AND greatest(60 - last_heartbeat, 0) <= 45 ORDER BY in_flight, ewma DESC, worker LIMIT 1")
+def least_loaded_worker(spark, d):
+    return analytics.least_loaded(T.derived(spark, d, T.WORKERS), 60, 45, 4)
+
+
+@query(f"SELECT w.worker, w.in_flight, coalesce(c.tier, 0)::INT AS tier FROM ({T.WORKERS}) w LEFT JOIN (SELECT s_suppkey AS worker, (s_suppkey % 5)::INT AS tier FROM supplier WHERE s_suppkey % 3 = 0) c ON c.worker = w.worker")
+def cached_tiers(spark, d):
+    cache = T.table(spark, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("worker"), (F.col("s_suppkey") % 5).cast("int").alias("tier"))
+    return T.derived(spark, d, T.WORKERS).drop("tier").join(cache, "worker", "left").select("worker", "in_flight", F.coalesce("tier", F.lit(0)).alias("tier"))
+
+
+@query("WITH w AS (SELECT l_suppkey AS worker, l_shipdate, l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice) AS rn FROM lineitem), l AS (SELECT worker, list(l_quantity ORDER BY rn) AS q FROM w GROUP BY worker) SELECT worker, round(list_reduce(q, lambda a, x: 0.3::DOUBLE * x + 0.7::DOUBLE * a, 0.0::DOUBLE), 6) AS ewma FROM l")
+def ewma_throughput(spark, d):
+    rows = T.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("worker")).agg(F.sort_array(F.collect_list(F.struct("l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"))).alias("q"))
+    return rows.select("worker", F.round(scalars.ewma_series(F.transform("q", lambda r: r.l_quantity)), 6).alias("ewma"))
+
+
+@query("WITH n AS (SELECT unnest(range(1, 65)) AS n) SELECT n, n::DOUBLE AS target, greatest(1, ceil(n::DOUBLE / n))::BIGINT + 1 AS worker_cap, greatest(1, ceil(n::DOUBLE))::BIGINT * 4 AS queue_cap, 2 * n + 4 AS round_trips FROM n")
+def sizing_caps(spark, d):
+    n = spark.range(1, 65).withColumnRenamed("id", "n")
+    target = scalars.in_flight_target(F.col("n") / scalars.SERVICE_SECONDS, F.lit(scalars.SERVICE_SECONDS))
+    target = F.round(target, 9)
+    return n.select("n", target.alias("target"), scalars.worker_cap(target, F.col("n")).alias("worker_cap"), scalars.queue_cap(target).alias("queue_cap"), (2 * F.col("n") + 4).alias("round_trips"))
+
+
+@query("WITH g AS (SELECT n, m FROM (SELECT unnest([1, 4, 16, 64]) AS n), (SELECT unnest([1, 2, 4, 8]) AS m)) SELECT n::BIGINT AS n, m::BIGINT AS m, round(0.02 * 1.66 * n / m, 6)::DOUBLE AS utilisation, round(least(1.0, m / (1.66 * n)), 6)::DOUBLE AS saturating_share FROM g")
+def verifier_capacity(spark, d):
+    grid = spark.range(1).select(F.explode(_longs(1, 4, 16, 64)).alias("n")).withColumn("m", F.explode(_longs(1, 2, 4, 8)))
+    return grid.select("n", "m", F.round(F.lit(0.02 * 1.66) * F.col("n") / F.col("m"), 6).alias("utilisation"), F.round(F.least(F.lit(1.0), F.col("m") / (F.lit(1.66) * F.col("n"))), 6).alias("saturating_share"))
+
+
+@query()
+def admission_shed(spark, d):
+    """Admission against a bounded queue that drains at a fixed rate: per-tick offered, admitted, shed and depth."""
+    return simulation.admission(T.table(spark, d, "events").select("event_id", "event_type"))
+
+
+@query()
+def saturation_summary(spark, d):
+    return simulation.saturation_summary(admission_shed(spark, d))
+
+
+@query()
+def dispatch_plan(spark, d):
+    """Greedy placement of the most urgent tasks on workers, least loaded first."""
+    ready = T.derived(spark, d, T.READY_SPARK)
+    return simulation.dispatch(ready, T.derived(spark, d, T.WORKERS), cap=8, now=60, window=45)
+
+
+# Telemetry ----------------------------------------------------------------------------------------------------------------------------
+@query(f"SELECT event, task, ts_ns FROM ({T.LIFECYCLE}) WHERE task % 17 <> 0")
+def parse_events(spark, d):
+    rows = T.derived(spark, d, T.LIFECYCLE_SPARK)
+    broken = F.col("task") % 17 == 0
+    lines = rows.select(F.when(broken, F.concat_ws(",", "event", "task", "ts_ns", F.lit("x"))).otherwise(F.concat_ws(" , ", "event", "task", "ts_ns")).alias("value"))
+    return logs.parse_events(lines)
+
+
+@query("SELECT event_type AS event, count(*) AS n FROM events GROUP BY event_type")
+def event_counts(spark, d):
+    return T.derived(spark, d, T.LIFECYCLE_SPARK).groupBy("event").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT task, string_agg(event, ',' ORDER BY ts_ns, event) AS events, count(*) AS n FROM ({T.LIFECYCLE}) GROUP BY task")
+def merge_by_task(spark, d):
+    merged = T.derived(spark, d, T.LIFECYCLE_SPARK).groupBy("task").agg(F.sort_array(F.collect_list(F.struct("ts_ns", "event"))).alias("log"))
+    return merged.select("task", F.array_join(F.transform("log", lambda r: r.event), ",").alias("events"), F.size("log").cast("bigint").alias("n"))
+
+
+_LATENCY = f"SELECT task, b - a AS latency_ns FROM (SELECT task, min(ts_ns) FILTER (event = 'signup') AS a, min(ts_ns) FILTER (event = 'purchase') AS b FROM ({T.LIFECYCLE}) GROUP BY task) WHERE a IS NOT NULL AND b >= a"
+
+
+@query(_LATENCY)
+def stage_latency(spark, d):
+    return analytics.stage_latency(T.derived(spark, d, T.LIFECYCLE_SPARK), "signup", "purchase")
+
+
+@query(f"SELECT count(*) AS count, min(latency_ns) AS min_ns, quantile_disc(latency_ns, 0.5)::BIGINT AS p50, quantile_disc(latency_ns, 0.99)::BIGINT AS p99, quantile_disc(latency_ns, 0.999)::BIGINT AS p999, max(latency_ns) AS max_ns, round(avg(latency_ns), 0) AS mean_ns FROM ({_LATENCY})")
+def stage_percentiles(spark, d):
+    return analytics.percentiles(stage_latency(spark, d), "latency_ns").withColumn("mean_ns", F.round("mean_ns", 0))
+
+
+@query("WITH r AS (SELECT l_returnflag AS flag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) SELECT flag, v AS value FROM r WHERE k = round(0.99 * (n - 1))")
+def nearest_rank_percentiles(spark, d):
+    return analytics.nearest_rank(T.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("v")), "v", 0.99, "flag")
+
+
+@query("WITH v AS (SELECT event_id, (value * 100)::BIGINT AS v FROM events), f AS (SELECT event_id, v FROM v UNION ALL SELECT event_id, unnest(range(v - 500, 499, -500)) FROM v WHERE v >= 1000) SELECT count(*) AS count, sum(v)::BIGINT AS total, max(v) AS most FROM f")
+def co_backfill(spark, d):
+    v = T.table(spark, d, "events").select("event_id", F.round(F.col("value") * 100).cast("bigint").alias("v"))
+    return analytics.back_fill(v, "v", 500).agg(F.count("*").alias("count"), F.sum("v").alias("total"), F.max("v").alias("most"))
+
+
+@query("SELECT event_type AS event, count(*) AS n, round((count(*) - 1) / (epoch(max(ts)) - epoch(min(ts))), 6) AS rate FROM events GROUP BY event_type")
+def achieved_rate(spark, d):
+    seconds = F.expr("timestampdiff(MICROSECOND, min(ts), max(ts)) / 1e6D")
+    return T.table(spark, d, "events").groupBy(F.col("event_type").alias("event")).agg(F.count("*").alias("n"), seconds.alias("span")).select("event", "n", F.round((F.col("n") - 1) / F.col("span"), 6).alias("rate"))
+
+
+@query("SELECT i AS slot, (i * 1000000000 // 404)::BIGINT AS intended_ns FROM range(6061) t(i)")
+def open_loop_schedule(spark, d):
+    return spark.range(6061).select(F.col("id").alias("slot"), F.expr("id * 1000000000 div 404").alias("intended_ns"))
+
+
+@query("SELECT l_returnflag AS segment, l_linestatus AS op, count(*) AS n, round(sum(l_quantity), 3) AS total FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), ())")
+def throughput_rollup(spark, d):
+    lines = T.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("segment"), F.col("l_linestatus").alias("op"), "l_quantity")
+    return lines.groupingSets([["segment", "op"], []], "segment", "op").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 3).alias("total"))
+
+
+# Addressing and commitments -----------------------------------------------------------------------------------------------------------
+@query("SELECT doc_id, substr(sha256(text), 1, 32) AS address, sha256('\\x00'::BLOB || unhex(sha256(text))) AS commitment FROM documents")
+def content_address(spark, d):
+    payload = F.col("text").cast("binary")
+    return T.table(spark, d, "documents").select("doc_id", scalars.content_address(payload).alias("address"), scalars.commitment_of_one(payload).alias("commitment"))
+
+
+@query("SELECT substr(sha256(text), 1, 32) AS address, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
+def blob_dedup(spark, d):
+    return T.table(spark, d, "documents").groupBy(scalars.content_address(F.col("text").cast("binary")).alias("address")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+
+
+_BLOBS = "b AS (SELECT doc_id, substr(sha256(text), 1, 32) AS address, sha256('\\x00'::BLOB || unhex(sha256(text))) AS c FROM documents)"
+
+
+def _blobs(spark, d):
+    payload = F.col("text").cast("binary")
+    return T.table(spark, d, "documents").select("doc_id", scalars.content_address(payload).alias("address"), scalars.commitment_of_one(payload).alias("c"))
+
+
+@query(f"WITH {_BLOBS}, s AS (SELECT doc_id AS task, CASE WHEN doc_id % 11 = 0 THEN 'missing' ELSE address END AS output, CASE WHEN doc_id % 7 = 0 THEN repeat('0', 64) ELSE c END AS submitted FROM b), u AS (SELECT DISTINCT address, c FROM b) SELECT task, CASE WHEN u.c IS NULL THEN 'Inconclusive' WHEN u.c <> submitted THEN 'CommitmentMismatch' ELSE 'Ok' END AS detail FROM s LEFT JOIN u ON u.address = s.output")
+def binding_check(spark, d):
+    blobs = _blobs(spark, d)
+    sent = blobs.select(F.col("doc_id").alias("task"), F.when(F.col("doc_id") % 11 == 0, "missing").otherwise(F.col("address")).alias("output"), F.when(F.col("doc_id") % 7 == 0, F.lit("0" * 64)).otherwise(F.col("c")).alias("submitted"))
+    held = blobs.select(F.col("address").alias("output"), "c").distinct()
+    detail = F.when(F.col("c").isNull(), "Inconclusive").when(F.col("c") != F.col("submitted"), "CommitmentMismatch").otherwise("Ok")
+    return sent.join(held, "output", "left").select("task", detail.alias("detail"))
+
+
+@query("WITH t AS (SELECT conv_id, turn, text, CASE WHEN conv_id % 5 = 0 AND turn = 1 THEN 'x' ELSE substr(sha256(text), 1, 32) END AS declared FROM conversations) SELECT conv_id, CASE WHEN bool_and(substr(sha256(text), 1, 32) = declared) THEN 'Ok' ELSE 'IntegrityViolation' END AS detail, min(turn) FILTER (substr(sha256(text), 1, 32) <> declared) AS first_bad FROM t GROUP BY conv_id")
+def stitch_integrity(spark, d):
+    address = scalars.content_address(F.col("text").cast("binary"))
+    inputs = T.table(spark, d, "conversations").withColumn("bad", (F.col("conv_id") % 5 == 0) & (F.col("turn") == 1))
+    inputs = inputs.withColumn("declared", F.when(F.col("bad"), "x").otherwise(address))
+    return inputs.groupBy("conv_id").agg(F.when(F.every(address == F.col("declared")), "Ok").otherwise("IntegrityViolation").alias("detail"), F.min(F.when(address != F.col("declared"), F.col("turn"))).alias("first_bad"))
+
+
+@query(f"WITH {_BLOBS} SELECT count(DISTINCT address) AS released, count(DISTINCT address) FILTER (doc_id % 2 = 0) AS confirmed FROM b")
+def release_confirm(spark, d):
+    blobs = _blobs(spark, d)
+    fetched = blobs.where("doc_id % 2 = 0").select("address", "c").distinct()
+    released = blobs.select("address", "c").distinct()
+    both = released.join(fetched.withColumn("seen", F.lit(True)), ["address", "c"], "left")
+    return both.agg(F.count("*").alias("released"), F.count_if(F.col("seen")).alias("confirmed"))
+
+
+_LEVELS = "l AS (SELECT source AS job, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, sha256('\\x00'::BLOB || unhex(sha256(text))) AS h FROM documents), n AS (SELECT job, count(*) AS n, 2 ** ceil(log2(count(*)))::INT AS w FROM l GROUP BY job), p AS (SELECT job, i, h FROM l UNION ALL SELECT job, unnest(range(n, w::BIGINT)), repeat('0', 64) FROM n), t(d, job, i, h) AS (SELECT 0, job, i, h FROM p UNION ALL SELECT d + 1, job, i // 2, sha256('\\x01'::BLOB || unhex(h) || unhex(r)) FROM (SELECT d, job, i, h, lead(h) OVER (PARTITION BY d, job ORDER BY i) AS r FROM t) WHERE i % 2 = 0 AND r IS NOT NULL)"
+
+
+def _job_leaves(spark, d):
+    docs = T.table(spark, d, "documents").groupBy(F.col("source").alias("job")).agg(F.sort_array(F.collect_list(F.struct("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("leaf")))).alias("rows"))
+    return docs.select("job", F.transform("rows", lambda r: r.leaf).alias("leaves"))
+
+
+@query(f"WITH RECURSIVE {_LEVELS} SELECT t.job, any_value(n.n) AS leaves, arg_max(h, d) AS root FROM t JOIN n ON n.job = t.job GROUP BY t.job")
+def merkle_root(spark, d):
+    return _job_leaves(spark, d).select("job", F.size("leaves").cast("bigint").alias("leaves"), scalars.merkle_root(F.col("leaves")).alias("root"))
+
+
+@query(f"WITH RECURSIVE {_LEVELS} SELECT job, d::BIGINT AS depth, h AS sibling FROM t WHERE i = xor((4 >> d)::BIGINT, 1::BIGINT) AND d < (SELECT max(d) FROM t t2 WHERE t2.job = t.job)")
+def merkle_proof(spark, d):
+    levels = _job_leaves(spark, d).select("job", scalars.merkle_levels(F.col("leaves")).alias("levels"))
+    path = levels.select("job", F.posexplode(scalars.merkle_proof(F.col("levels"), F.lit(4))).alias("depth", "sibling"))
+    return path.select("job", F.col("depth").cast("bigint").alias("depth"), F.lower(F.hex("sibling")).alias("sibling"))
+
+
+@query("SELECT source AS job, true AS opened, false AS relabelled, false AS tampered FROM documents GROUP BY source HAVING count(*) > 5")
+def reveal_verify(spark, d):
+    jobs = _job_leaves(spark, d).where("size(leaves) > 5").withColumn("levels", scalars.merkle_levels(F.col("leaves"))).withColumn("root", scalars.merkle_root(F.col("leaves")))
+    jobs = jobs.withColumn("proof", scalars.merkle_proof(F.col("levels"), F.lit(2)))
+    leaf = F.get("leaves", F.lit(2))
+    check = lambda leaf, i: scalars.proof_holds(F.col("root"), leaf, F.lit(i), F.col("proof"))
+    return jobs.select("job", check(leaf, 2).alias("opened"), check(leaf, 5).alias("relabelled"), check(F.get("leaves", F.lit(3)), 2).alias("tampered"))
+
+
+@query("SELECT doc_id, true AS opened, false AS other_segment, false AS short_input, 28 + strlen(text)::BIGINT AS sealed_bytes FROM documents")
+def aead_roundtrip(spark, d):
+    key = F.unhex(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256))
+    iv = F.substring(F.unhex(F.sha2(F.concat(F.lit("n"), F.col("doc_id").cast("string")).cast("binary"), 256)), 1, 12)
+    aad = lambda segment: scalars.associated_data(F.col("doc_id"), segment, F.lit(1))
+    sealed = F.aes_encrypt(F.col("text").cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), iv, aad(F.lit(2).cast("bigint")))
+    rows = T.table(spark, d, "documents").withColumn("sealed", sealed)
+    opened = lambda s, seg: F.try_aes_decrypt(s, key, F.lit("GCM"), F.lit("DEFAULT"), aad(F.lit(seg).cast("bigint")))
+    return rows.select("doc_id", (opened(F.col("sealed"), 2) == F.col("text").cast("binary")).alias("opened"), opened(F.col("sealed"), 3).isNotNull().alias("other_segment"), (F.length("sealed") < 28).alias("short_input"), F.length("sealed").cast("bigint").alias("sealed_bytes"))
+
+
+# Fidelity -----------------------------------------------------------------------------------------------------------------------------
+_SSIM = "WITH p AS (SELECT vec_id, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings), q AS (SELECT vec_id, i, greatest(0, least(255, round((e::DOUBLE + 1) * 127.5)))::DOUBLE AS v FROM p), s AS (SELECT a.vec_id, avg(a.v) AS mx, avg(b.v) AS my, var_samp(a.v) AS vx, var_samp(b.v) AS vy, covar_samp(a.v, b.v) AS c FROM q a JOIN q b ON b.vec_id = a.vec_id + 1 AND b.i = a.i GROUP BY a.vec_id), r AS (SELECT vec_id, ((2 * mx * my + 6.5025) * (2 * c + 58.5225)) / ((mx * mx + my * my + 6.5025) * (vx + vy + 58.5225)) AS ssim FROM s)"
+
+
+def _frame_pairs(spark, d):
+    luma = F.transform("embedding", lambda e: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round((e.cast("double") + 1) * 127.5))))
+    frames = T.table(spark, d, "embeddings").select("vec_id", luma.alias("a"))
+    after = frames.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
+    return frames.join(after, "vec_id").withColumn("w", F.lit(8)).withColumn("h", F.lit(8))
+
+
+@query(f"{_SSIM} SELECT vec_id, round(ssim, 6) AS ssim FROM r")
+def ssim_pairs(spark, d):
+    return analytics.mean_similarity(_frame_pairs(spark, d), "vec_id").select("vec_id", F.round("mssim", 6).alias("ssim"))
+
+
+@query(f"{_SSIM} SELECT vec_id // 8 AS segment, round(min(ssim), 6) AS worst FROM r GROUP BY 1")
+def segment_min_ssim(spark, d):
+    return analytics.mean_similarity(_frame_pairs(spark, d), "vec_id").groupBy(F.expr("vec_id div 8").alias("segment")).agg(F.round(F.min("mssim"), 6).alias("worst"))
+
+
+@query(f"{_SSIM}, m AS (SELECT vec_id // 8 AS segment, min(ssim) AS worst FROM r GROUP BY 1), z AS (SELECT DISTINCT vec_id // 8 AS segment FROM embeddings) SELECT z.segment, CASE WHEN z.segment % 9 = 0 THEN 'CommitmentMismatch' WHEN worst IS NULL THEN 'Inconclusive' WHEN worst >= 0.05 THEN 'Ok' ELSE 'FidelityBelowThreshold' END AS detail, CASE WHEN z.segment % 9 <> 0 THEN round(worst, 6) END AS score FROM z LEFT JOIN m ON m.segment = z.segment")
+def verdicts(spark, d):
+    segments = T.table(spark, d, "embeddings").select(F.expr("vec_id div 8").alias("segment")).distinct()
+    scored = analytics.mean_similarity(_frame_pairs(spark, d), "vec_id").groupBy(F.expr("vec_id div 8").alias("segment")).agg(F.min("mssim").alias("worst"))
+    bound = F.col("segment") % 9 != 0
+    detail = F.when(~bound, "CommitmentMismatch").when(F.col("worst").isNull(), "Inconclusive").when(F.col("worst") >= 0.05, "Ok").otherwise("FidelityBelowThreshold")
+    return segments.join(scored, "segment", "left").select("segment", detail.alias("detail"), F.when(bound, F.round("worst", 6)).alias("score"))
+
+
+@query()
+def challenge_positions(spark, d):
+    """Sampled frame numbers of each segment from its seed."""
+    seeds = T.table(spark, d, "embeddings").select(F.expr("vec_id div 8").alias("segment")).distinct()
+    drawn = seeds.withColumn("fraction", F.explode(udfs.sample_fractions(3)("segment")))
+    return drawn.select("segment", "fraction", F.least(F.floor(F.col("fraction") * 8), F.lit(7)).alias("frame"))
+
+
+# Error rates --------------------------------------------------------------------------------------------------------------------------
+_CAL = f"s AS (SELECT * FROM ({T.SCORES}) WHERE part = 'calibration')"
+_SWEEP = f"{_CAL}, dd AS (SELECT DISTINCT score FROM s), th AS (SELECT (score + lag(score) OVER (ORDER BY score)) / 2 AS t FROM dd UNION ALL SELECT min(score) - 1e-6 FROM dd UNION ALL SELECT max(score) + 1e-6 FROM dd), sw AS (SELECT t, count(*) FILTER (class = 'attack' AND score >= t) AS fa, count(*) FILTER (class = 'attack') AS a, count(*) FILTER (class = 'honest' AND score < t) AS fr, count(*) FILTER (class = 'honest') AS h FROM th, s WHERE t IS NOT NULL GROUP BY t)"
+
+
+def _scores(spark, d, part: str | None = None):
+    rows = T.derived(spark, d, T.SCORES)
+    return rows if part is None else rows.where(F.col("part") == part)
+
+
+@query(f"WITH {_SWEEP} SELECT round(t, 6) AS threshold FROM sw")
+def roc_thresholds(spark, d):
+    return analytics.candidate_thresholds(_scores(spark, d, "calibration")).select(F.round("threshold", 6).alias("threshold"))
+
+
+@query(f"WITH {_SWEEP} SELECT round(t, 6) AS threshold, fa AS false_accepts, a AS attacks, fr AS false_rejects, h AS honest, round(fa / a, 6) AS far, round(fr / h, 6) AS frr FROM sw")
+def roc_sweep(spark, d):
+    swept = analytics.sweep(_scores(spark, d, "calibration"))
+    return swept.select(F.round("threshold", 6).alias("threshold"), "false_accepts", "attacks", "false_rejects", "honest", F.round("far", 6).alias("far"), F.round("frr", 6).alias("frr"))
+
+
+@query(f"WITH {_SWEEP} SELECT round(t, 6) AS threshold, round(1 - fr / h - fa / a, 6) AS j FROM sw ORDER BY round(1 - fr / h - fa / a, 9) DESC, t DESC LIMIT 1")
+def youden_threshold(spark, d):
+    best = analytics.youden(analytics.sweep(_scores(spark, d, "calibration")))
+    return best.select(F.round("threshold", 6).alias("threshold"), F.round("j", 6).alias("j"))
+
+
+@query(f"SELECT count(*) FILTER (class = 'attack') AS attacks, count(*) FILTER (class = 'attack' AND score >= 0.5) AS false_accepts, count(*) FILTER (class = 'honest') AS honest, count(*) FILTER (class = 'honest' AND score < 0.5) AS false_rejects, round(count(*) FILTER (class = 'attack' AND score >= 0.5) / count(*) FILTER (class = 'attack'), 6) AS far, round(count(*) FILTER (class = 'honest' AND score < 0.5) / count(*) FILTER (class = 'honest'), 6) AS frr FROM ({T.SCORES}) WHERE part = 'held_out'")
+def heldout_rates(spark, d):
+    return analytics.error_rates(_scores(spark, d, "held_out"), F.lit(0.5)).withColumn("far", F.round("far", 6)).withColumn("frr", F.round("frr", 6))
+
+
+@query(f"SELECT stratum, count(*) FILTER (class = 'honest') AS honest, count(*) FILTER (class = 'honest' AND score < 0.5) AS false_rejects FROM ({T.SCORES}) WHERE part = 'held_out' GROUP BY stratum")
+def stratum_frr(spark, d):
+    return analytics.error_rates(_scores(spark, d, "held_out"), F.lit(0.5), "stratum").select("stratum", "honest", "false_rejects")
+
+
+@query(f"WITH s AS ({T.SCORES}) SELECT count(*) = 0 AS disjoint_parts FROM s a JOIN s b ON a.segment = b.segment AND a.stratum = b.stratum AND a.part = 'calibration' AND b.part = 'held_out'")
+def partition_disjoint(spark, d):
+    shared = _scores(spark, d, "calibration").join(_scores(spark, d, "held_out"), ["stratum", "segment", "class"], "left_semi")
+    return shared.agg((F.count("*") == 0).alias("disjoint_parts"))
+
+
+@query()
+def clopper_pearson(spark, d):
+    """Exact 95 % intervals of the false-reject rate by stratum."""
+    rates = stratum_frr(spark, d)
+    return rates.withColumn("ci", udfs.binomial_interval()("false_rejects", "honest")).select("stratum", "honest", "false_rejects", F.round("ci.low", 6).alias("low"), F.round("ci.high", 6).alias("high"))
+
+
+# Detection ----------------------------------------------------------------------------------------------------------------------------
+#: The published grid.
+_TIERS, _SIZES, _SHARES = (("Pristine", 0.02), ("Watch", 0.10), ("Suspect", 0.25)), (4, 8, 16, 32, 64), tuple(k / 8 for k in range(1, 9)) + (0.05,)
+_GRID = "g AS (SELECT t.tier, t.p, n, f, least(n, ceil(f * n))::BIGINT AS m, least(n, ceil(t.p * n))::BIGINT AS k FROM (VALUES ('Pristine', 0.02::DOUBLE), ('Watch', 0.10::DOUBLE), ('Suspect', 0.25::DOUBLE)) t(tier, p), (SELECT unnest([4, 8, 16, 32, 64]::BIGINT[]) AS n), (SELECT unnest([0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1.0, 0.05]::DOUBLE[]) AS f)), h AS (SELECT *, 1 - greatest(0, list_reduce(range(k), lambda a, i: a * ((n - m - i) / (n - i)::DOUBLE), 1.0::DOUBLE)) AS hyper, 1 - (1 - p) ** m AS binom FROM g)"
+
+
+def _grid(spark):
+    tiers = spark.createDataFrame(list(_TIERS), "tier string, p double")
+    grid = tiers.withColumn("n", F.explode(F.array(*map(F.lit, _SIZES)))).withColumn("f", F.explode(F.array(*map(F.lit, _SHARES)))).withColumn("n", F.col("n").cast("bigint"))
+    grid = grid.withColumn("m", reputation.challenge_count(F.col("f"), F.col("n"))).withColumn("k", reputation.challenge_count(F.col("p"), F.col("n")))
+    return grid.withColumn("hyper", scalars.detect_hypergeometric(F.col("n"), F.col("m"), F.col("k"))).withColumn("binom", scalars.detect_binomial(F.col("p"), F.col("m")))
+
+
+@query(f"WITH {_GRID} SELECT tier, p, n, f, m, k, round(hyper, 6) AS p_detect FROM h")
+def detection_family(spark, d):
+    return _grid(spark).select("tier", "p", "n", "f", "m", "k", F.round("hyper", 6).alias("p_detect"))
+
+
+@query(f"WITH {_GRID} SELECT tier, n, f, round(binom - hyper, 6) + 0.0 AS divergence FROM h")
+def detection_divergence(spark, d):
+    return _grid(spark).select("tier", "n", "f", (F.round(F.col("binom") - F.col("hyper"), 6) + 0.0).alias("divergence"))
+
+
+@query(f"WITH {_GRID}, r AS (SELECT stratum AS class, count(*) FILTER (class = 'attack' AND score >= 0.5) / count(*) FILTER (class = 'attack')::DOUBLE AS far FROM ({T.SCORES}) GROUP BY stratum) SELECT r.class, tier, n, f, round(hyper * (1 - far), 6) AS p_effective FROM h, r")
+def effective_detection(spark, d):
+    far = analytics.error_rates(_scores(spark, d), F.lit(0.5), "stratum").select(F.col("stratum").alias("class"), "far")
+    return _grid(spark).crossJoin(F.broadcast(far)).select("class", "tier", "n", "f", F.round(F.col("hyper") * (1 - F.col("far")), 6).alias("p_effective"))
+
+
+@query("WITH u AS (SELECT event_id, user_id % 3 AS tier, ('0x' || substr(sha256('gate:' || event_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM events) SELECT event_id, u < CASE tier WHEN 0 THEN 0.02 WHEN 1 THEN 0.10 ELSE 0.25 END AS sampled FROM u")
+def sample_gate(spark, d):
+    rows = T.table(spark, d, "events").select("event_id", (F.col("user_id") % 3).cast("int").alias("tier"))
+    return rows.select("event_id", (scalars.uniform(F.concat(F.lit("gate:"), F.col("event_id").cast("string")).cast("binary")) < reputation.share_for(F.col("tier"))).alias("sampled"))
+
+
+@query("WITH t AS (SELECT trial, slot, sha256('mc:' || trial || ':' || slot) AS u FROM range(2000) a(trial), range(16) b(slot)), r AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY u) AS k FROM t), c AS (SELECT trial, bool_or(slot < 4 AND k <= 4) AS caught FROM r GROUP BY trial) SELECT count(*) FILTER (caught) AS caught, count(*) AS trials FROM c")
+def mc_detection(spark, d):
+    slots = spark.range(2000).select(F.col("id").alias("trial"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("slot"))
+    key = F.sha2(F.concat(F.lit("mc:"), F.col("trial").cast("string"), F.lit(":"), F.col("slot").cast("string")).cast("binary"), 256)
+    ranked = slots.withColumn("k", F.row_number().over(Window.partitionBy("trial").orderBy(key)))
+    caught = ranked.groupBy("trial").agg(F.max((F.col("slot") < 4) & (F.col("k") <= 4)).alias("caught"))
+    return caught.agg(F.count_if("caught").alias("caught"), F.count("*").alias("trials"))
+
+
+@query()
+def escalation(spark, d):
+    """Cheating workers under the sampling policy until banned: one row per seed and job."""
+    return simulation.escalation(spark, seeds=200, jobs=40, share=0.5, slots=16)
+
+
+@query()
+def escalation_summary(spark, d):
+    return simulation.escalation_summary(escalation(spark, d))
