@@ -467,7 +467,7 @@ def detection_divergence(spark, d):
     return _grid(spark).select("tier", "n", "f", (F.round(F.col("binom") - F.col("hyper"), 6) + 0.0).alias("divergence"))
 
 
-@query(f"WITH {_GRID}, r AS (SELECT stratum AS class, count(*) FILTER (class = 'attack' AND score >= 0.5) / count(*) FILTER (class = 'attack')::DOUBLE AS far FROM ({T.SCORES}) GROUP BY stratum) SELECT r.class, tier, n, f, round(hyper * (1 - far), 6) AS p_effective FROM h, r")
+@query(f"WITH {_GRID}, r AS (SELECT stratum AS class, count(*) FILTER (class = 'attack' AND score >= 0.5) / nullif(count(*) FILTER (class = 'attack'), 0)::DOUBLE AS far FROM ({T.SCORES}) GROUP BY stratum) SELECT r.class, tier, n, f, round(hyper * (1 - far), 6) AS p_effective FROM h, r")
 def effective_detection(spark, d):
     far = analytics.error_rates(_scores(spark, d), F.lit(0.5), "stratum").select(F.col("stratum").alias("class"), "far")
     return _grid(spark).crossJoin(F.broadcast(far)).select("class", "tier", "n", "f", F.round(F.col("hyper") * (1 - F.col("far")), 6).alias("p_effective"))
