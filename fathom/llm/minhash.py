@@ -7,12 +7,12 @@ HALVES**2 tables cost 2 * HALVES * WIDE minhashes rather than
 at most 2 * (1 - s**WIDE)**HALVES: 2.2e-4 at 0.75, 6e-6 at 0.8, 3e-8 at 0.85.
 
 Every link is confirmed on the full shingle sets. Equal sets form one class
-before any banding, so exact copies cost one aggregation. In each table bucket
-documents are first tried against one centre (a star, linear in the bucket), the
-member with the fewest shingles of its own. Documents that mixed buckets still
-hold in different components are then compared exhaustively in blocks of at most
-``BLOCK`` x ``BLOCK`` sets, each block pair a group of its own, which emits links
-that join components, never pairs as such. Documents that cannot reach the
+before any banding, so exact copies cost one aggregation. Each table
+bucket has one centre (a star, linear in the bucket), the member with the fewest
+shingles of its own; a document is tried against the ``TRIES`` centres it meets
+most often, in turn. Components that mixed buckets still hold are then compared
+exhaustively in blocks of about ``BLOCK`` x ``BLOCK`` sets, each block pair a
+group of its own, which emits links that join components, never pairs as such. Documents that cannot reach the
 similarity are left out first: shingles that no other candidate has lie outside
 every intersection, so with u of those, n shingles and m = min(n_x - u_x,
 n_y - u_y), the similarity is at most m / (m + u_x + u_y). The bound is exact,
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ SHINGLE = 5
 WIDE = 4
 HALVES = 24
 BLOCK = 512
+#: Centres that a document is tried against in turn before buckets are compared in full.
+TRIES = 3
 _SEED = np.random.Generator(np.random.PCG64(7))
 _ODD = (_SEED.integers(0, 2**31, 2 * HALVES * WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _XOR = _SEED.integers(0, 2**32, 2 * HALVES * WIDE, dtype=np.uint32)[:, None]
@@ -152,12 +155,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.col("n") * 100 >= percent * (F.size("a") + F.size("b") - F.col("n"))).select("x", "y")
 
 
-def _block_links(clusters: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (x, y) that join different labels among all documents of each cluster, found block pair by block pair."""
-    counts = clusters.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    dealt = clusters.join(counts, "label").select(F.col("v").alias("doc"), F.col("label").alias("cluster"), "blocks", F.pmod(F.xxhash64("v"), "blocks").alias("own"))
-    dealt = dealt.join(labels.select(F.col("v").alias("doc"), "label"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    dealt = dealt.join(sets, "doc").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+def _block_links(clusters: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) that join different labels among the documents of each cluster of labels, found block pair by block pair.
+
+    placed has doc, label, own and open; clusters (v, label) has the cluster of a
+    label. The label with most documents of a cluster has blocks of its own,
+    which are compared with the other labels' blocks but not with each other.
+    """
+    members = placed.join(clusters.select(F.col("v").alias("label"), F.col("label").alias("cluster")), "label")
+    by = members.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.min("own").alias("own"))
+    sized = by.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"), F.min(F.struct("own", "label")).alias("least"))
+    second = by.join(sized.select("cluster", "least"), "cluster").where("label <> least.label").groupBy("cluster").agg(F.min("own").alias("second"))
+    sized = sized.join(second, "cluster").select("cluster", "main", "least", "second", F.ceil(F.col("most") / BLOCK).cast("long").alias("a"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("long").alias("b"))
+    dealt = members.join(sized, "cluster").withColumn("other", F.expr("if(label = least.label, second, least.own)"))
+    dealt = dealt.where(f"{100 - percent} * open >= {percent} * (own + other)").withColumn("own", F.expr("if(label = main, pmod(xxhash64(doc), a), a + pmod(xxhash64(doc), b))"))
+    dealt = dealt.select("doc", "label", "cluster", "own", F.expr("if(label = main, sequence(a, a + b - 1), sequence(0L, a + b - 1))").alias("others"))
+    dealt = dealt.join(sets, "doc").withColumn("other", F.explode("others"))
     dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "label", "shingles")
 
     def join(table: pa.Table) -> pa.Table:
@@ -223,17 +236,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     centres = placed.groupBy("bucket").agg(F.min(F.struct("own", "doc", "open")).alias("c")).select("bucket", F.col("c.doc").alias("centre"), F.col("c.own").alias("cown"), F.col("c.open").alias("copen"))
     tried = placed.join(centres, "bucket").where("doc <> centre").where(can_link.format("", "c")).groupBy("doc", "centre").agg(F.count("*").alias("n"))
-    tried = tried.groupBy("doc").agg(F.max_by("centre", F.struct("n", -F.col("centre"))).alias("centre")).select(F.least("doc", "centre").alias("x"), F.greatest("doc", "centre").alias("y")).distinct()
-    tried = store(tried, "tried")
-    links = store(_confirmed(tried, sets, percent), "confirmed")
+    best = F.slice(F.sort_array(F.collect_list(F.struct("n", (-F.col("centre")).alias("back"))), False), 1, TRIES)
+    waiting = store(tried.groupBy("doc").agg(best.alias("best")), "tried")
+    found = []
+    for k in range(TRIES):
+        own = waiting.where(F.size("best") > k).select("doc", (-F.get("best", F.lit(k)).getField("back")).alias("centre"))
+        own = own.select("doc", F.least("doc", "centre").alias("x"), F.greatest("doc", "centre").alias("y"))
+        found.append(store(_confirmed(own.select("x", "y").distinct(), sets, percent), "confirmed"))
+        waiting = waiting.join(own.join(found[-1], ["x", "y"], "left_semi").select("doc"), "doc", "left_anti")
+    links = reduce(DataFrame.union, found)
 
     first = components(links)
-    placed = placed.join(first.withColumnRenamed("v", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    mixed = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("own").alias("least")).where("lo < hi").select("bucket", "least")
-    placed = placed.join(mixed, "bucket").where(f"{100 - percent} * open >= {percent} * (own + least)")
-    heads = placed.groupBy("bucket").agg(F.min("doc").alias("x"))
-    spokes = store(placed.join(heads, "bucket").where("doc <> x").select("x", F.col("doc").alias("y")).distinct(), "spokes")
-    late = store(_block_links(components(spokes), first, sets, percent), "late")
+    named_by = first.withColumnRenamed("v", "doc")
+    placed = placed.join(named_by, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    held = placed.groupBy("bucket", "label").agg(F.min("own").alias("own"), F.max(F.expr(f"{100 - percent} * open - {percent} * own")).alias("reach"))
+    mixed = held.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("own").alias("least")).where("lo < hi").select("bucket", "least")
+    held = store(held.join(mixed, "bucket").where(f"reach >= {percent} * least").select("bucket", "label"), "held")
+    heads = held.groupBy("bucket").agg(F.min("label").alias("x"))
+    spokes = store(held.join(heads, "bucket").where("label <> x").select("x", F.col("label").alias("y")).distinct(), "spokes")
+    labelled = sized.join(named_by, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    late = store(_block_links(components(spokes), labelled, sets, percent), "late")
     if late.isEmpty():
         labels = first
     else:
