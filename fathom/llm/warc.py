@@ -133,7 +133,9 @@ class WarcReader(DataSourceReader):
         names = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(root)) if x.base_name.endswith((".warc", ".warc.gz")))
         return [_Range(f"{self.path}/{name}", 0, -1) for name in names]
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def read(self, partition: _Range | None) -> Iterator[tuple]:
+        if partition is None:  # an archive without records has no partitions
+            return
         fs, path = _place(partition.path)
         with fs.open_input_file(path) as raw:
             source = io.BufferedReader(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw, 1 << 20)
