@@ -43,7 +43,7 @@ GRAM = 32
 STEP = 2
 CONTEXT = 8
 MERGED = 16
-COLLECTION = 4 << 20
+COLLECTION = 1 << 20
 SHARDS_PER_PARTITION = 2
 _PLACE_BITS = np.uint64(28)
 _PIECE = "key long, digest long, content binary, doc_id long, at long, windows long"
