@@ -9,6 +9,9 @@ windows with one anchor travel as one piece of text. Equal windows have equal
 anchors, so they meet in the same group. Anchors that occur once in the corpus
 are dropped on count alone, and equal pieces collapse to the earliest, first
 within a shard of documents and then across shards, before anything is sorted.
+An anchor of more than ``HOT`` pieces is split further: its distinct pieces go
+as hashes of single windows, dealt by anchor and window, so the most frequent
+passage is no group of its own and only equal windows meet.
 
 The pieces that remain are transformed shard by shard: positions in the order
 of their first ``CONTEXT`` bytes (a bounded-context Burrows-Wheeler transform),
@@ -32,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +48,8 @@ STEP = 2
 CONTEXT = 8
 MERGED = 16
 COLLECTION = 1 << 20
+#: Pieces of one anchor that surely fit a collection.
+HOT = COLLECTION // (2 * SIZE - GRAM + 1)
 SHARDS_PER_PARTITION = 2
 _PLACE_BITS = np.uint64(28)
 _PIECE = "key long, digest long, content binary, doc_id long, at long, windows long"
@@ -179,7 +185,7 @@ def _anchors(table: pa.Table) -> pa.Table:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows dealt by key: those whose key counts twice or more. A key has a row for each shard at most."""
+    """Of rows dealt by key: those whose key counts twice or more, and whether it is hot. A key has a row for each shard at most."""
     kept = list(batches)
     if not kept:
         return
@@ -187,9 +193,9 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, n, shard = (np.asarray(table.column(c).combine_chunks()) for c in ("key", "n", "shard"))
     order = np.argsort(keys, kind="stable")
     heads = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-    many = np.repeat(np.add.reduceat(n[order], heads) > 1, np.diff(np.append(heads, len(order))))
-    own = order[many]
-    yield pa.RecordBatch.from_arrays([pa.array(shard[own]), pa.array(keys[own])], names=["shard", "key"])
+    total = np.repeat(np.add.reduceat(n[order], heads), np.diff(np.append(heads, len(order))))
+    own = order[total > 1]
+    yield pa.RecordBatch.from_arrays([pa.array(shard[own]), pa.array(keys[own]), pa.array(total[total > 1] > HOT)], names=["shard", "key", "hot"])
 
 
 def _covered(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,9 +210,36 @@ def _covered(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return doc[heads], start[heads], reach[np.append(heads[1:], len(doc)) - 1]
 
 
+def _collapsed(doc: np.ndarray, at: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries that agree in all of same: (the earliest, those that start later)."""
+    order = np.lexsort((at, doc, *same))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in same], axis=0)
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+    return order[new], order[(doc[order] != doc[head]) | (at[order] != at[head])]
+
+
+def _windows(key: np.ndarray, doc: np.ndarray, at: np.ndarray, start: np.ndarray, windows: np.ndarray, run: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(key, digest, document, at) of every window of the given pieces; the key joins anchor and window."""
+    piece = np.repeat(np.arange(len(key)), windows)
+    step = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
+    digest = np.zeros(len(piece), np.uint64)
+    for r in np.unique(run):
+        own = np.flatnonzero(run[piece] == r)
+        first = start[piece[own]] + step[own]
+        digest[own] = blocks.span_hashes(texts[r], first, first + SIZE)
+    return blocks.signed(blocks.mix(key.view(np.uint64)[piece] ^ blocks.mix(digest))), blocks.signed(digest), doc[piece], at[piece] + step
+
+
 def _shard_pieces(docs: pa.Table, replies: pa.Table) -> pa.Table:
-    """The shard's distinct pieces whose anchor is repeated; what later equal ones cover comes without content."""
-    wanted = np.sort(np.asarray(replies.column("key").combine_chunks()).view(np.uint64)) if replies.num_rows else np.zeros(0, np.uint64)
+    """The shard's distinct pieces whose anchor is repeated, those of hot anchors as windows with empty content.
+
+    What later equal ones cover comes without content.
+    """
+    wanted, hot = np.zeros(0, np.uint64), np.zeros(0, bool)
+    if replies.num_rows:
+        wanted, hot = np.asarray(replies.column("key").combine_chunks()).view(np.uint64), np.asarray(replies.column("hot").combine_chunks().cast(pa.uint8())).astype(bool)
+        wanted, hot = wanted[np.argsort(wanted)], hot[np.argsort(wanted)]
     columns: list[list] = [[np.zeros(0, np.int64)] for _ in range(6)]
     texts = []
     with np.errstate(over="ignore"):
@@ -221,21 +254,23 @@ def _shard_pieces(docs: pa.Table, replies: pa.Table) -> pa.Table:
             texts.append((data, windows))
     key, digest, doc, at, start, run = (np.concatenate(c) for c in columns)
     windows = np.concatenate([np.zeros(0, np.int64), *(w for _, w in texts)])
-    order = np.lexsort((at, doc, digest))
-    new = np.ones(len(order), bool)
-    a, b = order[1:], order[:-1]
-    new[1:] = (digest[a] != digest[b]) | (key[a] != key[b]) | (windows[a] != windows[b])
-    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
-    keep = new | ((doc[order] == doc[head]) & (at[order] == at[head]))
-    own, later = order[keep], order[~keep]
+    own, later = _collapsed(doc, at, windows, key, digest)
+    split = hot[np.searchsorted(wanted, key[own].view(np.uint64))] if len(own) else np.zeros(0, bool)
+    known = [(doc[later], at[later], at[later] + windows[later] + SIZE - 1)]
+    with np.errstate(over="ignore"):
+        many = _windows(*(x[own[split]] for x in (key, doc, at, start, windows, run)), [data for data, _ in texts])
+    first, later = _collapsed(many[2], many[3], many[0], many[1])
+    known.append((many[2][later], many[3][later], many[3][later] + SIZE))
+    many, own = [x[first] for x in many], own[~split]
     spans = zip(run[own].tolist(), start[own].tolist(), (start[own] + windows[own] + SIZE - 1).tolist(), strict=True)
     contents = [texts[r][0][x:y].tobytes() for r, x, y in spans]
-    local = _covered(doc[later], at[later], at[later] + windows[later] + SIZE - 1)
+    local = _covered(*(np.concatenate(c) for c in zip(*known, strict=True)))
     with np.errstate(over="ignore"):
         spread = blocks.signed(blocks.mix(local[0].view(np.uint64)))
     return pa.table({
-        "key": np.concatenate([key[own], spread]), "digest": np.concatenate([digest[own], np.zeros(len(spread), np.int64)]), "content": pa.array(contents + [None] * len(spread), pa.binary()),
-        "doc_id": np.concatenate([doc[own], local[0]]), "at": np.concatenate([at[own], local[1]]), "windows": np.concatenate([windows[own], local[2] - local[1] - SIZE + 1]),
+        "key": np.concatenate([key[own], many[0], spread]), "digest": np.concatenate([digest[own], many[1], np.zeros(len(spread), np.int64)]),
+        "content": pa.array(contents + [b""] * len(first) + [None] * len(spread), pa.binary()), "doc_id": np.concatenate([doc[own], many[2], local[0]]),
+        "at": np.concatenate([at[own], many[3], local[1]]), "windows": np.concatenate([windows[own], np.ones(len(first), np.int64), local[2] - local[1] - SIZE + 1]),
     })
 
 
@@ -263,6 +298,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     later = order[(doc[order] > doc[head]) | (at[order] > at[head])]
     out.append((doc[later], at[later], at[later] + windows[later] + SIZE - 1))
     lone = order[~same]
+    lone = lone[np.asarray(pc.binary_length(content))[lone] > 0]
     heads = np.flatnonzero(np.concatenate([[True], key[lone][1:] != key[lone][:-1]])) if len(lone) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(heads, len(lone)))
     groups = [(h, s) for h, s in zip(heads.tolist(), sizes.tolist(), strict=True) if s > 1]
@@ -291,7 +327,7 @@ def repeated_bytes(named: DataFrame) -> DataFrame:
     shards = SHARDS_PER_PARTITION * width(spark)
     by_shard = named.groupBy("shard")
     anchors = by_shard.applyInArrow(_anchors, "shard long, key long, n long")
-    replies = anchors.repartition(width(spark), "key").mapInArrow(_repeated, "shard long, key long")
+    replies = anchors.repartition(width(spark), "key").mapInArrow(_repeated, "shard long, key long, hot boolean")
     pieces = by_shard.cogroup(replies.groupBy("shard")).applyInArrow(_shard_pieces, _PIECE)
     met = pieces.repartition(width(spark), "key").mapInArrow(_found, "doc_id long, start long, end long")
     return met.select(shard_of(F.col("doc_id"), shards), "doc_id", "start", "end")
