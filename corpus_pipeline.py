@@ -2,6 +2,11 @@
 
 Stages take (spark, docs, sf_dir) and return documents; between stages ``run``
 writes Parquet into the shared folder and reads it again.
+
+Decisions are made by row, not by doc_id. Rows without an id, and texts of an id
+beyond its first (by a hash of the text), are documents of their own, which come
+after all rows with an id of their own. Repeated rows, equal in id and text, are
+exact copies.
 """
 
 from __future__ import annotations
@@ -19,19 +24,38 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs, index)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with __row: doc_id where it names one text, else a number beyond all ids; rows equal in id and text share it."""
+    pairs = store(docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash")).distinct(), "pairs")
+    firsts = pairs.where("__id is not null").groupBy("__id").agg(F.min("__hash").alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    further = pairs.join(firsts, "__id").where("__hash > __first").select("__id", "__hash").union(pairs.where("__id is null"))
+    beyond = (pairs.agg(F.max("__id")).first()[0] or 0) + 1
+    numbers = further.orderBy(F.col("__id").asc_nulls_last(), "__hash").withColumn("__new", F.monotonically_increasing_id() + F.lit(beyond))
+    numbers = store(numbers, "rows")
+    if numbers.isEmpty():
+        return docs.withColumn("__row", F.col("doc_id").cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    return docs.join(numbers, same, "left").select(*docs.columns, F.coalesce("__new", F.col("doc_id").cast("long")).alias("__row"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest doc_id."""
-    others = minhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    found = store(minhash.near_duplicates(keyed, "__row").select(F.col("doc_id").alias("__row"), "n_shingles", "kept"), "verdicts")
+    kept = keyed.join(found.where("not kept").select("__row"), "__row", "left_anti")
+    again = found.where("kept and n_shingles > 0").groupBy("__row").agg(F.count("*").alias("n")).where("n > 1").select("__row")
+    again = store(again, "again")
+    if not again.isEmpty():
+        kept = kept.join(again, "__row", "left_anti").unionByName(kept.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
+    return kept.select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated byte runs are cut out, with what they leave of split characters; emptied documents go."""
-    found = suffix.deduplicate(docs).where("n_removed = 0 or length(kept) > 0")
+    found = suffix.deduplicate(docs, carry=True).where("n_removed = 0 or length(kept) > 0")
     text = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(_whole_characters(F.col("kept")))
-    found = found.select(F.col("doc_id").alias("__id"), text.alias("__text")).dropDuplicates(["__id"])
-    joined = docs.drop("text").join(found, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("text", F.col("__text")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    joined = found.select("row.*", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    return joined.select(*docs.columns)
 
 
 def _whole_characters(raw):
@@ -44,8 +68,10 @@ def _whole_characters(raw):
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    hit = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated and doc_id is not null").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    named = keyed.select(F.col("__row").alias("doc_id"), "text")
+    hit = decontam.decontaminate(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("__row"))
+    return keyed.join(hit, "__row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,9 @@ common prefix of SIZE are the repeated intervals.
 
 Results for odd input: null or empty text has no bytes and no spans; texts
 shorter than SIZE lose nothing; rows with one doc_id and equal text stand at the
-same places, so neither makes the other repeated; a null doc_id counts as the
+same places, so neither makes the other repeated; rows with one doc_id or none
+and different texts are documents of their own, in the order of a hash of the
+text (``sub``, 0 for an id that no other row has); a null doc_id counts as the
 smallest possible id; an empty table gives no rows; other columns are ignored.
 """
 
@@ -38,6 +40,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import blocks
 from .scratch import width
@@ -52,7 +55,7 @@ COLLECTION = 1 << 20
 HOT = COLLECTION // (2 * SIZE - GRAM + 1)
 SHARDS_PER_PARTITION = 2
 _PLACE_BITS = np.uint64(28)
-_PIECE = "key long, digest long, content binary, doc_id long, at long, windows long"
+_PIECE = "key long, digest long, content binary, doc_id long, sub long, at long, windows long"
 
 
 def _pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -167,11 +170,33 @@ def repeated_starts(contents: list[bytes], rank: np.ndarray, at: np.ndarray, gro
     return [flags[f : f + s - STEP - SIZE + 1] for f, s in zip(first, sizes, strict=True)]
 
 
-def _shard_rows(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, bytes, bounds) of a shard's documents, in runs."""
-    ids = np.asarray(table.column("doc_id").combine_chunks())
-    for lo, hi, data, bounds in blocks.chunks(table.column("text").combine_chunks()):
-        yield ids[lo:hi], data, bounds
+def _shard_rows(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, bounds) of a shard's documents, in runs."""
+    for lo, _, data, bounds in blocks.chunks(table.column("text").combine_chunks()):
+        yield lo, data, bounds
+
+
+def _names(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(doc_id, sub) of a shard's rows: sub tells apart different texts of one id."""
+    ids, sub = (np.asarray(table.column(c).combine_chunks()) for c in ("doc_id", "sub"))
+    _, back, n = np.unique(ids, return_inverse=True, return_counts=True)
+    shared = (n[back] > 1) & (ids != NULL_ID)
+    if shared.any():
+        with np.errstate(over="ignore"):
+            digests = np.concatenate([blocks.signed(blocks.span_hashes(data, bounds[:-1], bounds[1:])) for _, data, bounds in _shard_rows(table)])
+        sub = np.where(shared, digests, sub)
+    return ids, sub
+
+
+def _ranks(ids: np.ndarray, sub: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each document among the distinct ones in order, their ids, their subs)."""
+    order = np.lexsort((sub, ids))
+    ids, sub = ids[order], sub[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (sub[1:] != sub[:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, ids[new], sub[new]
 
 
 def _anchors(table: pa.Table) -> pa.Table:
@@ -242,14 +267,15 @@ def _shard_pieces(docs: pa.Table, replies: pa.Table) -> pa.Table:
         wanted, hot = wanted[np.argsort(wanted)], hot[np.argsort(wanted)]
     columns: list[list] = [[np.zeros(0, np.int64)] for _ in range(6)]
     texts = []
+    ranked, ids, sub = _ranks(*_names(docs))
     with np.errstate(over="ignore"):
-        for ids, data, bounds in _shard_rows(docs) if len(wanted) else ():
+        for lo, data, bounds in _shard_rows(docs) if len(wanted) else ():
             start, windows, key, doc = _pieces(data, bounds)
             rank = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
             hit = wanted[rank] == key
             start, windows, key, doc = start[hit], windows[hit], key[hit], doc[hit]
             digest = blocks.span_hashes(data, start, start + windows + SIZE - 1)
-            for col, x in zip(columns, (blocks.signed(key), blocks.signed(digest), ids[doc], start - bounds[doc], start, np.full(len(start), len(texts))), strict=True):
+            for col, x in zip(columns, (blocks.signed(key), blocks.signed(digest), ranked[lo + doc], start - bounds[doc], start, np.full(len(start), len(texts))), strict=True):
                 col.append(x)
             texts.append((data, windows))
     key, digest, doc, at, start, run = (np.concatenate(c) for c in columns)
@@ -265,11 +291,12 @@ def _shard_pieces(docs: pa.Table, replies: pa.Table) -> pa.Table:
     spans = zip(run[own].tolist(), start[own].tolist(), (start[own] + windows[own] + SIZE - 1).tolist(), strict=True)
     contents = [texts[r][0][x:y].tobytes() for r, x, y in spans]
     local = _covered(*(np.concatenate(c) for c in zip(*known, strict=True)))
+    named = np.concatenate([doc[own], many[2], local[0]])
     with np.errstate(over="ignore"):
-        spread = blocks.signed(blocks.mix(local[0].view(np.uint64)))
+        spread = blocks.signed(blocks.mix(ids[local[0]].view(np.uint64) ^ sub[local[0]].view(np.uint64)))
     return pa.table({
         "key": np.concatenate([key[own], many[0], spread]), "digest": np.concatenate([digest[own], many[1], np.zeros(len(spread), np.int64)]),
-        "content": pa.array(contents + [b""] * len(first) + [None] * len(spread), pa.binary()), "doc_id": np.concatenate([doc[own], many[2], local[0]]),
+        "content": pa.array(contents + [b""] * len(first) + [None] * len(spread), pa.binary()), "doc_id": ids[named], "sub": sub[named],
         "at": np.concatenate([at[own], many[3], local[1]]), "windows": np.concatenate([windows[own], np.ones(len(first), np.int64), local[2] - local[1] - SIZE + 1]),
     })
 
@@ -280,16 +307,18 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start, end): the bytes of repeated windows among pieces dealt by key."""
+    """(doc_id, sub, start, end): the bytes of repeated windows among pieces dealt by key."""
     kept = list(batches)
     if not kept:
         return
     table = pa.Table.from_batches(kept).combine_chunks()
+    ranked, ids, sub = _ranks(*(np.asarray(table.column(c).combine_chunks()) for c in ("doc_id", "sub")))
+    table = table.append_column("doc", pa.array(ranked))
     known = table.filter(table.column("content").is_null())
     table = table.filter(table.column("content").is_valid())
     start = np.asarray(known.column("at").combine_chunks())
-    out = [(np.asarray(known.column("doc_id").combine_chunks()), start, start + np.asarray(known.column("windows").combine_chunks()) + SIZE - 1)]
-    key, digest, doc, at, windows = (np.asarray(table.column(c).combine_chunks()) for c in ("key", "digest", "doc_id", "at", "windows"))
+    out = [(np.asarray(known.column("doc").combine_chunks()), start, start + np.asarray(known.column("windows").combine_chunks()) + SIZE - 1)]
+    key, digest, doc, at, windows = (np.asarray(table.column(c).combine_chunks()) for c in ("key", "digest", "doc", "at", "windows"))
     content = table.column("content").combine_chunks()
     order = np.lexsort((at, doc, digest, key))
     same = np.zeros(len(order), bool)
@@ -318,45 +347,56 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a, b = _runs(f)
                 out.append((np.full(len(a), doc[k]), at[k] + a, at[k] + b + SIZE - 1))
     doc, start, end = _covered(*(np.concatenate(c) for c in zip(*out, strict=True)))
-    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start), pa.array(end)], names=["doc_id", "start", "end"])
+    yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(sub[doc]), pa.array(start), pa.array(end)], names=["doc_id", "sub", "start", "end"])
 
 
 def repeated_bytes(named: DataFrame) -> DataFrame:
-    """(shard, doc_id, start, end) of repeated byte runs of named (shard, doc_id, text); runs may overlap."""
+    """(shard, doc_id, sub, start, end) of repeated byte runs of named (shard, doc_id, sub, text); runs may overlap."""
     spark = named.sparkSession
     shards = SHARDS_PER_PARTITION * width(spark)
     by_shard = named.groupBy("shard")
     anchors = by_shard.applyInArrow(_anchors, "shard long, key long, n long")
     replies = anchors.repartition(width(spark), "key").mapInArrow(_repeated, "shard long, key long, hot boolean")
     pieces = by_shard.cogroup(replies.groupBy("shard")).applyInArrow(_shard_pieces, _PIECE)
-    met = pieces.repartition(width(spark), "key").mapInArrow(_found, "doc_id long, start long, end long")
-    return met.select(shard_of(F.col("doc_id"), shards), "doc_id", "start", "end")
+    met = pieces.repartition(width(spark), "key").mapInArrow(_found, "doc_id long, sub long, start long, end long")
+    return met.select(shard_of(shards), "doc_id", "sub", "start", "end")
 
 
-def shard_of(doc_id, shards: int):
-    return F.pmod(F.xxhash64(doc_id), F.lit(shards)).cast("long").alias("shard")
+def shard_of(shards: int):
+    """The shard of a row of doc_id and sub: by the id, without one by the text."""
+    return F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id") == NULL_ID, F.col("sub")).otherwise(0)), F.lit(shards)).cast("long").alias("shard")
 
 
 NULL_ID = -(2**63)
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of every row."""
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of every row.
+
+    With carry, also row: the row's other columns and its doc_id, as a struct.
+    """
     spark = docs.sparkSession
     shards = SHARDS_PER_PARTITION * width(spark)
-    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    named = plain.select(shard_of(F.col("doc_id"), shards), "doc_id", "text")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    row = F.struct(*(c for c in docs.columns if c != text_col)) if carry else F.struct(F.col(id_col).cast("long").alias("doc_id"))
+    plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), text.alias("text"), row.alias("row"))
+    plain = plain.withColumn("sub", F.when(F.col("doc_id") == NULL_ID, F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
+    named = plain.select(shard_of(shards), "doc_id", "sub", "text", "row")
     runs = repeated_bytes(named)
 
     def cut(docs: pa.Table, runs: pa.Table) -> pa.Table:
-        owner, start, end = (np.asarray(runs.column(c).combine_chunks()) if runs.num_rows else np.zeros(0, np.int64) for c in ("doc_id", "start", "end"))
+        fields = (np.asarray(runs.column(c).combine_chunks()) if runs.num_rows else np.zeros(0, np.int64) for c in ("doc_id", "sub", "start", "end"))
+        owner, owner_sub, start, end = fields
+        ids, sub = _names(docs)
+        ranked, _, _ = _ranks(np.concatenate([ids, owner]), np.concatenate([sub, owner_sub]))
+        own, owner = ranked[: len(ids)], ranked[len(ids) :]
         order = np.lexsort((start, owner))
         owner, start, end = owner[order], start[order], end[order]
         rows: list[tuple] = []
-        for ids, data, bounds in _shard_rows(docs):
-            for k, doc in enumerate(ids.tolist()):
+        for lo_row, data, bounds in _shard_rows(docs):
+            for k in range(len(bounds) - 1):
                 text = data[bounds[k] : bounds[k + 1]]
-                lo, hi = np.searchsorted(owner, doc), np.searchsorted(owner, doc, "right")
+                lo, hi = np.searchsorted(owner, own[lo_row + k]), np.searchsorted(owner, own[lo_row + k], "right")
                 removed = spans = 0
                 if lo < hi:
                     a, reach = start[lo:hi], np.maximum.accumulate(end[lo:hi])
@@ -366,9 +406,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     removed, spans = int((b - a).sum()), len(a)
                     text = np.concatenate([text[x:y] for x, y in zip(np.append(0, b), np.append(a, len(text)), strict=True)])
                 left = text.tobytes()
-                rows.append((doc if doc != NULL_ID else None, int(bounds[k + 1] - bounds[k]), removed, spans, hashlib.sha256(left).hexdigest(), left))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return named.groupBy("shard").cogroup(runs.groupBy("shard")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+                rows.append((int(bounds[k + 1] - bounds[k]), removed, spans, hashlib.sha256(left).hexdigest(), left))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        return pa.table([docs.column("row"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
+
+    schema = T.StructType([named.schema["row"]])
+    for field in ("n_bytes", "n_removed", "n_spans"):
+        schema.add(field, "long")
+    schema = schema.add("kept_sha256", "string").add("kept", "binary")
+    found = named.groupBy("shard").cogroup(runs.groupBy("shard")).applyInArrow(cut, schema)
+    found = found.select(F.col("row").getField(id_col if carry else "doc_id").cast("long").alias("doc_id"), *found.columns[1:], *(["row"] if carry else []))
+    return found

@@ -20,7 +20,7 @@ def _rows():
 
 def test_hot_anchor_is_dealt_over_keys():
     rows = _rows()
-    shards = [pa.table({"shard": pa.array([s] * len(own), pa.int64()), "doc_id": [i for i, _ in own], "text": [t for _, t in own]}) for s, own in enumerate((rows[::2], rows[1::2]))]
+    shards = [pa.table({"shard": pa.array([s] * len(own), pa.int64()), "doc_id": [i for i, _ in own], "sub": pa.array([0] * len(own), pa.int64()), "text": [t for _, t in own]}) for s, own in enumerate((rows[::2], rows[1::2]))]
     counted = pa.concat_tables([suffix._anchors(s) for s in shards])
     replies = pa.Table.from_batches(suffix._repeated(iter(counted.to_batches())))
     met = pa.concat_tables([suffix._shard_pieces(docs, replies.filter(pc.equal(replies.column("shard"), s))) for s, docs in enumerate(shards)])
