@@ -2,8 +2,8 @@
 
 ``fit`` takes at most ``PER_CLASS`` labelled training rows of each label (those
 of smallest id hash; the documented bound of the fitting sample), picks the
-terms that go with a label on that sample (lower-cased words, and first
-``STEM`` bytes of longer words), and builds postings over blocks of examples
+terms that go with label 1 on that sample (lower-cased words, and first
+``STEM`` bytes of longer words) and no others, and builds postings over blocks of examples
 with the greatest weight of every term in every block. ``score`` visits blocks
 in order of their bound and stops when no later block can enter the ``NEAREST``
 best, so the neighbours are exact. Votes are weighted by cosine and by how much
