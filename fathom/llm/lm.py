@@ -136,16 +136,18 @@ def lattice(words: np.ndarray, pieces: Pieces, counts: np.ndarray | None = None,
     return alpha[size]
 
 
-def long_lattice(word: np.ndarray, pieces: Pieces) -> float:
+def long_lattice(word: np.ndarray, pieces: Pieces, count: float = 0.0, out: np.ndarray | None = None) -> float:
     """The same for one long word: spans of one length at a time, then positions in order."""
     size = len(word)
     power, inverse = blocks.powers(size)
     total = np.concatenate([[np.uint64(0)], np.cumsum(blocks.BYTE_CODE[word] * power[:size])])
     log = np.append(pieces.log, -np.inf)
     weights = np.full((pieces.longest, size + 1), -np.inf)
+    found = np.full((pieces.longest, size + 1), -1)
     for length in range(1, min(pieces.longest, size) + 1):
         h = blocks.mix((total[length:] - total[:-length]) * inverse[: size - length + 1] + np.uint64(length))
-        weights[length - 1, length:] = log[pieces.find(h)]
+        found[length - 1, length:] = pieces.find(h)
+        weights[length - 1, length:] = log[found[length - 1, length:]]
     alpha = np.full(size + pieces.longest + 1, -np.inf)
     base = pieces.longest
     alpha[base] = 0
@@ -154,6 +156,18 @@ def long_lattice(word: np.ndarray, pieces: Pieces) -> float:
         step = alpha[base + end - lengths] + weights[:, end]
         top = step.max()
         alpha[base + end] = top + np.log(np.exp(step - top).sum()) if top > -np.inf else top
+    if out is not None:
+        beta = np.full(size + pieces.longest + 1, -np.inf)
+        beta[size] = 0
+        for start in range(size - 1, -1, -1):
+            reach = lengths[: size - start]
+            step = weights[reach - 1, start + reach] + beta[start + reach]
+            top = step.max()
+            beta[start] = top + np.log(np.exp(step - top).sum()) if top > -np.inf else top
+        for length in range(1, min(pieces.longest, size) + 1):
+            ends = np.flatnonzero(found[length - 1] >= 0)
+            share = alpha[base + ends - length] + weights[length - 1, ends] + beta[ends] - alpha[base + size]
+            np.add.at(out, found[length - 1, ends], count * np.exp(share))
     return float(alpha[base + size])
 
 
@@ -169,7 +183,7 @@ def word_lattices(words: list[bytes], pieces: Pieces, counts: np.ndarray | None
                 part = own[lo : lo + 4096]
                 if size > LONG:
                     for k in part:
-                        result[k] = long_lattice(np.frombuffer(b" " + words[k], np.uint8), pieces)
+                        result[k] = long_lattice(np.frombuffer(b" " + words[k], np.uint8), pieces, 0.0 if counts is None else counts[k], out)
                     continue
                 flat = np.frombuffer(b"".join(b" " + words[k] for k in part), np.uint8).reshape(len(part), size + 1)
                 result[part] = lattice(flat, pieces, None if counts is None else counts[part], out)
@@ -207,8 +221,7 @@ def adapt(words: DataFrame, pieces: Pieces) -> Pieces:
         out = np.zeros(len(pieces.spans))
         for batch in batches:
             words = batch.column(0).to_pylist()
-            short = [k for k, w in enumerate(words) if len(w) <= LONG]
-            word_lattices([words[k] for k in short], pieces, np.ones(len(short)), out)
+            word_lattices(words, pieces, np.ones(len(words)), out)
         own = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(out[own])], names=["piece", "n"])
 
