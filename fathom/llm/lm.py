@@ -12,10 +12,12 @@ A word's probability joins its training count and its lattice: counts are
 discounted by ``DISCOUNT`` each, and the freed mass goes to the lattice.
 Word counts, types and arcs grow with the corpus; none is sampled.
 
-Documents are dealt to shards by a hash of doc_id. Shards send their distinct
-words with counts, words are counted and scored once, and each shard gets the
-values of its own words back; so a frequent word is one row per shard. Words
+Documents are dealt to shards of about ``SHARD_BYTES`` by a hash of id and text.
+Shards send their distinct words with counts, words are counted and scored once,
+and each shard gets the values of its own words back; so a frequent word is one
+row per shard. Words are told apart by their bytes, never by a hash alone, and
 are never collected; only the vocabulary-sized arc counts reach the driver.
+``lattice_score`` is the pure marginal over segmentations, without the counts.
 
 Results for odd input: null or empty text is one end token; repeated rows each
 count and are scored; a null doc_id is a training row; an empty table gives no
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .scratch import store, width
+from .scratch import parts, store, total_bytes
 
 VOCABULARY = os.environ.get("FATHOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 RANK_SHIFT = 10.0
@@ -42,7 +44,7 @@ ROUNDS = 1
 KEEP = 0.02
 DISCOUNT = 0.75
 LONG = 48
-SHARDS_PER_PARTITION = 2
+SHARD_BYTES = 32 << 20
 
 
 class Pieces:
@@ -100,14 +102,13 @@ def load_pieces(path: str = VOCABULARY) -> Pieces:
 
 
 def _span_table(words: np.ndarray, pieces: Pieces) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(start, end, piece or -1 per row) of equally long words, by end and then start."""
-    n, size = words.shape
-    power, inverse = blocks.powers(size)
-    total = np.zeros((n, size + 1), np.uint64)
-    np.cumsum(blocks.BYTE_CODE[words] * power[:size], axis=1, out=total[:, 1:])
-    for end in range(1, size + 1):
-        for start in range(max(0, end - pieces.longest), end):
-            yield start, end, pieces.find(blocks.mix((total[:, end] - total[:, start]) * inverse[start] + np.uint64(end - start)))
+    """(start, end, piece or -1 per row) of equally long words, by start and then end."""
+    size = words.shape[1]
+    for start in range(size):
+        h = np.zeros(len(words), np.uint64)
+        for length in range(1, min(pieces.longest, size - start) + 1):
+            h = h + blocks.byte_values(length - 1, words[:, start + length - 1])
+            yield start, start + length, pieces.find(blocks.mix(h + np.uint64(length)))
 
 
 def lattice(words: np.ndarray, pieces: Pieces, counts: np.ndarray | None = None, out: np.ndarray | None = None) -> np.ndarray:
@@ -139,14 +140,13 @@ def lattice(words: np.ndarray, pieces: Pieces, counts: np.ndarray | None = None,
 def long_lattice(word: np.ndarray, pieces: Pieces, count: float = 0.0, out: np.ndarray | None = None) -> float:
     """The same for one long word: spans of one length at a time, then positions in order."""
     size = len(word)
-    power, inverse = blocks.powers(size)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(blocks.BYTE_CODE[word] * power[:size])])
+    h = np.zeros(size + 1, np.uint64)
     log = np.append(pieces.log, -np.inf)
     weights = np.full((pieces.longest, size + 1), -np.inf)
     found = np.full((pieces.longest, size + 1), -1)
     for length in range(1, min(pieces.longest, size) + 1):
-        h = blocks.mix((total[length:] - total[:-length]) * inverse[: size - length + 1] + np.uint64(length))
-        found[length - 1, length:] = pieces.find(h)
+        h = h[: size - length + 1] + blocks.byte_values(length - 1, word[length - 1 :])
+        found[length - 1, length:] = pieces.find(blocks.mix(h + np.uint64(length)))
         weights[length - 1, length:] = log[found[length - 1, length:]]
     alpha = np.full(size + pieces.longest + 1, -np.inf)
     base = pieces.longest
@@ -195,23 +195,21 @@ def held_out(doc_id: Column, of: int = 7, rest: int = 2) -> Column:
 
 
 def _shard_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, key, word, n): distinct words of each run of documents, n counted in training rows."""
-    with np.errstate(over="ignore"):
-        for batch in batches:
-            shard, train = np.asarray(batch.column(0)), ~np.asarray(batch.column(2).cast(pa.uint8())).astype(bool)
-            for lo, hi, data, bounds in blocks.chunks(batch.column(1)):
-                data = blocks.LOWER[data]
-                starts, ends, before = blocks.words(data, bounds, blocks.BLANK_WORDS)
-                keys = blocks.span_hashes(data, starts, ends)
-                sizes = np.diff(before)
-                own, counted = np.repeat(shard[lo:hi], sizes), np.repeat(train[lo:hi], sizes)
-                for s in np.unique(shard[lo:hi]):
-                    here = np.flatnonzero(own == s)
-                    found, first, back = np.unique(keys[here], return_index=True, return_inverse=True)
-                    n = np.bincount(back, counted[here], len(found)).astype(np.int64)
-                    a, b = starts[here[first]], ends[here[first]]
-                    spelled = [data[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), s, np.int64)), pa.array(blocks.signed(found)), pa.array(spelled, pa.binary()), pa.array(n)], names=["shard", "key", "word", "n"])
+    """(shard, word, n): distinct words of each run of documents, n counted in training rows."""
+    for batch in batches:
+        shard, train = np.asarray(batch.column(0)), ~np.asarray(batch.column(2).cast(pa.uint8())).astype(bool)
+        for lo, hi, data, bounds in blocks.chunks(batch.column(1)):
+            data = blocks.LOWER[data]
+            starts, ends, before = blocks.words(data, bounds, blocks.BLANK_WORDS)
+            sizes = np.diff(before)
+            own, counted = np.repeat(shard[lo:hi], sizes), np.repeat(train[lo:hi], sizes)
+            for s in np.unique(shard[lo:hi]):
+                here = np.flatnonzero(own == s)
+                with np.errstate(over="ignore"):
+                    first, back = blocks.distinct_spans(data, starts[here], ends[here])
+                n = np.bincount(back, counted[here], len(first)).astype(np.int64)
+                own_words = blocks.spelled(data, starts[here[first]], ends[here[first]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), s, np.int64)), pa.array(own_words, pa.binary()), pa.array(n)], names=["shard", "word", "n"])
 
 
 def adapt(words: DataFrame, pieces: Pieces) -> Pieces:
@@ -233,18 +231,17 @@ def adapt(words: DataFrame, pieces: Pieces) -> Pieces:
     return Pieces(pieces.spans, (1 - KEEP) * share / share.sum() + KEEP * np.exp(pieces.log))
 
 
-_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
 
 
 def likelihood(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = docs.sparkSession
-    shards = SHARDS_PER_PARTITION * width(spark)
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score of every row."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = named.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long").alias("shard"), "text", held_out(F.col("doc_id")).alias("held"), "doc_id")
+    shards = parts(docs.sparkSession, total_bytes(named, "text"), SHARD_BYTES)
+    named = named.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("long").alias("shard"), "text", held_out(F.col("doc_id")).alias("held"), "doc_id")
     named = named.repartition("shard")
-    lists = store(named.mapInArrow(_shard_words, "shard long, key long, word binary, n long").groupBy("shard", "key").agg(F.first("word").alias("word"), F.sum("n").alias("n")), "shard-words")
-    words = store(lists.groupBy("key").agg(F.first("word").alias("word"), F.sum("n").alias("n")), "words")
+    lists = store(named.mapInArrow(_shard_words, "shard long, word binary, n long").groupBy("shard", "word").agg(F.sum("n").alias("n")), "shard-words")
+    words = store(lists.groupBy("word").agg(F.sum("n").alias("n")), "words")
     head = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     ends = docs.where(~held_out(F.col("doc_id"))).count()
     total, types = (head.n or 0) + ends, (head.v or 0) + (ends > 0)
@@ -255,36 +252,36 @@ def likelihood(docs: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS) ->
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ln = word_lattices(batch.column(1).to_pylist(), pieces)
+            pure = word_lattices(batch.column(0).to_pylist(), pieces)
+            ln = pure
             if total:
-                seen = np.maximum(np.asarray(batch.column(2)) - DISCOUNT, 1e-300) / total
-                ln = np.logaddexp(np.log(seen), np.log(DISCOUNT * types / total) + ln)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ln / np.log(10))], names=["key", "n", "log"])
+                seen = np.maximum(np.asarray(batch.column(1)) - DISCOUNT, 1e-300) / total
+                ln = np.logaddexp(np.log(seen), np.log(DISCOUNT * types / total) + pure)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ln / np.log(10)), pa.array(pure / np.log(10))], names=["word", "n", "log", "pure"])
 
-    values = words.select("key", "word", "n").mapInArrow(weigh, "key long, n long, log double")
-    replies = lists.select("shard", "key").join(values, "key").select("shard", "key", "n", "log")
+    values = words.select("word", "n").mapInArrow(weigh, "word binary, n long, log double, pure double")
+    replies = lists.select("shard", "word").join(values, "word").select("shard", "word", "n", "log", "pure")
 
     end_base = np.log10((ends + 1) / (total + types + 1))
     end_log = np.log10(max(ends - DISCOUNT, 0.25) / max(total, 1))
 
     def score(docs: pa.Table, values: pa.Table) -> pa.Table:
-        keys = np.asarray(values.column("key").combine_chunks()).view(np.uint64) if values.num_rows else np.zeros(0, np.uint64)
-        order = np.argsort(keys)
-        keys = keys[order]
-        n = np.asarray(values.column("n").combine_chunks())[order] if len(keys) else np.zeros(0)
-        log = np.asarray(values.column("log").combine_chunks())[order] if len(keys) else np.zeros(0)
+        place = {w: k for k, w in enumerate(values.column("word").to_pylist())}
+        n, log, pure = (np.asarray(values.column(c).combine_chunks()) if values.num_rows else np.zeros(0) for c in ("n", "log", "pure"))
         base = np.log10((n + 1) / (total + types + 1))
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        texts = docs.column("text").combine_chunks()
-        with np.errstate(over="ignore"):
-            for _, _, data, bounds in blocks.chunks(texts):
-                tokens, before = blocks.lowered_words(data, bounds, blocks.BLANK_WORDS)
-                at = np.searchsorted(keys, tokens)
-                sums = [np.concatenate([[0], np.cumsum(x[at])])[before] if len(tokens) else np.zeros(len(before)) for x in (n > 0, base, log)]
-                known, first, second = (np.diff(x) for x in sums)
-                for col, x in zip(out, (np.diff(before) + 1, known + (ends > 0), first + end_base, second + end_log), strict=True):
-                    col.append(x)
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        for _, _, data, bounds in blocks.chunks(docs.column("text")):
+            data = blocks.LOWER[data]
+            starts, ends_, before = blocks.words(data, bounds, blocks.BLANK_WORDS)
+            with np.errstate(over="ignore"):
+                first, back = blocks.distinct_spans(data, starts, ends_)
+            at = np.array([place[w] for w in blocks.spelled(data, starts[first], ends_[first])], np.int64)[back]
+            sums = [np.concatenate([[0], np.cumsum(x[at])])[before] for x in (n > 0, base, log, pure)]
+            known, *rest = (np.diff(x) for x in sums)
+            for col, x in zip(out, (np.diff(before) + 1, known + (ends > 0), *(x + e for x, e in zip(rest, (end_base, end_log, end_log), strict=True))), strict=True):
+                col.append(x)
         cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table([docs.column("doc_id"), docs.column("held"), pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(np.full(len(cols[0]), total, np.int64)), pa.array(cols[2].astype(float)), pa.array(cols[3].astype(float))], names=[x.split()[0] for x in _SCORES.split(", ")])
+        whole = (cols[0].astype(np.int64), cols[1].astype(np.int64), np.full(len(cols[0]), total, np.int64), *(c.astype(float) for c in cols[2:]))
+        return pa.table([docs.column("doc_id"), docs.column("held"), *map(pa.array, whole)], names=[x.split()[0] for x in _SCORES.split(", ")])
 
     return named.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(score, _SCORES)

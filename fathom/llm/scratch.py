@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -17,14 +18,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
+def store(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: a stage boundary that survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def width(spark: SparkSession) -> int:
     """Partitions that the session deals a shuffle to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def total_bytes(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
+def parts(spark: SparkSession, total: int, size: int) -> int:
+    """How many groups of about size bytes a total makes, twice the session's width at least."""
+    return max(2 * width(spark), -(-total // size))

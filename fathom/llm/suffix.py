@@ -6,21 +6,27 @@ A byte goes if a string of ``SIZE`` bytes that covers it also starts earlier
 Suffixes are dealt out without loss: each window of SIZE bytes belongs to the
 rightmost of its smallest ``GRAM``-byte hashes, its anchor, and neighbouring
 windows with one anchor travel as one piece of text. Equal windows have equal
-anchors, so they meet in the same group. Anchors that occur once in the corpus
-are dropped on count alone, and equal pieces collapse to the earliest, first
-within a shard of documents and then across shards, before anything is sorted.
-An anchor of more than ``HOT`` pieces is split further: its distinct pieces go
-as hashes of single windows, dealt by anchor and window, so the most frequent
-passage is no group of its own and only equal windows meet.
-
-The pieces that remain are transformed shard by shard: positions in the order
-of their first ``CONTEXT`` bytes (a bounded-context Burrows-Wheeler transform),
-with the two bytes before each. ``merge`` interleaves the transforms: every
-round orders all positions by those two bytes, stably, which extends the sorted
-context by two. From ``MERGED`` bytes on only unsettled runs, whose neighbours
-still agree, are refined, by the place of the position one context further; so
-the common prefix doubles, and no suffix is compared or sorted anew. Runs with a
-common prefix of SIZE are the repeated intervals.
+anchors, so they meet in the same bucket. Anchors that occur once in the corpus
+are dropped on count alone, and equal pieces (by a 128-bit digest) collapse to
+the earliest, first within a shard of documents and then across shards, before
+anything is sorted. An anchor of more than ``HOT`` pieces is split further: its
+distinct pieces go as digests of single windows, dealt by anchor and window, so
+the most frequent passage is no group of its own and only equal windows meet.
+
+Each shard of documents transforms its own pieces and ships, per bucket of
+anchors, their text with its transform: the positions in the order of their
+first ``CONTEXT`` bytes, with two bytes before each to walk back by (a
+bounded-context Burrows-Wheeler transform). A bucket's task ``merge``s the
+transforms of all shards: every round orders all positions by those two bytes,
+stably, which extends the sorted context by two and keeps each shard's own
+order. From ``MERGED`` bytes on only unsettled runs, whose neighbours still
+agree, are refined, by the place of the position one context further; so the
+settled context doubles, and no suffix is compared or sorted anew. The places
+after each round give the common prefixes of neighbours; runs that share SIZE
+bytes are the repeated intervals.
+
+Shards and buckets are counted by bytes (``SHARD_BYTES``, ``COLLECTION``), so a
+task's memory doesn't follow the corpus.
 
 Results for odd input: null or empty text has no bytes and no spans; texts
 shorter than SIZE lose nothing; rows with one doc_id and equal text stand at the
@@ -33,17 +39,17 @@ smallest possible id; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blocks
-from .scratch import width
+from .scratch import parts, total_bytes
 
 SIZE = 100
 GRAM = 32
@@ -53,9 +59,10 @@ MERGED = 16
 COLLECTION = 1 << 20
 #: Pieces of one anchor that surely fit a collection.
 HOT = COLLECTION // (2 * SIZE - GRAM + 1)
-SHARDS_PER_PARTITION = 2
-_PLACE_BITS = np.uint64(28)
-_PIECE = "key long, digest long, content binary, doc_id long, sub long, at long, windows long"
+SHARD_BYTES = 8 << 20
+_PLACE_BITS = np.uint64(32)
+_LISTS = ("key", "digest", "tail", "doc_id", "sub", "at", "windows")
+_BUNDLE = f"bucket long, {', '.join(f'{c} array<long>' for c in _LISTS)}, content binary, transform binary"
 
 
 def _pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -64,11 +71,7 @@ def _pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if n < SIZE:
         return none, none, none.astype(np.uint64), none
-    power, inverse = blocks.powers(n)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(blocks.BYTE_CODE[data] * power[:n], out=total[1:])
-    grams = blocks.mix((total[GRAM:] - total[:-GRAM]) * inverse[: n - GRAM + 1])
+    grams = blocks.rolling_hashes(data, GRAM)
     place = np.arange(len(grams), dtype=np.uint64)
     low = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
     least = (grams & ~low) | (low - place)
@@ -95,27 +98,38 @@ def _pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     return starts, ends - starts, grams[anchor[starts]], np.searchsorted(bounds, starts, "right") - 1
 
 
-def transform(before: np.ndarray, positions: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The positions of one shard ordered by their first CONTEXT bytes."""
+class Layout:
+    """Pieces in a row, each followed by STEP zero bytes, with the ways back from each position, cyclic within its piece."""
+
+    def __init__(self, text: np.ndarray, sizes: np.ndarray):
+        self.text, self.sizes = text, sizes
+        self.first = np.cumsum(sizes) - sizes
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        every = np.arange(len(text))
+        self.within = every - self.first[self.owner]
+        self.last = np.where(self.within >= STEP, every - STEP, every + sizes[self.owner] - STEP).astype(np.int32)
+        following = np.where(self.within + 1 < sizes[self.owner], every + 1, self.first[self.owner])
+        self.before = text[self.last].astype(np.uint16) << np.uint16(8) | text[following[self.last]]
+
+
+def transform(laid: Layout) -> np.ndarray:
+    """The positions ordered by their first CONTEXT bytes."""
+    positions = np.arange(len(laid.text), dtype=np.int32)
     for _ in range(CONTEXT // STEP):
-        positions = last[positions[np.argsort(before[positions], kind="stable")]]
+        positions = laid.last[positions[np.argsort(laid.before[positions], kind="stable")]]
     return positions
 
 
-def merge(before: np.ndarray, last: np.ndarray, shards: list[np.ndarray]) -> np.ndarray:
-    """The place of each position among all shards, interleaved by their first MERGED bytes; equal bytes, equal places.
-
-    before has the two bytes that precede each position and last the position
-    two before it, both cyclic within a piece.
-    """
-    positions = np.concatenate(shards)
+def merge(laid: Layout, transforms: list[np.ndarray]) -> np.ndarray:
+    """The place of each position among all transforms, interleaved by their first MERGED bytes; equal bytes, equal places."""
+    positions = np.concatenate(transforms)
     block = np.zeros(len(positions), np.int32)
     for _ in range(MERGED // STEP):
-        key = before[positions]
+        key = laid.before[positions]
         order = np.argsort(key, kind="stable")
         key, block = key[order], block[order]
         differs = np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
-        positions = last[positions[order]]
+        positions = laid.last[positions[order]]
         block = np.cumsum(differs, dtype=np.int32)
     place = np.empty(len(positions), np.int32)
     place[positions] = np.flatnonzero(differs)[block - 1]
@@ -137,42 +151,42 @@ def refine(place: np.ndarray, wanted: np.ndarray, further: np.ndarray) -> None:
         place[own] = (run + shift).astype(np.int32)
 
 
-def repeated_starts(contents: list[bytes], rank: np.ndarray, at: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
-    """For each piece, which of its windows stand earlier too.
+def intervals(laid: Layout, transforms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of whole windows in merged order, bytes that each shares with the one before it).
 
-    rank and at say where a piece starts (document order, byte); group is the
-    shard whose transform a piece belongs to.
+    Shared bytes are given in the steps of refinement: 0, MERGED, 2 and 4 times MERGED, or SIZE.
     """
-    sizes = np.array([len(c) for c in contents]) + STEP
-    first = np.cumsum(sizes) - sizes
-    text = np.zeros(int(sizes.sum()), np.uint8)
-    owner = np.repeat(np.arange(len(contents)), sizes)
-    within = np.arange(len(text)) - first[owner]
-    text[within < sizes[owner] - STEP] = np.frombuffer(b"".join(contents), np.uint8)
-    last = np.where(within >= STEP, np.arange(len(text)) - STEP, np.arange(len(text)) + sizes[owner] - STEP).astype(np.int32)
-    following = np.where(within + 1 < sizes[owner], np.arange(len(text)) + 1, first[owner])
-    before = text[last].astype(np.uint16) << np.uint16(8) | text[following[last]]
-    shards = [transform(before, np.flatnonzero(group[owner] == g).astype(np.int32), last) for g in np.unique(group)]
-    interval = merge(before, last, shards)
-    room = sizes[owner] - STEP - within
-    every = np.arange(len(text))
+    place = merge(laid, transforms)
+    room = laid.sizes[laid.owner] - STEP - laid.within
+    every = np.arange(len(laid.text))
+    whole = every[room >= SIZE]
+    settled = [(MERGED, place[whole])]
     for context, step in ((MERGED, MERGED), (2 * MERGED, 2 * MERGED), (4 * MERGED, SIZE - 4 * MERGED)):
         fits = every[room >= context + step]
-        refine(interval, fits, fits + step)
-    positions = every[room >= SIZE]
-    positions = positions[np.argsort(interval[positions], kind="stable")]
-    interval = interval[positions]
-    place = rank[owner[positions]].astype(np.int64) << 36 | (at[owner[positions]] + within[positions])
-    heads = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
-    earliest = np.repeat(np.minimum.reduceat(place, heads), np.diff(np.append(heads, len(place))))
-    flags = np.zeros(len(text), bool)
-    flags[positions] = place > earliest
-    return [flags[f : f + s - STEP - SIZE + 1] for f, s in zip(first, sizes, strict=True)]
+        refine(place, fits, fits + step)
+        settled.append((context + step, place[whole]))
+    order = np.argsort(place[whole], kind="stable")
+    shared = np.zeros(len(whole), np.int64)
+    for context, then in settled:
+        shared[1:][then[order[1:]] == then[order[:-1]]] = context
+    return whole[order], shared
+
+
+def repeated_starts(laid: Layout, transforms: list[np.ndarray], rank: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """For each piece, which of its windows stand earlier too; rank and at say where a piece starts (document order, byte)."""
+    flags = np.zeros(len(laid.text), bool)
+    positions, shared = intervals(laid, transforms)
+    if len(positions):
+        place = rank[laid.owner[positions]].astype(np.int64) << 36 | (at[laid.owner[positions]] + laid.within[positions])
+        heads = np.flatnonzero(shared < SIZE)
+        earliest = np.repeat(np.minimum.reduceat(place, heads), np.diff(np.append(heads, len(place))))
+        flags[positions] = place > earliest
+    return [flags[f : f + s - STEP - SIZE + 1] for f, s in zip(laid.first, laid.sizes, strict=True)]
 
 
 def _shard_rows(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, bounds) of a shard's documents, in runs."""
-    for lo, _, data, bounds in blocks.chunks(table.column("text").combine_chunks()):
+    for lo, _, data, bounds in blocks.chunks(table.column("text")):
         yield lo, data, bounds
 
 
@@ -209,20 +223,6 @@ def _anchors(table: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array(np.full(len(keys), shard, np.int64)), "key": pa.array(blocks.signed(keys)), "n": pa.array(n)})
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows dealt by key: those whose key counts twice or more, and whether it is hot. A key has a row for each shard at most."""
-    kept = list(batches)
-    if not kept:
-        return
-    table = pa.Table.from_batches(kept)
-    keys, n, shard = (np.asarray(table.column(c).combine_chunks()) for c in ("key", "n", "shard"))
-    order = np.argsort(keys, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-    total = np.repeat(np.add.reduceat(n[order], heads), np.diff(np.append(heads, len(order))))
-    own = order[total > 1]
-    yield pa.RecordBatch.from_arrays([pa.array(shard[own]), pa.array(keys[own]), pa.array(total[total > 1] > HOT)], names=["shard", "key", "hot"])
-
-
 def _covered(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Disjoint (document, start, end) that cover the same bytes."""
     order = np.lexsort((start, doc))
@@ -244,29 +244,56 @@ def _collapsed(doc: np.ndarray, at: np.ndarray, *same: np.ndarray) -> tuple[np.n
     return order[new], order[(doc[order] != doc[head]) | (at[order] != at[head])]
 
 
+def _digests(texts: list[np.ndarray], run: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2b of each span of the texts, as two numbers."""
+    raw = b"".join(hashlib.blake2b(texts[r][a:b].tobytes(), digest_size=16).digest() for r, a, b in zip(run.tolist(), start.tolist(), end.tolist(), strict=True))
+    pair = np.frombuffer(raw, np.int64).reshape(-1, 2)
+    return pair[:, 0], pair[:, 1]
+
+
 def _windows(key: np.ndarray, doc: np.ndarray, at: np.ndarray, start: np.ndarray, windows: np.ndarray, run: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(key, digest, document, at) of every window of the given pieces; the key joins anchor and window."""
+    """(key, digest, tail, document, at) of every window of the given pieces; the key joins anchor and window."""
     piece = np.repeat(np.arange(len(key)), windows)
     step = np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
-    digest = np.zeros(len(piece), np.uint64)
-    for r in np.unique(run):
-        own = np.flatnonzero(run[piece] == r)
-        first = start[piece[own]] + step[own]
-        digest[own] = blocks.span_hashes(texts[r], first, first + SIZE)
-    return blocks.signed(blocks.mix(key.view(np.uint64)[piece] ^ blocks.mix(digest))), blocks.signed(digest), doc[piece], at[piece] + step
+    first = start[piece] + step
+    digest, tail = _digests(texts, run[piece], first, first + SIZE)
+    return blocks.signed(blocks.mix(key.view(np.uint64)[piece] ^ blocks.mix(digest.view(np.uint64)))), digest, tail, doc[piece], at[piece] + step
 
 
-def _shard_pieces(docs: pa.Table, replies: pa.Table) -> pa.Table:
-    """The shard's distinct pieces whose anchor is repeated, those of hot anchors as windows with empty content.
+def _bundles(texts: list[np.ndarray], run: np.ndarray, start: np.ndarray, end: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, slice, bytes, bytes]]:
+    """(bucket, its pieces, their text, the text's transform) of pieces in order of bucket, some COLLECTION bytes at a time."""
+    sizes = end - start + STEP
+    heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    tails = np.append(heads[1:], len(bucket))
+    reach = np.cumsum(sizes)
+    lo = 0
+    while lo < len(heads):
+        done = reach[heads[lo] - 1] if heads[lo] else 0
+        hi = max(lo + 1, int(np.searchsorted(reach[tails - 1], done + COLLECTION, "right")))
+        own = slice(int(heads[lo]), int(tails[hi - 1]))
+        gap = bytes(STEP)
+        text = np.frombuffer(b"".join(texts[r][a:b].tobytes() + gap for r, a, b in zip(run[own].tolist(), start[own].tolist(), end[own].tolist(), strict=True)), np.uint8)
+        laid = Layout(text, sizes[own])
+        order = transform(laid)
+        order = order[np.argsort(bucket[own][laid.owner[order]], kind="stable")]
+        for h, t in zip(heads[lo:hi].tolist(), tails[lo:hi].tolist(), strict=True):
+            a = int(laid.first[h - own.start])
+            b = a + int(sizes[h:t].sum())
+            yield int(bucket[h]), slice(h, t), text[a:b].tobytes(), (order[a:b] - np.int32(a)).tobytes()
+        lo = hi
+
 
-    What later equal ones cover comes without content.
+def _shard_pieces(docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
+    """Bundles of the shard's distinct pieces whose anchor is repeated, those of hot anchors as windows without text.
+
+    What later equal ones within the shard cover comes as one bundle without a transform.
     """
     wanted, hot = np.zeros(0, np.uint64), np.zeros(0, bool)
     if replies.num_rows:
         wanted, hot = np.asarray(replies.column("key").combine_chunks()).view(np.uint64), np.asarray(replies.column("hot").combine_chunks().cast(pa.uint8())).astype(bool)
         wanted, hot = wanted[np.argsort(wanted)], hot[np.argsort(wanted)]
     columns: list[list] = [[np.zeros(0, np.int64)] for _ in range(6)]
-    texts = []
+    texts: list[np.ndarray] = []
     ranked, ids, sub = _ranks(*_names(docs))
     with np.errstate(over="ignore"):
         for lo, data, bounds in _shard_rows(docs) if len(wanted) else ():
@@ -274,31 +301,43 @@ def _shard_pieces(docs: pa.Table, replies: pa.Table) -> pa.Table:
             rank = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
             hit = wanted[rank] == key
             start, windows, key, doc = start[hit], windows[hit], key[hit], doc[hit]
-            digest = blocks.span_hashes(data, start, start + windows + SIZE - 1)
-            for col, x in zip(columns, (blocks.signed(key), blocks.signed(digest), ranked[lo + doc], start - bounds[doc], start, np.full(len(start), len(texts))), strict=True):
+            for col, x in zip(columns, (blocks.signed(key), ranked[lo + doc], start - bounds[doc], start, windows, np.full(len(start), len(texts))), strict=True):
                 col.append(x)
-            texts.append((data, windows))
-    key, digest, doc, at, start, run = (np.concatenate(c) for c in columns)
-    windows = np.concatenate([np.zeros(0, np.int64), *(w for _, w in texts)])
-    own, later = _collapsed(doc, at, windows, key, digest)
+            texts.append(data)
+    key, doc, at, start, windows, run = (np.concatenate(c) for c in columns)
+    end = start + windows + SIZE - 1
+    digest, tail = _digests(texts, run, start, end)
+    own, later = _collapsed(doc, at, key, digest, tail)
     split = hot[np.searchsorted(wanted, key[own].view(np.uint64))] if len(own) else np.zeros(0, bool)
     known = [(doc[later], at[later], at[later] + windows[later] + SIZE - 1)]
     with np.errstate(over="ignore"):
-        many = _windows(*(x[own[split]] for x in (key, doc, at, start, windows, run)), [data for data, _ in texts])
-    first, later = _collapsed(many[2], many[3], many[0], many[1])
-    known.append((many[2][later], many[3][later], many[3][later] + SIZE))
-    many, own = [x[first] for x in many], own[~split]
-    spans = zip(run[own].tolist(), start[own].tolist(), (start[own] + windows[own] + SIZE - 1).tolist(), strict=True)
-    contents = [texts[r][0][x:y].tobytes() for r, x, y in spans]
+        many = _windows(*(x[own[split]] for x in (key, doc, at, start, windows, run)), texts)
+    first, later = _collapsed(many[3], many[4], *many[:3])
+    known.append((many[3][later], many[4][later], many[4][later] + SIZE))
     local = _covered(*(np.concatenate(c) for c in zip(*known, strict=True)))
-    named = np.concatenate([doc[own], many[2], local[0]])
+
+    def deal(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bucket = (blocks.mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        return order, bucket[order]
+
+    rows: list[tuple] = []
     with np.errstate(over="ignore"):
-        spread = blocks.signed(blocks.mix(ids[local[0]].view(np.uint64) ^ sub[local[0]].view(np.uint64)))
-    return pa.table({
-        "key": np.concatenate([key[own], many[0], spread]), "digest": np.concatenate([digest[own], many[1], np.zeros(len(spread), np.int64)]),
-        "content": pa.array(contents + [b""] * len(first) + [None] * len(spread), pa.binary()), "doc_id": ids[named], "sub": sub[named],
-        "at": np.concatenate([at[own], many[3], local[1]]), "windows": np.concatenate([windows[own], np.ones(len(first), np.int64), local[2] - local[1] - SIZE + 1]),
-    })
+        order, bucket = deal(key[own[~split]])
+        own = own[~split][order]
+        lists = [x[own] for x in (key, digest, tail, ids[doc], sub[doc], at, windows)]
+        rows += [(b, *(x[p] for x in lists), text, turned) for b, p, text, turned in _bundles(texts, run[own], start[own], end[own], bucket)]
+        order, bucket = deal(many[0][first])
+        many = [x[first[order]] for x in many]
+    lists = [*many[:3], ids[many[3]], sub[many[3]], many[4], np.ones(len(order), np.int64)]
+    heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    rows += [(int(bucket[h]), *(x[h:t] for x in lists), b"", None) for h, t in itertools.pairwise([*heads.tolist(), len(bucket)])]
+    if len(local[0]):
+        none = np.zeros(len(local[0]), np.int64)
+        rows.append((int(ids[0] % buckets), none, none, none, ids[local[0]], sub[local[0]], local[1], local[2] - local[1] - SIZE + 1, None, None))
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 10
+    kinds = [pa.int64(), *[pa.list_(pa.int64())] * 7, pa.binary(), pa.binary()]
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", *_LISTS, "content", "transform"])
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -306,59 +345,55 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, sub, start, end): the bytes of repeated windows among pieces dealt by key."""
-    kept = list(batches)
-    if not kept:
-        return
-    table = pa.Table.from_batches(kept).combine_chunks()
-    ranked, ids, sub = _ranks(*(np.asarray(table.column(c).combine_chunks()) for c in ("doc_id", "sub")))
-    table = table.append_column("doc", pa.array(ranked))
-    known = table.filter(table.column("content").is_null())
-    table = table.filter(table.column("content").is_valid())
-    start = np.asarray(known.column("at").combine_chunks())
-    out = [(np.asarray(known.column("doc").combine_chunks()), start, start + np.asarray(known.column("windows").combine_chunks()) + SIZE - 1)]
-    key, digest, doc, at, windows = (np.asarray(table.column(c).combine_chunks()) for c in ("key", "digest", "doc", "at", "windows"))
-    content = table.column("content").combine_chunks()
-    order = np.lexsort((at, doc, digest, key))
-    same = np.zeros(len(order), bool)
-    same[1:] = (key[order][1:] == key[order][:-1]) & (digest[order][1:] == digest[order][:-1])
-    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-    later = order[(doc[order] > doc[head]) | (at[order] > at[head])]
+def _found(table: pa.Table) -> pa.Table:
+    """(doc_id, sub, start, end): the bytes of repeated windows among the bundles of one bucket."""
+    bundles = table.column("windows").combine_chunks()
+    sizes = np.diff(np.asarray(bundles.offsets))
+    key, digest, tail, ids, sub, at, windows = (np.asarray(table.column(c).combine_chunks().flatten()) for c in _LISTS)
+    doc, ids, sub = _ranks(ids, sub)
+    known = np.repeat(np.asarray(table.column("content").combine_chunks().is_null()), sizes)
+    out = [(doc[known], at[known], at[known] + windows[known] + SIZE - 1)]
+    met = np.flatnonzero(~known)
+    own, later = _collapsed(doc[met], at[met], key[met], digest[met], tail[met])
+    later = met[later]
     out.append((doc[later], at[later], at[later] + windows[later] + SIZE - 1))
-    lone = order[~same]
-    lone = lone[np.asarray(pc.binary_length(content))[lone] > 0]
-    heads = np.flatnonzero(np.concatenate([[True], key[lone][1:] != key[lone][:-1]])) if len(lone) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(heads, len(lone)))
-    groups = [(h, s) for h, s in zip(heads.tolist(), sizes.tolist(), strict=True) if s > 1]
-    lo = 0
-    while lo < len(groups):
-        hi, total = lo, 0
-        while hi < len(groups) and (hi == lo or total < COLLECTION):
-            h, s = groups[hi]
-            total += int((windows[lone[h : h + s]] + SIZE).sum())
-            hi += 1
-        own = np.concatenate([lone[h : h + s] for h, s in groups[lo:hi]])
-        lo = hi
-        rank = np.unique(doc[own], return_inverse=True)[1]
-        flags = repeated_starts([content[int(k)].as_py() for k in own], rank, at[own], np.arange(len(own)) % 4)
-        for k, f in zip(own, flags, strict=True):
+
+    turned = table.column("transform").combine_chunks()
+    has = np.asarray(turned.is_valid())
+    here = np.flatnonzero(np.repeat(has, sizes))
+    lone = np.zeros(len(key), bool)
+    lone[met[own]] = True
+    lone = lone[here]
+    several = np.unique(key[here[lone]], return_inverse=True, return_counts=True)
+    lone[lone] = several[2][several[1]] > 1
+    if lone.any():
+        whole = windows[here] + SIZE - 1 + STEP
+        kept = np.repeat(lone, whole)
+        fresh = np.cumsum(kept, dtype=np.int64) - 1
+        text = np.frombuffer(b"".join(table.column("content").filter(pa.array(has)).to_pylist()), np.uint8)[kept]
+        transforms, base = [], 0
+        for t in turned.filter(pa.array(has)).to_pylist():
+            positions = np.frombuffer(t, np.int32).astype(np.int64) + base
+            base += len(positions)
+            transforms.append(fresh[positions[kept[positions]]].astype(np.int32))
+        pieces = here[lone]
+        flags = repeated_starts(Layout(text, whole[lone]), transforms, doc[pieces], at[pieces])
+        for k, f in zip(pieces, flags, strict=True):
             if f.any():
                 a, b = _runs(f)
                 out.append((np.full(len(a), doc[k]), at[k] + a, at[k] + b + SIZE - 1))
     doc, start, end = _covered(*(np.concatenate(c) for c in zip(*out, strict=True)))
-    yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(sub[doc]), pa.array(start), pa.array(end)], names=["doc_id", "sub", "start", "end"])
+    return pa.table({"doc_id": ids[doc], "sub": sub[doc], "start": start, "end": end})
 
 
-def repeated_bytes(named: DataFrame) -> DataFrame:
+def repeated_bytes(named: DataFrame, shards: int, buckets: int) -> DataFrame:
     """(shard, doc_id, sub, start, end) of repeated byte runs of named (shard, doc_id, sub, text); runs may overlap."""
-    spark = named.sparkSession
-    shards = SHARDS_PER_PARTITION * width(spark)
     by_shard = named.groupBy("shard")
     anchors = by_shard.applyInArrow(_anchors, "shard long, key long, n long")
-    replies = anchors.repartition(width(spark), "key").mapInArrow(_repeated, "shard long, key long, hot boolean")
-    pieces = by_shard.cogroup(replies.groupBy("shard")).applyInArrow(_shard_pieces, _PIECE)
-    met = pieces.repartition(width(spark), "key").mapInArrow(_found, "doc_id long, sub long, start long, end long")
+    total = F.sum("n").over(Window.partitionBy("key"))
+    replies = anchors.withColumn("total", total).where("total > 1").select("shard", "key", (F.col("total") > HOT).alias("hot"))
+    bundles = by_shard.cogroup(replies.groupBy("shard")).applyInArrow(lambda docs, replies: _shard_pieces(docs, replies, buckets), _BUNDLE)
+    met = bundles.groupBy("bucket").applyInArrow(_found, "doc_id long, sub long, start long, end long")
     return met.select(shard_of(shards), "doc_id", "sub", "start", "end")
 
 
@@ -375,14 +410,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     With carry, also row: the row's other columns and its doc_id, as a struct.
     """
-    spark = docs.sparkSession
-    shards = SHARDS_PER_PARTITION * width(spark)
+    spark, total = docs.sparkSession, total_bytes(docs, text_col)
+    shards = parts(spark, total, SHARD_BYTES)
     text = F.coalesce(F.col(text_col), F.lit(""))
     row = F.struct(*(c for c in docs.columns if c != text_col)) if carry else F.struct(F.col(id_col).cast("long").alias("doc_id"))
     plain = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), text.alias("text"), row.alias("row"))
     plain = plain.withColumn("sub", F.when(F.col("doc_id") == NULL_ID, F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
     named = plain.select(shard_of(shards), "doc_id", "sub", "text", "row")
-    runs = repeated_bytes(named)
+    runs = repeated_bytes(named, shards, parts(spark, total, COLLECTION))
 
     def cut(docs: pa.Table, runs: pa.Table) -> pa.Table:
         fields = (np.asarray(runs.column(c).combine_chunks()) if runs.num_rows else np.zeros(0, np.int64) for c in ("doc_id", "sub", "start", "end"))
