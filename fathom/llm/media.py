@@ -3,13 +3,15 @@
 ``encode`` packs each text's bytes, padded with 255 to a positive multiple of
 576, as unsigned 8-bit mono samples of a WAV file, losslessly. ``features``
 reads such a column back, takes a short-time Fourier transform (Hann windows of
-256 samples, hop 128), keeps each frame whose strongest bin is a maximum over
-the neighbouring frames, and pairs each peak with the next ``FAN`` peaks. A
-fingerprint is two time-coded arrays: the peak's frame number and the pair's
-code (first bin, second bin, distance in frames).
-
-Both are maps of single rows without a shuffle; frames of a long sample run are
-transformed ``FRAMES`` at a time. Results for odd input: null or empty text is
+256 samples, hop 128, and one that ends with the last sample), keeps each frame
+whose strongest bin is a maximum over the neighbouring frames, and pairs each
+peak with the next ``FAN`` peaks. A fingerprint is two time-coded arrays: the
+peak's frame number and the pair's code (first bin, second bin, distance in
+frames, in 16, 8 and 32 bits).
+
+Both are maps of single rows without a shuffle; the query stores the media
+column as a table between them. Frames of a long sample run are transformed
+``FRAMES`` at a time. Results for odd input: null or empty text is
 576 bytes of padding; repeated rows and null ids give a row each; silence has no
 peaks and empty arrays; other columns are ignored.
 """
@@ -63,10 +65,13 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(frame, bin) of the spectral peaks of 8-bit samples."""
-    frames = np.lib.stride_tricks.sliding_window_view(samples, SIZE)[::HOP]
+    starts = np.arange(0, len(samples) - SIZE + 1, HOP)
+    if starts[-1] < len(samples) - SIZE:
+        starts = np.append(starts, len(samples) - SIZE)
+    frames = np.lib.stride_tricks.sliding_window_view(samples, SIZE)
     bins, power = [], []
-    for lo in range(0, len(frames), FRAMES):
-        part = frames[lo : lo + FRAMES].astype(np.float32)
+    for lo in range(0, len(starts), FRAMES):
+        part = frames[starts[lo : lo + FRAMES]].astype(np.float32)
         part = (part - part.mean(axis=1, keepdims=True)) * _WINDOW
         spectrum = np.fft.rfft(part, axis=1)[:, 1:]
         strength = spectrum.real**2 + spectrum.imag**2
@@ -84,15 +89,15 @@ def pairs(at: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Time-coded pair arrays: frame of the first peak, and both bins with their distance."""
     times, codes = [], []
     for k in range(1, FAN + 1):
-        gap = np.minimum(at[k:] - at[:-k], 255)
+        gap = at[k:] - at[:-k]
         times.append(at[: len(gap)])
-        codes.append(bins[: len(gap)] << 16 | bins[k:] << 8 | gap)
+        codes.append(bins[: len(gap)] << 40 | bins[k:] << 32 | gap)
     times, codes = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((codes, times))
-    return times[order].astype(np.int32), codes[order].astype(np.int32)
+    return times[order].astype(np.int32), codes[order].astype(np.int64)
 
 
-_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, times array<int>, codes array<int>"
+_FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, times array<int>, codes array<long>"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +112,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 t, c = pairs(*peaks(np.frombuffer(payload, np.uint8)))
                 for col, value in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), t, c), strict=True):
                     col.append(value)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 
 
