@@ -3,7 +3,9 @@
 Eight overlapping heuristics vote good, bad or abstain on each whole text.
 Expectation-maximisation over the counts of vote patterns (at most 3**8 rows,
 counted over all documents) estimates each labeller's accuracy and gives every
-pattern a posterior. Posteriors of at most ``SAMPLE`` documents, those of the
+pattern a posterior; ``labeller_accuracy`` returns them as a table, and each
+document names its ``lead``, the most accurate labeller that voted on it.
+Posteriors of at most ``SAMPLE`` documents, those of the
 smallest id hash (the documented bound of the fitting sample), then train a
 logistic scorer on ``DIMS`` hashed features of word shapes, heads and tails,
 which scores all documents.
@@ -16,10 +18,11 @@ doc_id is scored; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blocks
@@ -138,32 +141,65 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), pa.array([f.tobytes() for f in features], pa.binary())], names=["post", "features"])
 
 
-def assess(docs: DataFrame) -> DataFrame:
-    """doc_id, weak (posterior of good from the votes), score (of the trained scorer) and keep of every row."""
+@dataclass
+class Model:
+    """Vote patterns with their posteriors, labeller accuracies and coverages, and the linear scorer."""
+
+    codes: np.ndarray
+    patterns: np.ndarray
+    post: np.ndarray
+    accuracy: np.ndarray
+    coverage: np.ndarray
+    weights: np.ndarray
+    bias: float
+
+    def leads(self) -> list[str | None]:
+        """For each pattern, the most accurate labeller that voted."""
+        order = np.argsort(-self.accuracy, kind="stable")
+        cast = self.patterns[:, order] != ABSTAIN
+        return [LABELLERS[order[int(c.argmax())]] if c.any() else None for c in cast]
+
+
+def fit(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     voted = store(named.mapInArrow(_votes, "doc_id long, pattern long"), "votes")
     rows = voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()
     codes = np.array([r.pattern for r in rows], np.int64)
+    n = np.array([r.n for r in rows], float)
     patterns = codes[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
-    post, _ = estimate(patterns, np.array([r.n for r in rows], float)) if len(rows) else (np.zeros(0), None)
+    post, accuracy = estimate(patterns, n) if len(rows) else (np.zeros(0), np.zeros(len(LABELLERS)))
+    coverage = n @ (patterns != ABSTAIN) / max(n.sum(), 1)
     known = spark.createDataFrame([(int(c), float(p)) for c, p in zip(codes, post, strict=True)], "pattern long, post double")
 
-    picked = voted.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).join(F.broadcast(known), "pattern").dropDuplicates(["doc_id"])
+    picked = voted.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "pattern").limit(SAMPLE).join(F.broadcast(known), "pattern").groupBy("doc_id").agg(F.min("post").alias("post"))
     sample = named.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "post").mapInArrow(_features, "post double, features binary")
     got = [(r.post, np.frombuffer(r.features, np.float32)) for r in sample.toLocalIterator()]
     got.sort(key=lambda r: (r[0], r[1].tobytes()))
     weights, bias = train(np.stack([f for _, f in got]), np.array([p for p, _ in got])) if got else (np.zeros(DIMS), 0.0)
+    return Model(codes, patterns, post, accuracy, coverage, weights, bias)
+
+
+def labeller_accuracy(spark: SparkSession, model: Model) -> DataFrame:
+    """(labeller, accuracy, coverage): the estimated share of right votes, and of documents it voted on."""
+    rows = [(name, float(a), float(c)) for name, a, c in zip(LABELLERS, model.accuracy, model.coverage, strict=True)]
+    return spark.createDataFrame(rows, "labeller string, accuracy double, coverage double")
+
+
+def assess(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, weak (posterior of good from the votes), lead, score (of the trained scorer) and keep of every row."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = model or fit(docs)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = dict(zip(codes.tolist(), post.tolist(), strict=True))
+        table = dict(zip(model.codes.tolist(), zip(model.post.tolist(), model.leads(), strict=True), strict=True))
         weight = 3 ** np.arange(len(LABELLERS))
         with np.errstate(over="ignore"):
             for batch in batches:
                 for lo, hi, data, bounds in blocks.chunks(batch.column(1)):
                     cast, features = votes(data, bounds)
-                    weak = [table.get(int(c), 0.5) for c in cast @ weight]
-                    scores = 1 / (1 + np.exp(-(features @ weights + bias)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(weak, pa.float64()), pa.array(scores, pa.float64())], names=["doc_id", "weak", "score"])
+                    weak, lead = zip(*(table.get(int(c), (0.5, None)) for c in cast @ weight), strict=True)
+                    scores = 1 / (1 + np.exp(-(features @ model.weights + model.bias)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(weak, pa.float64()), pa.array(lead, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "weak", "lead", "score"])
 
-    return named.mapInArrow(score, "doc_id long, weak double, score double").withColumn("keep", F.col("score") >= THRESHOLD)
+    return named.mapInArrow(score, "doc_id long, weak double, lead string, score double").withColumn("keep", F.col("score") >= THRESHOLD)
