@@ -16,7 +16,7 @@ shuffle. A document that shares no term with any example gets the base rate.
 
 Results for odd input: null or empty text scores the base rate; labels of null
 id, null label or without a document are ignored; a repeated document or label
-row counts once; without labelled rows the base rate is 0; a null doc_id is
+row counts once, and of several texts of one id that of least hash; without labelled rows the base rate is 0; a null doc_id is
 scored and never held out; other columns are ignored.
 """
 
@@ -112,24 +112,29 @@ class Index:
         return float((votes @ self.label[best] + prior * self.rate) / (votes.sum() + prior)), best, cos
 
 
-def families(shingles: list[np.ndarray]) -> np.ndarray:
+_ODD = blocks.mix(np.arange(50, 58, dtype=np.uint64)) | np.uint64(1)
+
+
+def least_hashes(shingles: np.ndarray) -> np.ndarray:
+    """Eight minhashes of a set, none of an empty one."""
+    return (shingles[None, :] * _ODD[:, None]).min(axis=1) if len(shingles) else shingles
+
+
+def families(minhashes: list[np.ndarray]) -> np.ndarray:
     """The size of each example's family of near copies, which share pairs of minhashes."""
-    parent = list(range(len(shingles)))
+    parent = list(range(len(minhashes)))
 
     def root(x: int) -> int:
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    odd = blocks.mix(np.arange(50, 58, dtype=np.uint64)) | np.uint64(1)
     seen: dict[tuple, int] = {}
-    for k, s in enumerate(shingles):
-        if len(s):
-            least = [int((s * o).min()) for o in odd]
-            for j in range(0, 8, 2):
-                first = seen.setdefault((j, least[j], least[j + 1]), k)
-                parent[root(k)] = root(first)
-    roots = np.array([root(k) for k in range(len(shingles))], np.int64)
+    for k, least in enumerate(minhashes):
+        for j in range(0, len(least), 2):
+            first = seen.setdefault((j, int(least[j]), int(least[j + 1])), k)
+            parent[root(k)] = root(first)
+    roots = np.array([root(k) for k in range(len(minhashes))], np.int64)
     return np.bincount(roots, minlength=1)[roots]
 
 
@@ -183,22 +188,24 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Index
     marked = store(marked.join(texts.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
     counts = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picked = [marked.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
-    sample = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").dropDuplicates(["doc_id"])
+    sample = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for lo, hi, data, bounds in blocks.chunks(batch.column(1)):
                     whole, before, stems, stems_before = term_hashes(data, bounds)
-                    a = [whole[x:y].tobytes() for x, y in zip(before[:-1], before[1:], strict=True)]
-                    b = [stems[x:y].tobytes() for x, y in zip(stems_before[:-1], stems_before[1:], strict=True)]
-                    c = [x.tobytes() for x in shingle_sets(batch.column(1).slice(lo, hi - lo))]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], names=["doc_id", "toxic", "whole", "stems", "shingles"])
-
-    kept = sample.select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(terms, "doc_id long, toxic int, whole binary, stems binary, shingles binary")
-    rows = []
-    for r in kept.toLocalIterator():
-        rows.append((r.doc_id, r.toxic, np.unique(np.frombuffer(r.whole, np.uint64), return_counts=True), np.unique(np.frombuffer(r.stems, np.uint64), return_counts=True), np.frombuffer(r.shingles, np.uint64)))
+                    cols: list[list[bytes]] = [[], [], [], [], []]
+                    for k, shingles in enumerate(shingle_sets(batch.column(1).slice(lo, hi - lo))):
+                        a = np.unique(whole[before[k] : before[k + 1]], return_counts=True)
+                        b = np.unique(stems[stems_before[k] : stems_before[k + 1]], return_counts=True)
+                        for col, x in zip(cols, (*a, *b, least_hashes(shingles)), strict=True):
+                            col.append(x.tobytes())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *(pa.array(c, pa.binary()) for c in cols)], names=["doc_id", "toxic", "whole", "n_whole", "stems", "n_stems", "least"])
+
+    kept = sample.select("doc_id", "text", F.col("toxic").cast("int")).mapInArrow(terms, "doc_id long, toxic int, whole binary, n_whole binary, stems binary, n_stems binary, least binary")
+    number = lambda b, kind=np.uint64: np.frombuffer(b, kind)
+    rows = [(r.doc_id, r.toxic, (number(r.whole), number(r.n_whole, np.int64)), (number(r.stems), number(r.n_stems, np.int64)), number(r.least)) for r in kept.toLocalIterator()]
     rows.sort(key=lambda r: r[0])
     label = np.array([r[1] for r in rows], np.int64)
     total = max(sum(counts.values()), 1)
