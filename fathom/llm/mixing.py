@@ -16,8 +16,10 @@ Slots follow the weights until a source has run out; ``balanced`` marks the
 slots before the first such gap. No document is dropped or repeated.
 
 Results for odd input: null is a source of its own; a null doc_id sorts first;
-repeated rows take places of their own; null or long texts play no part; a
-source without a weight is refused; an empty table gives no rows.
+rows of one id are placed by a hash of all columns, and repeated rows take places
+of their own; null or long texts play no part; a source without a weight is
+refused; columns named as the results are replaced by them; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 BLOCK = 8
 MAX_TABLE = 1_000_000
 RANGE_ROWS = 20_000
+RESULTS = ("block", "place", "release", "deadline", "slot", "balanced")
 
 
 def schedule(weights: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]:
@@ -59,9 +62,10 @@ def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, size: int = B
     Without weights, every source weighs 1.
     """
     spark = docs.sparkSession
+    docs = docs.drop(*RESULTS)
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     src = F.coalesce(F.concat(F.lit("s"), source_col), F.lit("n"))
-    named = docs.select("*", src.alias("__s"), key.alias("__h"))
+    named = docs.select("*", src.alias("__s"), key.alias("__h"), F.xxhash64(*docs.columns).alias("__row"))
     digits = 1
     sizes = named.groupBy("__s").agg(F.count("*").alias("n"))
     counts = {r["__s"]: r.n for r in sizes.limit(MAX_TABLE + 1).collect()}
@@ -78,17 +82,18 @@ def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, size: int = B
     ranges = named.groupBy("__s", "__r").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("__s").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("__s", "__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    local = F.row_number().over(Window.partitionBy("__s", "__r").orderBy("__h", F.col(id_col)))
+    local = F.row_number().over(Window.partitionBy("__s", "__r").orderBy("__h", F.col(id_col), "__row"))
     ranked = named.withColumn("__k", local).join(ranges, ["__s", "__r"]).withColumn("__k", F.col("__k") + F.col("__before") - 1)
-    ranked = ranked.withColumn("block", F.expr(f"__k div {size}")).withColumn("place", F.col("__k") % size)
+    ranked = ranked.withColumn("__b", F.expr(f"__k div {size}")).withColumn("__p", F.col("__k") % size)
 
     period = sum(share.values())
     period_table = schedule(share)
     slots = {(s, k): slot for s, k, slot, _, _ in period_table}
     table = spark.createDataFrame([(*row, share[row[0]]) for row in period_table], "__s string, __m long, __slot long, __r0 long, __d0 long, __w long")
     weight = spark.createDataFrame(list(share.items()), "__s string, __w long")
-    ranked = ranked.join(F.broadcast(weight), "__s").withColumn("__m", F.col("block") % F.col("__w")).drop("__w")
-    turn = F.expr("block div __w") * period
-    placed = ranked.join(F.broadcast(table), ["__s", "__m"]).withColumn("release", turn + F.col("__r0")).withColumn("deadline", turn + F.col("__d0")).withColumn("slot", turn + F.col("__slot"))
+    ranked = ranked.join(F.broadcast(weight), "__s").withColumn("__m", F.col("__b") % F.col("__w")).withColumn("__turn", F.expr("__b div __w") * period).drop("__w")
+    placed = ranked.join(F.broadcast(table), ["__s", "__m"])
     first_gap = min((n // size // share[s] * period + slots[s, n // size % share[s]] for s, n in counts.items()), default=0)
-    return placed.withColumn("balanced", F.col("slot") < first_gap).select(*docs.columns, "block", "place", "release", "deadline", "slot", "balanced")
+    slot = F.col("__turn") + F.col("__slot")
+    found = (F.col("__b"), F.col("__p"), F.col("__turn") + F.col("__r0"), F.col("__turn") + F.col("__d0"), slot, slot < first_gap)
+    return placed.select(*docs.columns, *(c.alias(name) for c, name in zip(found, RESULTS, strict=True)))
