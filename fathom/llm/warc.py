@@ -3,9 +3,12 @@
 Reading plans a partition per committed file range. Record-type and header
 predicates are pushed down: each record's header is parsed first, and the block
 of a record that a predicate rejects, or all blocks under ``payload=false``, is
-skipped by seeking and never decoded. Writing goes to uniquely named files; the
-manifest written on commit names the files that count, so a retried or lost task
-leaves nothing behind that a reader would see.
+skipped by seeking and never decoded. Writing goes to uniquely named files; each
+commit adds a manifest that names the files that count, so a retried or lost task
+leaves nothing behind that a reader would see, an append keeps what is there and
+an overwrite replaces it. Reading needs Spark's Python filter pushdown, which
+``read_warc`` turns on for the session. Foreign archives without a manifest are
+read a file per partition, and compressed ones are inflated to skip.
 
 Results for odd input: null html is an empty payload; a null url has no target
 header; repeated rows of the smallest page_id of a payload are all responses; a
@@ -39,13 +42,19 @@ MIN_REVISIT = 100
 SCHEMA = "record_type string, record_id string, target_uri string, payload_digest string, refers_to string, payload_length long, payload binary"
 #: Columns that stand in a record's header, by header name. Fixed by the WARC format.
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to", "payload_length": "x-payload-length"}
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"
 
 
 def _place(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pafs.LocalFileSystem(), path)
 
 
+def _listed(fs: pafs.FileSystem, path: str) -> list:
+    """(file, record-range borders) of each file that a manifest names."""
+    with fs.open_input_stream(path) as f:
+        return json.loads(f.read())
+
+
 @dataclass
 class _Range(InputPartition):
     path: str
@@ -126,12 +135,11 @@ class WarcReader(DataSourceReader):
         info = fs.get_file_info(root)
         if info.type == pafs.FileType.File:
             return [_Range(self.path, 0, -1)]
-        if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{root}/{MANIFEST}") as f:
-                files = json.loads(f.read())
-            return [_Range(f"{self.path}/{name}", a, b) for name, cuts in files for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        names = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(root)) if x.base_name.endswith((".warc", ".warc.gz")))
-        return [_Range(f"{self.path}/{name}", 0, -1) for name in names]
+        found = fs.get_file_info(pafs.FileSelector(root))
+        names = sorted(x.base_name for x in found if x.base_name.startswith(MANIFEST))
+        if names:
+            return [_Range(f"{self.path}/{name}", a, b) for m in names for name, cuts in _listed(fs, f"{root}/{m}") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return [_Range(f"{self.path}/{x.base_name}", 0, -1) for x in sorted(found, key=lambda x: x.base_name) if x.base_name.endswith((".warc", ".warc.gz"))]
 
     def read(self, partition: _Range | None) -> Iterator[tuple]:
         if partition is None:  # an archive without records has no partitions
@@ -158,8 +166,8 @@ class WarcReader(DataSourceReader):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite = options["path"], overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = _place(self.path)
@@ -181,8 +189,13 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[WriterCommitMessage]) -> None:
         fs, root = _place(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as out:
+        before = [x.base_name for x in fs.get_file_info(pafs.FileSelector(root)) if x.base_name.startswith(MANIFEST)] if self.overwrite else []
+        with fs.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps([f for m in messages if m is not None for f in m.files]).encode())
+        for manifest in before:
+            files = [name for name, _ in _listed(fs, f"{root}/{manifest}")]
+            for name in (manifest, *files):
+                fs.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list[WriterCommitMessage]) -> None:
         fs, root = _place(self.path)
@@ -205,7 +218,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: Any, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -214,21 +227,23 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
-def archive(pages: DataFrame, path: str) -> None:
-    """Write a record per page; payloads that an earlier page already has become revisits."""
+def archive(pages: DataFrame, path: str, mode: str = "append") -> None:
+    """Write a record per page; payloads that an earlier page of this call already has become revisits."""
     spark = pages.sparkSession
     spark.dataSource.register(WarcSource)
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("target_uri"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     named = named.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_length", F.length("payload").cast("long"))
     firsts = named.where(F.col("payload_length") >= MIN_REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
-    joined = named.join(firsts, "payload_digest", "left")
+    # short payloads have keys of their own, so that empty pages don't meet in one task
+    key = F.when(F.col("payload_length") >= MIN_REVISIT, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "target_uri").cast("string")))
+    joined = named.withColumn("key", key).join(firsts.withColumnRenamed("payload_digest", "key"), "key", "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     records = joined.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"), urn("page_id").alias("record_id"), "target_uri", "payload_digest",
         F.when(again, urn("first")).alias("refers_to"), "payload_length", F.when(~again, F.col("payload")).alias("payload"),
     )
-    records.write.format("warc").mode("append").save(path)
+    records.write.format("warc").mode(mode).save(path)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
