@@ -9,8 +9,12 @@ cut-off is calibrated on rule-decided addresses that the counts leave out, as
 the threshold that best separates them. Only DataFrame functions are used.
 
 Each distinct (host, path) is scored once, so a hot address costs no more than
-any other. Scores of character grams are rounded to whole micro-nats, which
-makes sums independent of the order of addition.
+any other. An address is cut into characters once and travels as a 128-bit key
+with its distinct grams and their counts, so the work is linear in its length.
+Scores of character grams are rounded to whole micro-nats, which makes sums
+independent of the order of addition. The cut-off is found from the distinct
+scores in milli-nats, which are bounded by the model's least probability (about
+100,000 of either sign).
 
 Results for odd input: a null url, or one without ``://``, has empty host and
 path, fits no rule and is judged by the model as an empty address; repeated
@@ -52,11 +56,13 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
     return pick([h + p for _, h, p in ordered]), pick([a for a, _, _ in ordered])
 
 
-def _grams(addresses: DataFrame) -> DataFrame:
-    """A row per character of each address: the ORDER characters that end there."""
+def _grams(addresses: DataFrame, *kept: str) -> DataFrame:
+    """(key, kept columns, gram, times): the runs of ORDER characters that end at each character of an address, and how often."""
     padded = F.concat(F.lit(BEGIN * (ORDER - 1)), "host", "path", F.lit(END))
-    at = F.explode(F.sequence(F.lit(1), F.char_length("host") + F.char_length("path") + 1))
-    return addresses.withColumn("padded", padded).withColumn("at", at).withColumn("gram", F.substring("padded", F.col("at"), F.lit(ORDER))).drop("padded", "at")
+    cut = addresses.select("key", *kept, F.regexp_extract_all(padded, F.lit("(?s)."), F.lit(0)).alias("chars"))
+    places = F.sequence(F.lit(0), F.size("chars") - ORDER)
+    grams = F.transform(places, lambda i: F.concat(*(F.get("chars", i + k) for k in range(ORDER))))
+    return cut.select("key", *kept, F.explode(grams).alias("gram")).groupBy("key", *kept, "gram").agg(F.count("*").alias("times"))
 
 
 def gram_scores(grams: DataFrame, counted: DataFrame) -> DataFrame:
@@ -96,15 +102,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     """page_id, host, path, rule, verdict and the model's score (milli-nats a character) of every row."""
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    addresses = named.groupBy("host", "path").agg(F.count("*").alias("n")).withColumn("rule", rule).withColumn("action", action)
+    named = named.withColumn("key", F.unhex(F.md5(F.concat(F.col("host"), F.lit("\u0001"), F.col("path")).cast("binary"))))
+    addresses = named.groupBy("key").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.count("*").alias("n")).withColumn("rule", rule).withColumn("action", action)
     addresses = addresses.withColumn("held", F.crc32(F.concat("host", "path")) % FOLD == 0)
     addresses = store(addresses, "addresses")
-    grams = _grams(addresses)
-    known = grams.where("action is not null and not held").groupBy("gram").agg(F.sum(F.when(F.col("action") == "allow", F.col("n")).otherwise(0)).alias("n_allow"), F.sum(F.when(F.col("action") == "block", F.col("n")).otherwise(0)).alias("n_block"))
+    seen = lambda a: F.sum(F.when(F.col("action") == a, F.col("n") * F.col("times")).otherwise(0))
+    known = _grams(addresses.where("action is not null and not held"), "action", "n").groupBy("gram").agg(seen("allow").alias("n_allow"), seen("block").alias("n_block"))
+    grams = store(_grams(addresses), "url-grams")
     scores = store(gram_scores(grams, store(known, "grams")), "gram-scores")
-    total = grams.select("host", "path", "gram").join(scores, "gram").groupBy("host", "path").agg(F.sum("score").alias("total"), F.count("*").alias("chars"))
-    milli = F.least(F.greatest(F.round(F.col("total") / F.col("chars") / 1000.0).cast("long"), F.lit(-20000)), F.lit(20000))
-    scored = store(addresses.join(total, ["host", "path"]).withColumn("milli", milli), "url-scores")
+    total = grams.join(scores, "gram").groupBy("key").agg(F.sum(F.col("score") * F.col("times")).alias("total"), F.sum("times").alias("chars"))
+    milli = F.round(F.col("total") / F.col("chars") / 1000.0).cast("long")
+    scored = store(addresses.join(total, "key").select("key", "n", "rule", "action", "held", milli.alias("milli")), "url-scores")
     cut = cut_off(scored.where("held and action is not null"))
     verdict = F.coalesce("action", F.when(F.col("milli") >= cut, "allow").otherwise("block"))
-    return named.join(scored.select("host", "path", "rule", verdict.alias("verdict"), F.col("milli").alias("score")), ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "score")
+    return named.join(scored.select("key", "rule", verdict.alias("verdict"), F.col("milli").alias("score")), "key").select("page_id", "host", "path", "rule", "verdict", "score")
