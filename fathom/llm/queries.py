@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, lm, media, minhash, mixing, quality, suffix, toxicity, urls, warc
+from .scratch import store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +16,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = media.features(media.encode(_table(spark, sf_dir, "documents")))
+    media_table = store(media.encode(_table(spark, sf_dir, "documents")), "media", "zstd")
     feature = F.concat_ws(":", F.size("codes").cast("string"), F.sha2(F.concat_ws(",", F.array_join("times", ","), F.array_join("codes", ",")), 256))
-    return found.withColumn("feature", feature).drop("times", "codes")
+    return media.features(media_table).withColumn("feature", feature)
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,8 +36,8 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     index = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, index, evidence=False)
-    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    scored = toxicity.score(docs, index)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence", "cosines")
 
 
 def op6_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """A passage shorter than a window in most documents: its anchor must not become one group of work."""
 
 import random
+from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -14,7 +14,7 @@ from .test_text_operators import repeated
 def _rows():
     rng = random.Random(8)
     line = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
-    passage, left, right = line(60), [line(70) for _ in range(2500)], [line(70) for _ in range(2500)]
+    passage, left, right = line(85), [line(60) for _ in range(2500)], [line(60) for _ in range(2500)]
     return [(3 * k, rng.choice(left) + passage + rng.choice(right)) for k in range(9000)]
 
 
@@ -22,11 +22,16 @@ def test_hot_anchor_is_dealt_over_keys():
     rows = _rows()
     shards = [pa.table({"shard": pa.array([s] * len(own), pa.int64()), "doc_id": [i for i, _ in own], "sub": pa.array([0] * len(own), pa.int64()), "text": [t for _, t in own]}) for s, own in enumerate((rows[::2], rows[1::2]))]
     counted = pa.concat_tables([suffix._anchors(s) for s in shards])
-    replies = pa.Table.from_batches(suffix._repeated(iter(counted.to_batches())))
-    met = pa.concat_tables([suffix._shard_pieces(docs, replies.filter(pc.equal(replies.column("shard"), s))) for s, docs in enumerate(shards)])
-    keys, back = np.unique(np.asarray(met.column("key")), return_inverse=True)
-    sent = np.bincount(back, [40 + len(c.as_py() or b"") for c in met.column("content")])
-    assert sent.max() <= suffix.COLLECTION
+    total = counted.group_by("key").aggregate([("n", "sum")]).filter(pc.field("n_sum") > 1)
+    replies = counted.join(total, "key", join_type="inner")
+    replies = replies.append_column("hot", pc.greater(replies.column("n_sum"), suffix.HOT))
+    assert max(replies.column("n_sum").to_pylist()) > suffix.HOT
+    met = pa.concat_tables([suffix._shard_pieces(docs, replies.filter(pc.equal(replies.column("shard"), s)), 50) for s, docs in enumerate(shards)])
+    sent = Counter()
+    for r in met.to_pylist():
+        for key, windows in zip(r["key"], r["windows"], strict=True):
+            sent[key] += 56 + (windows + suffix.SIZE if r["content"] else 0)
+    assert max(sent.values()) <= 1.2 * suffix.COLLECTION
 
 
 def test_hot_anchor_finds_the_same(spark):

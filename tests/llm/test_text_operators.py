@@ -140,9 +140,9 @@ def test_decontamination(spark, odd, odd_rows):
 
 def test_proximity(odd, odd_rows):
     index = decontam.build_index(odd.where("doc_id = 13"), None)
-    near = decontam.proximity(index, decontam.term("one"), decontam.term("four"), 3).collect()
+    near = decontam.proximity(index, "one", "four", 3).collect()
     assert [tuple(r) for r in near] == [(13, 0, 3)]
-    assert decontam.proximity(index, decontam.term("one"), decontam.term("four"), 2).isEmpty()
+    assert decontam.proximity(index, "one", "four", 2).isEmpty()
 
 
 def test_lattice_sums_all_segmentations():
