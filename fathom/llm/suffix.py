@@ -14,16 +14,16 @@ distinct pieces go as digests of single windows, dealt by anchor and window, so
 the most frequent passage is no group of its own and only equal windows meet.
 
 Each shard of documents transforms its own pieces and ships, per bucket of
-anchors, their text with its transform: the positions in the order of their
-first ``CONTEXT`` bytes, with two bytes before each to walk back by (a
-bounded-context Burrows-Wheeler transform). A bucket's task ``merge``s the
-transforms of all shards: every round orders all positions by those two bytes,
-stably, which extends the sorted context by two and keeps each shard's own
-order. From ``MERGED`` bytes on only unsettled runs, whose neighbours still
-agree, are refined, by the place of the position one context further; so the
-settled context doubles, and no suffix is compared or sorted anew. The places
-after each round give the common prefixes of neighbours; runs that share SIZE
-bytes are the repeated intervals.
+anchors, their Burrows-Wheeler transform (the byte before each position, in the
+order of the strings that start there, cyclic within a piece) and the rank of
+each piece's start, and no text. A bucket's task walks back through each
+transform, which gives its text and order, and ``merge``s them: every round
+orders all positions by the two bytes before them, stably, which extends the
+settled context by two and keeps each shard's own order. From ``MERGED`` bytes
+on only unsettled runs, whose neighbours still agree, are refined, by the place
+of the position one context further; so the settled context doubles, and no
+suffix is compared or sorted anew. The places after each round give the common
+prefixes of neighbours; runs that share SIZE bytes are the repeated intervals.
 
 Shards and buckets are counted by bytes (``SHARD_BYTES``, ``COLLECTION``), so a
 task's memory doesn't follow the corpus.
@@ -54,15 +54,14 @@ from .scratch import parts, total_bytes
 SIZE = 100
 GRAM = 32
 STEP = 2
-CONTEXT = 8
 MERGED = 16
 COLLECTION = 1 << 20
 #: Pieces of one anchor that surely fit a collection.
 HOT = COLLECTION // (2 * SIZE - GRAM + 1)
 SHARD_BYTES = 8 << 20
 _PLACE_BITS = np.uint64(32)
-_LISTS = ("key", "digest", "tail", "doc_id", "sub", "at", "windows")
-_BUNDLE = f"bucket long, {', '.join(f'{c} array<long>' for c in _LISTS)}, content binary, transform binary"
+_LISTS = {"key": "long", "digest": "long", "tail": "long", "doc_id": "long", "sub": "long", "at": "int", "windows": "int", "start": "int"}
+_BUNDLE = f"bucket long, {', '.join(f'{c} array<{t}>' for c, t in _LISTS.items())}, transform binary"
 
 
 def _pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -111,13 +110,59 @@ class Layout:
         following = np.where(self.within + 1 < sizes[self.owner], every + 1, self.first[self.owner])
         self.before = text[self.last].astype(np.uint16) << np.uint16(8) | text[following[self.last]]
 
+    def ahead(self, step: int) -> np.ndarray:
+        """The position step bytes on, cyclic within the piece."""
+        return self.first[self.owner] + (self.within + step) % self.sizes[self.owner]
 
-def transform(laid: Layout) -> np.ndarray:
-    """The positions ordered by their first CONTEXT bytes."""
-    positions = np.arange(len(laid.text), dtype=np.int32)
-    for _ in range(CONTEXT // STEP):
-        positions = laid.last[positions[np.argsort(laid.before[positions], kind="stable")]]
-    return positions
+
+def cyclic_order(laid: Layout) -> np.ndarray:
+    """The positions in the order of the endless strings that start there, equal ones by position."""
+    every = np.arange(len(laid.text))
+    place, context, left = merge(laid, [every.astype(np.int32)]), MERGED, 1
+    while left and context < 2 * int(laid.sizes.max()):
+        left = refine(place, every, laid.ahead(context))
+        context *= 2
+    return np.argsort(place, kind="stable")
+
+
+def transform(laid: Layout, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The transform of each group of neighbouring pieces, one after the other.
+
+    That is the byte before each position, in the order of the strings that
+    start there, and the rank of each piece's start within its group.
+    """
+    order = cyclic_order(laid)
+    order = order[np.argsort(group[laid.owner[order]], kind="stable")]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    heads = np.concatenate([[True], group[1:] != group[:-1]])
+    return laid.text[laid.ahead(-1)[order]], rank[laid.first] - laid.first[heads][np.cumsum(heads) - 1]
+
+
+def restore(turned: list[np.ndarray], start: np.ndarray, sizes: np.ndarray, pieces: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(text, orders) of transforms, by walking back from the start of every piece at once; pieces is how many each transform has."""
+    bases = np.cumsum([len(t) for t in turned]) - [len(t) for t in turned]
+    back = np.empty(sum(map(len, turned)), np.int64)
+    for base, t in zip(bases.tolist(), turned, strict=True):
+        back[base + np.argsort(t, kind="stable")] = np.arange(base, base + len(t))
+    flat, at = np.concatenate(turned), start + np.repeat(bases, pieces)
+    text, rank = np.empty(len(flat), np.uint8), np.empty(len(flat), np.int64)
+    ends = np.cumsum(sizes)
+    for step in range(1, int(sizes.max()) + 1):
+        own = np.flatnonzero(sizes >= step)
+        text[ends[own] - step] = flat[at[own]]
+        at[own] = back[at[own]]
+        rank[ends[own] - step] = at[own]
+    order = np.full(len(flat), -1)
+    order[rank] = np.arange(len(flat))
+    orders, piece = [], 0
+    for base, t, n in zip(bases.tolist(), turned, pieces.tolist(), strict=True):
+        own = order[base : base + len(t)]
+        if (own < 0).any():  # a piece of whole periods visits some ranks twice
+            own = base + cyclic_order(Layout(text[base : base + len(t)], sizes[piece : piece + n]))
+        orders.append(own)
+        piece += n
+    return text, orders
 
 
 def merge(laid: Layout, transforms: list[np.ndarray]) -> np.ndarray:
@@ -136,8 +181,8 @@ def merge(laid: Layout, transforms: list[np.ndarray]) -> np.ndarray:
     return place
 
 
-def refine(place: np.ndarray, wanted: np.ndarray, further: np.ndarray) -> None:
-    """Settle runs of equal place among wanted by the place of the further positions."""
+def refine(place: np.ndarray, wanted: np.ndarray, further: np.ndarray) -> int:
+    """Settle runs of equal place among wanted by the place of the further positions; how many there were to settle."""
     alive = np.bincount(place[wanted], minlength=len(place))[place[wanted]] > 1
     own, ahead = wanted[alive], further[alive]
     key = place[own].astype(np.int64) << 32 | place[ahead]
@@ -149,6 +194,7 @@ def refine(place: np.ndarray, wanted: np.ndarray, further: np.ndarray) -> None:
         count = np.arange(len(own))
         shift = np.maximum.accumulate(np.where(sub, count, 0)) - np.maximum.accumulate(np.where(first, count, 0))
         place[own] = (run + shift).astype(np.int32)
+    return len(own)
 
 
 def intervals(laid: Layout, transforms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -260,31 +306,29 @@ def _windows(key: np.ndarray, doc: np.ndarray, at: np.ndarray, start: np.ndarray
     return blocks.signed(blocks.mix(key.view(np.uint64)[piece] ^ blocks.mix(digest.view(np.uint64)))), digest, tail, doc[piece], at[piece] + step
 
 
-def _bundles(texts: list[np.ndarray], run: np.ndarray, start: np.ndarray, end: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, slice, bytes, bytes]]:
-    """(bucket, its pieces, their text, the text's transform) of pieces in order of bucket, some COLLECTION bytes at a time."""
+def _bundles(texts: list[np.ndarray], run: np.ndarray, start: np.ndarray, end: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, bytes]]:
+    """(bucket, its pieces, ranks of their starts, their transform) of pieces in order of bucket, some COLLECTION bytes at a time."""
     sizes = end - start + STEP
+    reach, gap = np.cumsum(sizes), bytes(STEP)
     heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
     tails = np.append(heads[1:], len(bucket))
-    reach = np.cumsum(sizes)
     lo = 0
     while lo < len(heads):
-        done = reach[heads[lo] - 1] if heads[lo] else 0
+        done = int(reach[heads[lo] - 1]) if heads[lo] else 0
         hi = max(lo + 1, int(np.searchsorted(reach[tails - 1], done + COLLECTION, "right")))
         own = slice(int(heads[lo]), int(tails[hi - 1]))
-        gap = bytes(STEP)
-        text = np.frombuffer(b"".join(texts[r][a:b].tobytes() + gap for r, a, b in zip(run[own].tolist(), start[own].tolist(), end[own].tolist(), strict=True)), np.uint8)
+        spans = zip(run[own].tolist(), start[own].tolist(), end[own].tolist(), strict=True)
+        text = np.frombuffer(b"".join(texts[r][a:b].tobytes() + gap for r, a, b in spans), np.uint8)
         laid = Layout(text, sizes[own])
-        order = transform(laid)
-        order = order[np.argsort(bucket[own][laid.owner[order]], kind="stable")]
+        turned, rank = transform(laid, bucket[own])
         for h, t in zip(heads[lo:hi].tolist(), tails[lo:hi].tolist(), strict=True):
             a = int(laid.first[h - own.start])
-            b = a + int(sizes[h:t].sum())
-            yield int(bucket[h]), slice(h, t), text[a:b].tobytes(), (order[a:b] - np.int32(a)).tobytes()
+            yield int(bucket[h]), slice(h, t), rank[h - own.start : t - own.start], turned[a : a + int(sizes[h:t].sum())].tobytes()
         lo = hi
 
 
 def _shard_pieces(docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
-    """Bundles of the shard's distinct pieces whose anchor is repeated, those of hot anchors as windows without text.
+    """Bundles of the shard's distinct pieces whose anchor is repeated, those of hot anchors as windows with an empty transform.
 
     What later equal ones within the shard cover comes as one bundle without a transform.
     """
@@ -326,18 +370,19 @@ def _shard_pieces(docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
         order, bucket = deal(key[own[~split]])
         own = own[~split][order]
         lists = [x[own] for x in (key, digest, tail, ids[doc], sub[doc], at, windows)]
-        rows += [(b, *(x[p] for x in lists), text, turned) for b, p, text, turned in _bundles(texts, run[own], start[own], end[own], bucket)]
+        rows += [(b, *(x[p] for x in lists), rank, turned) for b, p, rank, turned in _bundles(texts, run[own], start[own], end[own], bucket)]
         order, bucket = deal(many[0][first])
         many = [x[first[order]] for x in many]
-    lists = [*many[:3], ids[many[3]], sub[many[3]], many[4], np.ones(len(order), np.int64)]
+    none = np.zeros(max(len(order), len(local[0])), np.int64)
+    lists = [*many[:3], ids[many[3]], sub[many[3]], many[4], none[: len(order)] + 1, none[: len(order)]]
     heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-    rows += [(int(bucket[h]), *(x[h:t] for x in lists), b"", None) for h, t in itertools.pairwise([*heads.tolist(), len(bucket)])]
+    rows += [(int(bucket[h]), *(x[h:t] for x in lists), b"") for h, t in itertools.pairwise([*heads.tolist(), len(bucket)])]
     if len(local[0]):
-        none = np.zeros(len(local[0]), np.int64)
-        rows.append((int(ids[0] % buckets), none, none, none, ids[local[0]], sub[local[0]], local[1], local[2] - local[1] - SIZE + 1, None, None))
+        none = none[: len(local[0])]
+        rows.append((int(ids[0] % buckets), none, none, none, ids[local[0]], sub[local[0]], local[1], local[2] - local[1] - SIZE + 1, none, None))
     cols = list(zip(*rows, strict=True)) if rows else [[]] * 10
-    kinds = [pa.int64(), *[pa.list_(pa.int64())] * 7, pa.binary(), pa.binary()]
-    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", *_LISTS, "content", "transform"])
+    kinds = [pa.int64(), *(pa.list_(pa.int64() if t == "long" else pa.int32()) for t in _LISTS.values()), pa.binary()]
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", *_LISTS, "transform"])
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -347,20 +392,18 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _found(table: pa.Table) -> pa.Table:
     """(doc_id, sub, start, end): the bytes of repeated windows among the bundles of one bucket."""
-    bundles = table.column("windows").combine_chunks()
-    sizes = np.diff(np.asarray(bundles.offsets))
-    key, digest, tail, ids, sub, at, windows = (np.asarray(table.column(c).combine_chunks().flatten()) for c in _LISTS)
+    sizes = np.diff(np.asarray(table.column("windows").combine_chunks().offsets))
+    key, digest, tail, ids, sub, at, windows, start = (np.asarray(table.column(c).combine_chunks().flatten()).astype(np.int64) for c in _LISTS)
     doc, ids, sub = _ranks(ids, sub)
-    known = np.repeat(np.asarray(table.column("content").combine_chunks().is_null()), sizes)
+    turned = table.column("transform").to_pylist()
+    known = np.repeat([t is None for t in turned], sizes)
     out = [(doc[known], at[known], at[known] + windows[known] + SIZE - 1)]
     met = np.flatnonzero(~known)
     own, later = _collapsed(doc[met], at[met], key[met], digest[met], tail[met])
     later = met[later]
     out.append((doc[later], at[later], at[later] + windows[later] + SIZE - 1))
 
-    turned = table.column("transform").combine_chunks()
-    has = np.asarray(turned.is_valid())
-    here = np.flatnonzero(np.repeat(has, sizes))
+    here = np.flatnonzero(np.repeat([bool(t) for t in turned], sizes))
     lone = np.zeros(len(key), bool)
     lone[met[own]] = True
     lone = lone[here]
@@ -369,15 +412,12 @@ def _found(table: pa.Table) -> pa.Table:
     if lone.any():
         whole = windows[here] + SIZE - 1 + STEP
         kept = np.repeat(lone, whole)
-        fresh = np.cumsum(kept, dtype=np.int64) - 1
-        text = np.frombuffer(b"".join(table.column("content").filter(pa.array(has)).to_pylist()), np.uint8)[kept]
-        transforms, base = [], 0
-        for t in turned.filter(pa.array(has)).to_pylist():
-            positions = np.frombuffer(t, np.int32).astype(np.int64) + base
-            base += len(positions)
-            transforms.append(fresh[positions[kept[positions]]].astype(np.int32))
+        fresh = np.cumsum(kept) - 1
+        shipped = [(np.frombuffer(t, np.uint8), n) for t, n in zip(turned, sizes, strict=True) if t]
+        text, orders = restore([t for t, _ in shipped], start[here], whole, np.array([n for _, n in shipped]))
+        transforms = [fresh[order[kept[order]]].astype(np.int32) for order in orders]
         pieces = here[lone]
-        flags = repeated_starts(Layout(text, whole[lone]), transforms, doc[pieces], at[pieces])
+        flags = repeated_starts(Layout(text[kept], whole[lone]), transforms, doc[pieces], at[pieces])
         for k, f in zip(pieces, flags, strict=True):
             if f.any():
                 a, b = _runs(f)

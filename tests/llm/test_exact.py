@@ -81,7 +81,10 @@ def test_merged_order_and_shared_bytes():
     gap = np.zeros(suffix.STEP, np.uint8)
     for ps in parts:
         own = suffix.Layout(np.concatenate([x for p in ps for x in (p, gap)]), np.array([len(p) + suffix.STEP for p in ps]))
-        transforms.append(suffix.transform(own) + at)
+        turned, start = suffix.transform(own, np.zeros(len(ps), np.int64))
+        text, orders = suffix.restore([turned], start, own.sizes, np.array([len(ps)]))
+        assert (text == own.text).all() and (orders[0] == suffix.cyclic_order(own)).all()
+        transforms.append(orders[0] + at)
         at += len(own.text)
     laid = suffix.Layout(np.concatenate([x for p in flat for x in (p, gap)]), np.array([len(p) + suffix.STEP for p in flat]))
     positions, shared = suffix.intervals(laid, transforms)
@@ -92,6 +95,14 @@ def test_merged_order_and_shared_bytes():
         assert s == max(c for c in (0, 16, 32, 64, 100) if c <= common)
 
 
+def test_transform_of_whole_periods_is_undone():
+    text = np.frombuffer(b"ab\0\0ab\0\0" * 3 + b"ba\0\0ba\0\0" + b"x" * 30 + b"\0\0", np.uint8)
+    sizes = np.array([24, 8, 32])
+    turned, start = suffix.transform(suffix.Layout(text, sizes), np.array([0, 0, 1]))
+    back, orders = suffix.restore([turned[:32], turned[32:]], start, sizes, np.array([2, 1]))
+    assert (back == text).all() and [sorted(o) for o in orders] == [list(range(32)), list(range(32, 64))]
+
+
 def plain_fingerprint(payload):
     n = len(payload)
     starts = list(range(0, n - 255, 128))

@@ -30,7 +30,7 @@ def test_hot_anchor_is_dealt_over_keys():
     sent = Counter()
     for r in met.to_pylist():
         for key, windows in zip(r["key"], r["windows"], strict=True):
-            sent[key] += 56 + (windows + suffix.SIZE if r["content"] else 0)
+            sent[key] += 56 + (windows + suffix.SIZE if r["transform"] else 0)
     assert max(sent.values()) <= 1.2 * suffix.COLLECTION
 
 
