@@ -16,7 +16,7 @@ VERDICT_DELTAS = {"Ok": 1, "FidelityBelowThreshold": -8, "IntegrityViolation": -
 COARSE_DELTAS = {"Timeout": -4, "VerificationFailure": -8}
 
 
-def _pick(key: Column, table: dict) -> Column:
+def pick(key: Column, table: dict) -> Column:
     out = F.lit(None)
     for k, v in table.items():
         out = F.when(key == k, F.lit(v)).otherwise(out)
@@ -54,11 +54,11 @@ def challenge_count(share: Column, n: Column) -> Column:
 
 
 def verdict_delta(detail: Column) -> Column:
-    return _pick(detail, VERDICT_DELTAS)
+    return pick(detail, VERDICT_DELTAS)
 
 
 def coarse_delta(delta: Column) -> Column:
-    return _pick(delta, COARSE_DELTAS)
+    return pick(delta, COARSE_DELTAS)
 
 
 def after_verdict(standing: Column, detail: Column) -> Column:

@@ -108,7 +108,11 @@ def parent_level(level: Column) -> Column:
 
 def merkle_levels(leaves: Column) -> Column:
     """All levels from the padded hashed leaves to the root, for an array of binary leaves."""
-    base = wide(F.transform(leaves, leaf_hash))
+    return node_levels(wide(F.transform(leaves, leaf_hash)))
+
+
+def node_levels(base: Column) -> Column:
+    """All levels from nodes, as many as a power of two, to the root."""
     depth = F.log2(F.size(base)).cast("int")
     steps = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(steps, F.array(base), lambda acc, _: F.concat(acc, F.array(parent_level(F.element_at(acc, -1)))))
@@ -120,7 +124,7 @@ def merkle_root(leaves: Column) -> Column:
 
 
 def merkle_proof(levels: Column, index: Column) -> Column:
-    """Sibling nodes from leaf to root; null if the index is beyond the leaves' level."""
+    """Sibling nodes from leaf to root; null if the index is beyond the padded leaves."""
     inner = F.slice(levels, F.lit(1), F.size(levels) - 1)
     path = F.transform(inner, lambda level, d: F.get(level, F.floor(index / F.pow(F.lit(2.0), d)).cast("int").bitwiseXOR(F.lit(1))))
     return F.when((index >= 0) & (index < F.size(F.get(levels, F.lit(0)))), path)
@@ -137,15 +141,76 @@ def proof_holds(root: Column, leaf: Column, index: Column, proof: Column) -> Col
 def associated_data(job: Column, segment: Column, role: Column) -> Column:
     """job and segment as 8 little-endian bytes each, then one byte of role."""
 
-    def little(x: Column) -> Column:
-        digits = F.lpad(F.hex(x), 16, "0")
-        return F.concat(*(F.substring(digits, 15 - 2 * k, 2) for k in range(8)))
+    return F.unhex(F.concat(_little_hex(job), _little_hex(segment), F.lpad(F.hex(role), 2, "0")))
 
-    return F.unhex(F.concat(little(job), little(segment), F.lpad(F.hex(role), 2, "0")))
+
+def _little_hex(x: Column) -> Column:
+    """The 8 bytes of a bigint, least first, as hex."""
+    digits = F.lpad(F.hex(x), 16, "0")
+    return F.concat(*(F.substring(digits, 15 - 2 * k, 2) for k in range(8)))
 
 
 def cpu_list(text: Column) -> Column:
-    """Sorted distinct ids of a list such as 0-3,8."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p.rlike(r"^\d+(-\d+)?$"))
-    ranges = F.transform(parts, lambda p: F.sequence(F.split_part(p, F.lit("-"), F.lit(1)).cast("int"), F.split_part(p, F.lit("-"), F.lit(-1)).cast("int")))
+    """Sorted distinct ids of a list such as 0-3,8; other parts and falling ranges are skipped."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p.rlike(r"^\d+(\s*-\s*\d+)?$"))
+    end = lambda p, k: F.trim(F.split_part(p, F.lit("-"), F.lit(k))).cast("int")
+    ranges = F.transform(parts, lambda p: F.when(end(p, 1) <= end(p, -1), F.sequence(end(p, 1), end(p, -1))).otherwise(F.array().cast("array<int>")))
     return F.array_sort(F.array_distinct(F.flatten(ranges)))
+
+
+def seal(payload: Column, key: Column, aad: Column, nonce: Column | None = None) -> Column:
+    """nonce, ciphertext and tag under AES-256-GCM; without a nonce one is drawn."""
+    return F.aes_encrypt(payload, key, F.lit("GCM"), F.lit("DEFAULT"), nonce if nonce is not None else F.lit("").cast("binary"), aad)
+
+
+def unseal(sealed: Column, key: Column, aad: Column) -> Column:
+    """The payload, or null if too short to be sealed bytes or if anything was changed."""
+    return F.when(F.length(sealed) >= 28, F.try_aes_decrypt(sealed, key, F.lit("GCM"), F.lit("DEFAULT"), aad))
+
+
+def frame_index(fraction: Column, n: Column) -> Column:
+    """The frame at a fraction (held within 0 and 1) of n frames."""
+    held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), fraction))
+    return F.least(F.floor(held * n).cast("bigint"), n.cast("bigint") - 1)
+
+
+def challenge_seed(commitment_hex: Column, nonce: Column) -> Column:
+    """The first 8 bytes, little-endian and unsigned, of SHA-256 over a commitment and 16 little-endian bytes of a number, as a decimal."""
+    raw = F.concat(F.unhex(commitment_hex), F.unhex(F.concat(_little_hex(nonce), F.lit("00" * 8))))
+    digest = F.sha2(raw, 256)
+    turned = F.concat(*(F.substring(digest, 15 - 2 * k, 2) for k in range(8)))
+    return F.conv(turned, 16, 10)
+
+
+def window_times(window: Column, seconds: float = 4.0, windows: int = 4) -> Column:
+    """The two sampled times of a window, 15 and 55 % into it."""
+    size = seconds / windows
+    return F.array(window * size + 0.15 * size, window * size + 0.55 * size)
+
+
+def parts_per_million(part: Column, whole: Column) -> Column:
+    """part * 1000000 div whole, 0 of nothing."""
+    share = F.floor(part.cast("decimal(20,0)") * 1000000 / F.nullif(whole, F.lit(0)).cast("decimal(20,0)")).cast("bigint")
+    return F.when(whole > 0, share).otherwise(F.lit(0).cast("bigint"))
+
+
+#: Encoders by codec, muxers by container.
+ENCODERS = {"H264": "libx264", "H265": "libx265", "Av1": "libsvtav1", "Vp9": "libvpx-vp9"}
+MUXERS = {"Mp4": "mp4", "WebM": "webm", "Mkv": "matroska", "MpegTs": "mpegts"}
+
+
+def _named(key: Column, names: dict[str, str]) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), key)
+
+
+def encoder_of(codec: Column) -> Column:
+    return _named(codec, ENCODERS)
+
+
+def muxer_of(container: Column) -> Column:
+    return _named(container, MUXERS)
+
+
+def catch_detail(attack: Column) -> Column:
+    """What a caught attack is: changed bytes break the commitment, anything else lowers fidelity."""
+    return F.when(attack == "byte_swap", "CommitmentMismatch").otherwise("FidelityBelowThreshold")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import in_order
+
 #: Fixed values of the similarity index.
 C1, C2 = 6.5025, 58.5225
 
@@ -18,22 +20,21 @@ def error_rates(scores: DataFrame, threshold: Column, *keys: str) -> DataFrame:
 
 
 def candidate_thresholds(scores: DataFrame) -> DataFrame:
-    """Below the least score, between neighbours, above the greatest."""
+    """Below the least score, between neighbours, above the greatest; 0 without scores."""
     distinct = scores.select("score").distinct()
-    before = F.lag("score").over(Window.orderBy("score"))
-    between = distinct.withColumn("b", before).where("b is not null").select(((F.col("score") + F.col("b")) / 2).alias("threshold"))
-    ends = distinct.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).select(F.explode(F.array(F.col("lo") - 1e-6, F.col("hi") + 1e-6)).alias("threshold"))
-    return between.union(ends.where("threshold is not null"))
+    placed = in_order(distinct, "score").where("previous is not null")
+    between = placed.select(((F.col("score") + F.col("previous")) / 2).alias("threshold"))
+    ends = F.when(F.min("score").isNull(), F.array(F.lit(0.0))).otherwise(F.array(F.min("score") - 1e-6, F.max("score") + 1e-6))
+    return between.union(distinct.agg(ends.alias("t")).select(F.explode("t")))
 
 
 def sweep(scores: DataFrame) -> DataFrame:
     """Rates at every candidate threshold by cumulative counts over the distinct scores."""
     by = scores.groupBy("score").agg(F.count_if(F.col("class") == "attack").alias("a"), F.count_if(F.col("class") != "attack").alias("h"))
-    order = Window.orderBy("score")
-    under = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = by.select(F.coalesce((F.col("score") + F.lag("score").over(order)) / 2, F.col("score") - 1e-6).alias("threshold"), F.coalesce(F.sum("a").over(under), F.lit(0)).alias("ua"), F.coalesce(F.sum("h").over(under), F.lit(0)).alias("uh"), F.sum("a").over(whole).alias("attacks"), F.sum("h").over(whole).alias("honest"))
-    last = by.agg((F.max("score") + 1e-6).alias("threshold"), F.sum("a").alias("ua"), F.sum("h").alias("uh"), F.sum("a").alias("attacks"), F.sum("h").alias("honest")).where("threshold is not null")
+    total = by.agg(F.sum("a").alias("attacks"), F.sum("h").alias("honest"), (F.max("score") + 1e-6).alias("threshold")).where("threshold is not null")
+    placed = in_order(by, "score", sums={"ua": "a", "uh": "h"})
+    rows = placed.select(F.coalesce((F.col("score") + F.col("previous")) / 2, F.col("score") - 1e-6).alias("threshold"), "ua", "uh").crossJoin(F.broadcast(total.select("attacks", "honest")))
+    last = total.select("threshold", F.col("attacks").alias("ua"), F.col("honest").alias("uh"), "attacks", "honest")
     both = rows.union(last)
     return both.select("threshold", (F.col("attacks") - F.col("ua")).alias("false_accepts"), "attacks", F.col("uh").alias("false_rejects"), "honest", F.try_divide(F.col("attacks") - F.col("ua"), F.col("attacks")).alias("far"), F.try_divide("uh", "honest").alias("frr"))
 
@@ -44,25 +45,50 @@ def youden(swept: DataFrame) -> DataFrame:
     return swept.withColumn("j", j).agg(F.max_by("threshold", F.struct("j", "threshold")).alias("threshold"), F.max("j").alias("j"))
 
 
-def frame_similarity(pairs: DataFrame, *keys: str) -> DataFrame:
-    """Similarity of one window per key from pixel rows (x, y)."""
-    stats = pairs.groupBy(*keys).agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.coalesce(F.var_samp("x"), F.lit(0.0)).alias("vx"), F.coalesce(F.var_samp("y"), F.lit(0.0)).alias("vy"), F.coalesce(F.covar_samp("x", "y"), F.lit(0.0)).alias("cxy"))
-    score = F.expr(f"((2 * mx * my + {C1}D) * (2 * cxy + {C2}D)) / ((mx * mx + my * my + {C1}D) * (vx + vy + {C2}D))")
-    return stats.select(*keys, score.alias("ssim"))
+def window_similarity(x: Column, y: Column) -> Column:
+    """Similarity of two equally long arrays of pixels, with unbiased variances (0 of one pixel)."""
+    n = F.size(x)
+    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, e: a + e) / n
+    spread = lambda a, b: F.when(n > 1, F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, e: s + e) / (n - 1)).otherwise(0.0)
+    from_mean = lambda v, m: F.transform(v, lambda e: e - m)
+    mx, my = mean(x), mean(y)
+    dx, dy = from_mean(x, mx), from_mean(y, my)
+    return ((2 * mx * my + C1) * (2 * spread(dx, dy) + C2)) / ((mx * mx + my * my + C1) * (spread(dx, dx) + spread(dy, dy) + C2))
+
+
+#: Size and distance of the windows of the similarity index.
+WINDOW, STRIDE = 8, 4
+
 
+def windows_of(frames: DataFrame, size: int = WINDOW, stride: int = STRIDE) -> DataFrame:
+    """A row per full window (wx, wy) of frames with w, h and aligned arrays a and b, with the window's pixels x and y; a smaller plane is one window.
 
-def windows_of(frames: DataFrame, size: int = 8, stride: int = 4) -> DataFrame:
-    """(keys, wx, wy, x, y): pixels of every full window of frames with w, h and aligned arrays a and b; a smaller plane is one window."""
+    Only the window's rows are cut out of a plane, so no pixel has a row of its own.
+    """
     starts = lambda n: F.expr(f"if({n} <= {size}, array(0), sequence(0, {n} - {size}, {stride}))")
-    out = frames.withColumn("wy", F.explode(starts("h"))).withColumn("wx", F.explode(starts("w")))
-    out = out.withColumn("dy", F.explode(F.expr(f"sequence(0, least(h, {size}) - 1)"))).withColumn("dx", F.explode(F.expr(f"sequence(0, least(w, {size}) - 1)")))
-    at = (F.col("wy") + F.col("dy")) * F.col("w") + F.col("wx") + F.col("dx")
-    return out.withColumn("x", F.get("a", at)).withColumn("y", F.get("b", at)).drop("a", "b", "dx", "dy")
+    out = frames.withColumn("__w", F.explode(F.flatten(F.transform(starts("h"), lambda y: F.transform(starts("w"), lambda x: F.struct(y.alias("wy"), x.alias("wx")))))))
+    rows = F.sequence(F.lit(0), F.least(F.col("h"), F.lit(size)) - 1)
+    cut = lambda c: F.flatten(F.transform(rows, lambda r: F.slice(c, ((F.col("__w.wy") + r) * F.col("w") + F.col("__w.wx") + 1).cast("int"), F.least(F.col("w"), F.lit(size)).cast("int"))))
+    return out.withColumns({"wx": F.col("__w.wx"), "wy": F.col("__w.wy"), "x": cut("a"), "y": cut("b")}).drop("a", "b", "__w")
 
 
 def mean_similarity(frames: DataFrame, *keys: str) -> DataFrame:
-    """Mean over windows per frame; frames of unequal size are refused by the caller."""
-    return frame_similarity(windows_of(frames), *keys, "wx", "wy").groupBy(*keys).agg(F.avg("ssim").alias("mssim"))
+    """Windows and their mean similarity per frame; planes of unequal size are refused."""
+    fits = F.when((F.size("a") == F.col("w") * F.col("h")) & (F.size("b") == F.size("a")), F.col("a")).otherwise(F.raise_error(F.lit("planes of unequal size")))
+    windows = windows_of(frames.withColumn("a", fits))
+    return windows.groupBy(*keys).agg(F.count("*").alias("windows"), F.avg(window_similarity(F.col("x"), F.col("y"))).alias("mssim"))
+
+
+def segment_verdicts(sent: DataFrame, blobs: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
+    """(segment, detail, score): what each sent (segment, sent, output) is worth.
+
+    First the blob (output, held) is looked up and its commitment compared, then
+    the score decides; a missing blob, commitment or score is inconclusive.
+    """
+    joined = sent.join(blobs, "output", "left").join(scored, "segment", "left")
+    bound = F.col("held") == F.col("sent")
+    detail = F.when(bound.isNull(), "Inconclusive").when(~bound, "CommitmentMismatch").when(F.col("score").isNull(), "Inconclusive").when(F.col("score") >= threshold, "Ok").otherwise("FidelityBelowThreshold")
+    return joined.select("segment", detail.alias("detail"), F.when(bound, F.col("score")).alias("score"))
 
 
 def stage_latency(lifecycle: DataFrame, start: str, end: str) -> DataFrame:
@@ -78,11 +104,43 @@ def percentiles(values: DataFrame, column: str, *keys: str) -> DataFrame:
     return values.groupBy(*keys).agg(F.count("*").alias("count"), F.min(column).alias("min_ns"), q(0.5).alias("p50"), q(0.99).alias("p99"), q(0.999).alias("p999"), F.max(column).alias("max_ns"), F.avg(column).alias("mean_ns"))
 
 
-def nearest_rank(values: DataFrame, column: str, q: float, *keys: str) -> DataFrame:
-    """The value at place round(q * (n - 1)) of the sorted values, by ranks instead of one array."""
-    w = Window.partitionBy(*keys)
-    ranked = values.withColumn("k", F.row_number().over(w.orderBy(column)) - 1).withColumn("n", F.count("*").over(w))
-    return ranked.where(F.col("k") == F.round(F.lit(q) * (F.col("n") - 1))).select(*keys, F.col(column).alias("value"))
+def nearest_rank(values: DataFrame, column: str, qs: float | list[float], *keys: str) -> DataFrame:
+    """(keys, q, value): the value at place round(q * (n - 1)) of each key's sorted values, by places in ranges instead of one array."""
+    counts = values.groupBy(*keys).agg(F.count("*").alias("n"))
+    shares = F.array(*(F.lit(float(q)) for q in (qs if isinstance(qs, list) else [qs])))
+    wanted = counts.withColumn("q", F.explode(shares)).withColumn("place", F.round(F.col("q") * (F.col("n") - 1)).cast("bigint"))
+    placed = in_order(values.select(*keys, column), column, keys=keys)
+    return placed.join(wanted, [*keys, "place"]).select(*keys, "q", F.col(column).alias("value"))
+
+
+def latency_summary(values: DataFrame, column: str, profile: str, segment: str) -> DataFrame:
+    """Count, nearest-rank percentiles, least, greatest and mean in microseconds, by profile and segment with a row ALL for each profile."""
+    us = lambda c: F.round(F.col(c) / 1000, 3)
+    both = values.select(profile, F.explode(F.array(F.col(segment), F.lit("ALL"))).alias(segment), column)
+    shares = {"p50_us": 0.5, "p99_us": 0.99, "p999_us": 0.999}
+    ranks = nearest_rank(both, column, list(shares.values()), profile, segment)
+    ranks = ranks.groupBy(profile, segment).agg(*(F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for name, q in shares.items()))
+    plain = values.groupingSets([[profile, segment], [profile]], profile, segment).agg(F.count("*").alias("n"), F.min(column).alias("min_us"), F.max(column).alias("max_us"), F.avg(column).alias("mean_us"), F.grouping(segment).alias("whole"))
+    plain = plain.withColumn(segment, F.when(F.col("whole") == 1, "ALL").otherwise(F.col(segment)))
+    return plain.join(ranks, [profile, segment]).select(profile, segment, "n", *(us(c).alias(c) for c in (*shares, "min_us", "max_us", "mean_us")))
+
+
+def median_delta(values: DataFrame, column: str, path: str, names: tuple[str, str], *keys: str) -> DataFrame:
+    """Nearest-rank medians in milliseconds of two paths, and the second less the first."""
+    medians = nearest_rank(values, column, 0.5, *keys, path)
+    by = medians.groupBy(*keys).agg(*(F.max(F.when(F.col(path) == n, F.col("value"))).alias(n) for n in names))
+    ms = lambda c: F.round(c / 1e6, 3)
+    return by.select(*keys, *(ms(F.col(n)).alias(f"{n}_ms") for n in names), ms(F.col(names[1]) - F.col(names[0])).alias("delta_ms"))
+
+
+def histogram(values: DataFrame, column: str, bits: int = 11) -> DataFrame:
+    """(low, high, n) of the buckets that the leading ``bits`` bits of each value name; counts of parts add up."""
+    v = F.col(column)
+    shift = F.when(v < 2**bits, 0).otherwise(F.floor(F.log2(v)).cast("int") - (bits - 1))
+    cut = values.select(v.alias("v"), shift.alias("s"))
+    low = F.expr("shiftleft(shiftright(v, s), s)")
+    high = F.expr("shiftleft(shiftright(v, s) + 1, s) - 1")
+    return cut.groupBy(low.alias(f"low_{column}"), high.alias(f"high_{column}")).agg(F.count("*").alias("n"))
 
 
 def back_fill(values: DataFrame, column: str, expected: int) -> DataFrame:

@@ -2,16 +2,20 @@
 
 A task's events form one array. Tasks are expected to be many and short; a task
 of unbounded length belongs to the streaming form, which keeps one state row.
+A worker's verdicts may be many: clamped additions compose, so blocks of them are
+folded apart and only a row per block meets in one place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import reputation
 from ..plans import rules
 
+#: Events of a log that are folded into one array at a time.
+BLOCK = 256
 _EVENT = ("seq", "event", "worker", "epoch", "deadline", "passed")
 
 
@@ -20,13 +24,18 @@ def _struct(values: dict[str, str]) -> str:
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """A row per event in order: state before and after, error and actions."""
+    """A row per event in order: state before and after, error and actions.
+
+    Steps are gathered in blocks of BLOCK, so a long log isn't copied at each event.
+    """
     ordered = events.groupBy("task").agg(F.sort_array(F.collect_list(F.struct(*_EVENT))).alias("log"))
     step = _struct(rules.NEXT | {"error": rules.ERROR, "actions": rules.ACTIONS, "seq": "e.seq", "event": "e.event", "was": "s.status"})
     start = _struct(rules.START | {"error": "CAST(NULL AS STRING)", "actions": "''", "seq": "CAST(0 AS BIGINT)", "event": "''", "was": "''"})
-    fold = f"aggregate(log, array({start}), (acc, e) -> concat(acc, transform(array(element_at(acc, -1)), s -> {step})))"
-    steps = ordered.select("task", F.expr(f"slice({fold}, 2, size(log))").alias("steps"))
-    return steps.select("task", F.inline("steps"))
+    parts = f"transform(sequence(0, (size(log) - 1) div {BLOCK}), b -> slice(log, cast(b * {BLOCK} + 1 AS INT), {BLOCK}))"
+    within = f"slice(aggregate(part, array(a.last), (acc, e) -> concat(acc, transform(array(element_at(acc, -1)), s -> {step}))), 2, size(part))"
+    joined = f"transform(array({within}), r -> named_struct('last', element_at(r, -1), 'done', concat(a.done, array(r))))[0]"
+    fold = f"aggregate({parts}, named_struct('last', {start}, 'done', array(array({start}))), (a, part) -> {joined}, a -> flatten(slice(a.done, 2, size(a.done))))"
+    return ordered.select("task", F.expr(fold).alias("steps")).select("task", F.inline("steps"))
 
 
 def final_states(events: DataFrame) -> DataFrame:
@@ -36,16 +45,32 @@ def final_states(events: DataFrame) -> DataFrame:
     return ordered.select("task", F.expr(fold).alias("state")).select("task", "state.*")
 
 
+def _clamped(verdicts: DataFrame) -> DataFrame:
+    """(worker, block, log, off, lo, hi): verdicts in blocks of BLOCK; a block takes standing s to least(hi, greatest(lo, s + off))."""
+    place = F.row_number().over(Window.partitionBy("worker").orderBy("seq")) - 1
+    placed = verdicts.select("worker", "seq", "detail", reputation.verdict_delta(F.col("detail")).cast("int").alias("delta"), F.floor(place / BLOCK).cast("bigint").alias("block"))
+    blocks = placed.groupBy("worker", "block").agg(F.sort_array(F.collect_list(F.struct("seq", "detail", "delta"))).alias("log"))
+    start = F.struct(F.lit(0).alias("off"), F.lit(reputation.FLOOR).alias("lo"), F.lit(0).alias("hi"))
+    after = lambda f, v: F.struct((f.off + v.delta).alias("off"), reputation.clamp(f.lo + v.delta).alias("lo"), reputation.clamp(f.hi + v.delta).alias("hi"))
+    return blocks.withColumn("f", F.aggregate("log", start, after)).select("worker", "block", "log", "f.off", "f.lo", "f.hi")
+
+
+def _through(s: Column, f: Column) -> Column:
+    return F.least(f["hi"], F.greatest(f["lo"], s + f["off"]))
+
+
 def standings(verdicts: DataFrame) -> DataFrame:
     """(worker, verdicts, standing) after all verdicts (worker, seq, detail) in order."""
-    ordered = verdicts.groupBy("worker").agg(F.sort_array(F.collect_list(F.struct("seq", "detail"))).alias("log"))
-    final = F.aggregate("log", F.lit(0), lambda s, v: reputation.after_verdict(s, v.detail).cast("int"))
-    return ordered.select("worker", F.size("log").cast("long").alias("verdicts"), final.alias("standing"))
+    by = _clamped(verdicts).groupBy("worker").agg(F.sum(F.size("log")).alias("verdicts"), F.sort_array(F.collect_list(F.struct("block", "off", "lo", "hi"))).alias("blocks"))
+    return by.select("worker", "verdicts", F.aggregate("blocks", F.lit(0), _through).alias("standing"))
 
 
 def trajectories(verdicts: DataFrame) -> DataFrame:
     """A row per verdict: standing before and after."""
-    ordered = verdicts.groupBy("worker").agg(F.sort_array(F.collect_list(F.struct("seq", "detail"))).alias("log"))
-    series = F.aggregate("log", F.array(F.lit(0)), lambda acc, v: F.concat(acc, F.array(reputation.after_verdict(F.element_at(acc, -1), v.detail).cast("int"))))
-    exploded = ordered.withColumn("series", series).select("worker", "series", F.posexplode("log").alias("k", "v"))
-    return exploded.select("worker", "v.seq", "v.detail", F.get("series", F.col("k")).alias("before"), F.get("series", F.col("k") + 1).alias("after"))
+    blocks = _clamped(verdicts)
+    by = blocks.groupBy("worker").agg(F.sort_array(F.collect_list(F.struct("block", "off", "lo", "hi"))).alias("blocks"))
+    first = F.aggregate("blocks", F.array(F.lit(0)), lambda acc, f: F.concat(acc, F.array(_through(F.element_at(acc, -1), f))))
+    starts = by.select("worker", F.posexplode(first).alias("block", "first")).withColumn("block", F.col("block").cast("bigint"))
+    series = F.aggregate("log", F.array(F.col("first")), lambda acc, v: F.concat(acc, F.array(reputation.clamp(F.element_at(acc, -1) + v.delta))))
+    opened = blocks.join(starts, ["worker", "block"]).withColumn("series", series).select("worker", "series", F.posexplode("log").alias("k", "v"))
+    return opened.select("worker", "v.seq", "v.detail", F.get("series", F.col("k")).alias("before"), F.get("series", F.col("k") + 1).alias("after"))

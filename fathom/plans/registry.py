@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import reputation, scalars, udfs
-from ..operators import analytics, lifecycle, simulation
+from ..operators import analytics, commitments, lifecycle, simulation
+from ..operators.ordered import in_order
 from ..sources import logs
 from ..sources import tables as T
-from . import rules
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
+from . import twins
+from .catalog import QUERIES, SQL, query
 
-def query(twin: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if twin:
-            SQL[f.__name__] = twin
-        return f
-
-    return register
+__all__ = ["QUERIES", "SQL"]
 
 
 def _longs(*values: int):
@@ -68,19 +57,7 @@ def verdict_deltas(spark, d):
 
 
 # Lifecycle ----------------------------------------------------------------------------------------------------------------------------
-def _duck_rules(alias_state: str, alias_event: str) -> dict[str, str]:
-    swap = lambda t: t.replace("s.", f"{alias_state}.").replace("e.", f"{alias_event}.")
-    return {k: swap(v) for k, v in (rules.NEXT | {"error": rules.ERROR, "actions": rules.ACTIONS}).items()}
-
-
-def _fold_cte() -> str:
-    r = _duck_rules("s", "e")
-    first = ", ".join(f"{rules.START[k]} AS {k}" for k in rules.FIELDS)
-    step = ", ".join(f"{r[k]} AS {k}" for k in (*rules.FIELDS, "error", "actions"))
-    return f"ev AS ({T.TASK_EVENTS}), n AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY seq) AS rn FROM ev), f AS (SELECT task, 0::BIGINT AS rn, 0::BIGINT AS seq, '' AS event, '' AS was, {first}, NULL::VARCHAR AS error, '' AS actions FROM (SELECT DISTINCT task FROM n) UNION ALL SELECT e.task, e.rn, e.seq, e.event, s.status AS was, {step} FROM f s JOIN n e ON e.task = s.task AND e.rn = s.rn + 1)"
-
-
-_FOLD = _fold_cte()
+_FOLD = twins.FOLD
 
 
 def _replayed(spark, d):
@@ -125,7 +102,7 @@ def leases_current(spark, d):
 def leases_expired(spark, d):
     now = T.table(spark, d, "events").agg((F.max("event_id") * 0.98).alias("now"))
     due = leases_current(spark, d).crossJoin(F.broadcast(now)).where(scalars.expired(F.col("now"), F.col("deadline")))
-    return due.select("task", "deadline", F.row_number().over(Window.orderBy("task")).cast("bigint").alias("place"))
+    return in_order(due.select("task", "deadline"), "task").select("task", "deadline", (F.col("place") + 1).alias("place"))
 
 
 @query(f"{_LEASED} SELECT holder, count(*) AS in_flight FROM l WHERE status IN ('Leased', 'Submitted', 'Verifying') GROUP BY holder")
@@ -148,8 +125,8 @@ def heartbeat_extensions(spark, d):
 # Queue and placement ------------------------------------------------------------------------------------------------------------------
 @query(f"SELECT task, priority, enqueued, row_number() OVER (PARTITION BY priority ORDER BY enqueued, seq) AS place FROM ({T.READY})")
 def ready_order(spark, d):
-    order = Window.partitionBy("priority").orderBy("enqueued", "seq")
-    return T.derived(spark, d, T.READY_SPARK).select("task", "priority", "enqueued", F.row_number().over(order).cast("bigint").alias("place"))
+    ready = T.derived(spark, d, T.READY_SPARK)
+    return in_order(ready, "enqueued", "seq", keys=["priority"]).select("task", "priority", "enqueued", (F.col("place") + 1).alias("place"))
 
 
 @query(f"WITH t AS (SELECT unnest([4000, 8000, 20000]::BIGINT[]) AS now), a AS (SELECT now, task, enqueued, priority + greatest(now - enqueued, 0) // 1000 AS aged FROM ({T.READY}), t) SELECT now, task, aged FROM a QUALIFY row_number() OVER (PARTITION BY now ORDER BY aged DESC, enqueued, task) = 1")
@@ -244,7 +221,7 @@ def stage_percentiles(spark, d):
 
 @query("WITH r AS (SELECT l_returnflag AS flag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) SELECT flag, v AS value FROM r WHERE k = round(0.99 * (n - 1))")
 def nearest_rank_percentiles(spark, d):
-    return analytics.nearest_rank(T.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("v")), "v", 0.99, "flag")
+    return analytics.nearest_rank(T.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("v")), "v", 0.99, "flag").select("flag", "value")
 
 
 @query("WITH v AS (SELECT event_id, (value * 100)::BIGINT AS v FROM events), f AS (SELECT event_id, v FROM v UNION ALL SELECT event_id, unnest(range(v - 500, 499, -500)) FROM v WHERE v >= 1000) SELECT count(*) AS count, sum(v)::BIGINT AS total, max(v) AS most FROM f")
@@ -319,41 +296,76 @@ def release_confirm(spark, d):
 _LEVELS = "l AS (SELECT source AS job, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, sha256('\\x00'::BLOB || unhex(sha256(text))) AS h FROM documents), n AS (SELECT job, count(*) AS n, 2 ** ceil(log2(count(*)))::INT AS w FROM l GROUP BY job), p AS (SELECT job, i, h FROM l UNION ALL SELECT job, unnest(range(n, w::BIGINT)), repeat('0', 64) FROM n), t(d, job, i, h) AS (SELECT 0, job, i, h FROM p UNION ALL SELECT d + 1, job, i // 2, sha256('\\x01'::BLOB || unhex(h) || unhex(r)) FROM (SELECT d, job, i, h, lead(h) OVER (PARTITION BY d, job ORDER BY i) AS r FROM t) WHERE i % 2 = 0 AND r IS NOT NULL)"
 
 
-def _job_leaves(spark, d):
-    docs = T.table(spark, d, "documents").groupBy(F.col("source").alias("job")).agg(F.sort_array(F.collect_list(F.struct("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("leaf")))).alias("rows"))
-    return docs.select("job", F.transform("rows", lambda r: r.leaf).alias("leaves"))
+def _job_nodes(spark, d):
+    docs = T.table(spark, d, "documents").select(F.col("source").alias("job"), "doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("leaf"))
+    return commitments.leaf_nodes(docs, "doc_id")
 
 
 @query(f"WITH RECURSIVE {_LEVELS} SELECT t.job, any_value(n.n) AS leaves, arg_max(h, d) AS root FROM t JOIN n ON n.job = t.job GROUP BY t.job")
 def merkle_root(spark, d):
-    return _job_leaves(spark, d).select("job", F.size("leaves").cast("bigint").alias("leaves"), scalars.merkle_root(F.col("leaves")).alias("root"))
+    return commitments.roots(_job_nodes(spark, d))
 
 
 @query(f"WITH RECURSIVE {_LEVELS} SELECT job, d::BIGINT AS depth, h AS sibling FROM t WHERE i = xor((4 >> d)::BIGINT, 1::BIGINT) AND d < (SELECT max(d) FROM t t2 WHERE t2.job = t.job)")
 def merkle_proof(spark, d):
-    levels = _job_leaves(spark, d).select("job", scalars.merkle_levels(F.col("leaves")).alias("levels"))
-    path = levels.select("job", F.posexplode(scalars.merkle_proof(F.col("levels"), F.lit(4))).alias("depth", "sibling"))
+    nodes = _job_nodes(spark, d)
+    path = commitments.proofs(nodes, nodes.select("job", F.lit(4).cast("bigint").alias("index")).distinct())
+    path = path.select("job", F.posexplode("proof").alias("depth", "sibling"))
     return path.select("job", F.col("depth").cast("bigint").alias("depth"), F.lower(F.hex("sibling")).alias("sibling"))
 
 
-@query("SELECT source AS job, true AS opened, false AS relabelled, false AS tampered FROM documents GROUP BY source HAVING count(*) > 5")
+_WALK = """, top AS (SELECT job, max(d) AS d, arg_max(h, d) AS root FROM t GROUP BY job),
+leaf AS (SELECT t.job, t.i, t.h FROM t JOIN n ON n.job = t.job WHERE t.d = 0 AND t.i < n.n),
+c AS (SELECT l.job, 'opened' AS kind, 2::BIGINT AS i, l.h, 2::BIGINT AS pos FROM leaf l WHERE i = 2 UNION ALL SELECT job, 'relabelled', 5, h, 2 FROM leaf WHERE i = 2 UNION ALL SELECT job, 'tampered', 2, h, 2 FROM leaf WHERE i = 3 UNION ALL SELECT job, 'last', i, h, i FROM leaf l WHERE i = (SELECT n.n - 1 FROM n WHERE n.job = l.job)),
+w(job, kind, pos, i, h, d) AS (SELECT job, kind, pos, i, h, 0 FROM c
+ UNION ALL SELECT w.job, w.kind, w.pos // 2, w.i // 2, sha256('\\x01'::BLOB || CASE WHEN w.i % 2 = 0 THEN unhex(w.h) || unhex(s.h) ELSE unhex(s.h) || unhex(w.h) END), w.d + 1
+ FROM w JOIN t s ON s.job = w.job AND s.d = w.d AND s.i = xor(w.pos, 1::BIGINT) JOIN top ON top.job = w.job AND w.d < top.d)"""
+
+
+@query(f"WITH RECURSIVE {_LEVELS}{_WALK} SELECT w.job, w.kind, w.i = 0 AND w.h = top.root AS holds FROM w JOIN top ON top.job = w.job AND top.d = w.d")
 def reveal_verify(spark, d):
-    jobs = _job_leaves(spark, d).where("size(leaves) > 5").withColumn("levels", scalars.merkle_levels(F.col("leaves"))).withColumn("root", scalars.merkle_root(F.col("leaves")))
-    jobs = jobs.withColumn("proof", scalars.merkle_proof(F.col("levels"), F.lit(2)))
-    leaf = F.get("leaves", F.lit(2))
-    check = lambda leaf, i: scalars.proof_holds(F.col("root"), leaf, F.lit(i), F.col("proof"))
-    return jobs.select("job", check(leaf, 2).alias("opened"), check(leaf, 5).alias("relabelled"), check(F.get("leaves", F.lit(3)), 2).alias("tampered"))
+    """Openings of leaf 2 and of the last leaf, one with another index and one with another leaf."""
+    nodes = _job_nodes(spark, d)
+    asked = nodes.groupBy("job", "n").agg(F.first("job").alias("j")).select("job", F.explode(F.array(F.lit(2).cast("bigint"), F.col("n") - 1)).alias("index")).where("index >= 0")
+    proved = commitments.proofs(nodes, asked.distinct()).where("proof is not null")
+    leaf = nodes.select("job", "i", "leaf", "n")
+    last = leaf.where("i = n - 1").select("job", F.lit("last").alias("kind"), F.col("i").alias("index"), F.col("i").alias("at"), "leaf")
+    case = lambda name, i, at: leaf.where(F.col("i") == at).select("job", F.lit(name).alias("kind"), F.lit(i).cast("bigint").alias("index"), F.lit(2).cast("bigint").alias("at"), "leaf")
+    cases = case("opened", 2, 2).union(case("relabelled", 5, 2)).union(case("tampered", 2, 3)).union(last)
+    checked = cases.join(proved.withColumnRenamed("index", "at"), ["job", "at"]).join(commitments.roots(nodes), "job")
+    return checked.select("job", "kind", scalars.proof_holds(F.col("root"), F.col("leaf"), F.col("index"), F.col("proof")).alias("holds"))
+
 
+_LE8 = "array_to_string(list_transform(range(8), lambda k: printf('%02x', (({0}) >> (8 * k)::INT) & 255)), '')"
 
-@query("SELECT doc_id, true AS opened, false AS other_segment, false AS short_input, 28 + strlen(text)::BIGINT AS sealed_bytes FROM documents")
+
+@query(f"SELECT doc_id, {_LE8.format('doc_id')} || {_LE8.format('(doc_id * 300)')} || printf('%02x', doc_id % 2) AS aad FROM documents")
+def aead_aad(spark, d):
+    """The authenticated bytes of (job, segment, role), as hex."""
+    aad = scalars.associated_data(F.col("doc_id"), F.col("doc_id") * 300, F.col("doc_id") % 2)
+    return T.table(spark, d, "documents").select("doc_id", F.lower(F.hex(aad)).alias("aad"))
+
+
+@query()
 def aead_roundtrip(spark, d):
-    key = F.unhex(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256))
-    iv = F.substring(F.unhex(F.sha2(F.concat(F.lit("n"), F.col("doc_id").cast("string")).cast("binary"), 256)), 1, 12)
-    aad = lambda segment: scalars.associated_data(F.col("doc_id"), segment, F.lit(1))
-    sealed = F.aes_encrypt(F.col("text").cast("binary"), key, F.lit("GCM"), F.lit("DEFAULT"), iv, aad(F.lit(2).cast("bigint")))
+    """Sealed bytes opened with the right and with wrong associated data, key, nonce, tag, and cut short."""
+    sealed = lifecycle_seal(F.col("text").cast("binary"), F.col("doc_id"), F.lit(2).cast("bigint"), 1)
     rows = T.table(spark, d, "documents").withColumn("sealed", sealed)
-    opened = lambda s, seg: F.try_aes_decrypt(s, key, F.lit("GCM"), F.lit("DEFAULT"), aad(F.lit(seg).cast("bigint")))
-    return rows.select("doc_id", (opened(F.col("sealed"), 2) == F.col("text").cast("binary")).alias("opened"), opened(F.col("sealed"), 3).isNotNull().alias("other_segment"), (F.length("sealed") < 28).alias("short_input"), F.length("sealed").cast("bigint").alias("sealed_bytes"))
+    opens = lambda s=F.col("sealed"), job=F.col("doc_id"), seg=2, role=1, key=F.col("doc_id"): scalars.unseal(s, _key(key), scalars.associated_data(job, F.lit(seg).cast("bigint"), F.lit(role)))
+    flip = lambda at: F.concat(F.substring("sealed", 1, at - 1), F.unhex(F.lpad(F.hex(F.conv(F.hex(F.substring("sealed", at, 1)), 16, 10).cast("bigint").bitwiseXOR(F.lit(1).cast("bigint"))), 2, "0")), F.expr(f"substring(sealed, {at + 1})"))
+    tries = {"opened": opens(), "other_job": opens(job=F.col("doc_id") + 1), "other_segment": opens(seg=3), "other_role": opens(role=0), "other_key": opens(key=F.col("doc_id") + 1), "nonce_flipped": opens(flip(1)), "text_flipped": opens(flip(13)), "cut_short": opens(F.substring("sealed", 1, 27))}
+    outcome = F.filter(F.array(*(F.when(v == F.col("text").cast("binary"), F.lit(k)) for k, v in tries.items())), lambda x: x.isNotNull())
+    return rows.select("doc_id", F.array_join(outcome, ",").alias("opened_by"), (F.length("sealed") >= 28).alias("well_formed"), F.length("sealed").cast("bigint").alias("sealed_bytes"))
+
+
+def _key(name):
+    return F.unhex(F.sha2(F.concat(F.lit("k:"), name.cast("string")).cast("binary"), 256))
+
+
+def lifecycle_seal(payload, job, segment, role):
+    """Sealed with a key and nonce of the job, for repeatable rows; a workload draws both at random."""
+    nonce = F.substring(F.unhex(F.sha2(F.concat(F.lit("n:"), job.cast("string"), F.lit("-"), segment.cast("string")).cast("binary"), 256)), 1, 12)
+    return scalars.seal(payload, _key(job), scalars.associated_data(job, segment, F.lit(role)), nonce)
 
 
 # Fidelity -----------------------------------------------------------------------------------------------------------------------------
@@ -377,21 +389,51 @@ def segment_min_ssim(spark, d):
     return analytics.mean_similarity(_frame_pairs(spark, d), "vec_id").groupBy(F.expr("vec_id div 8").alias("segment")).agg(F.round(F.min("mssim"), 6).alias("worst"))
 
 
-@query(f"{_SSIM}, m AS (SELECT vec_id // 8 AS segment, min(ssim) AS worst FROM r GROUP BY 1), z AS (SELECT DISTINCT vec_id // 8 AS segment FROM embeddings) SELECT z.segment, CASE WHEN z.segment % 9 = 0 THEN 'CommitmentMismatch' WHEN worst IS NULL THEN 'Inconclusive' WHEN worst >= 0.05 THEN 'Ok' ELSE 'FidelityBelowThreshold' END AS detail, CASE WHEN z.segment % 9 <> 0 THEN round(worst, 6) END AS score FROM z LEFT JOIN m ON m.segment = z.segment")
+@query(f"""{_SSIM}, m AS (SELECT vec_id // 8 AS segment, min(ssim) AS worst FROM r GROUP BY 1), z AS (SELECT DISTINCT vec_id // 8 AS segment FROM embeddings),
+b AS (SELECT doc_id, sha256('\\x00'::BLOB || unhex(sha256(text))) AS held FROM documents),
+sent AS (SELECT segment, CASE WHEN segment % 9 = 4 THEN repeat('0', 64) ELSE (SELECT held FROM b WHERE doc_id = segment) END AS sent, CASE WHEN segment % 13 = 5 THEN NULL ELSE segment END AS output FROM z),
+j AS (SELECT s.segment, s.sent, b.held, m.worst FROM sent s LEFT JOIN b ON b.doc_id = s.output LEFT JOIN m ON m.segment = s.segment)
+SELECT segment, CASE WHEN held IS NULL OR sent IS NULL THEN 'Inconclusive' WHEN held <> sent THEN 'CommitmentMismatch' WHEN worst IS NULL THEN 'Inconclusive' WHEN worst >= 0.05 THEN 'Ok' ELSE 'FidelityBelowThreshold' END AS detail,
+ CASE WHEN held = sent THEN round(worst, 6) END AS score FROM j""")
 def verdicts(spark, d):
+    """Segments bound to the blob that they name, then scored; what is missing is inconclusive."""
     segments = T.table(spark, d, "embeddings").select(F.expr("vec_id div 8").alias("segment")).distinct()
-    scored = analytics.mean_similarity(_frame_pairs(spark, d), "vec_id").groupBy(F.expr("vec_id div 8").alias("segment")).agg(F.min("mssim").alias("worst"))
-    bound = F.col("segment") % 9 != 0
-    detail = F.when(~bound, "CommitmentMismatch").when(F.col("worst").isNull(), "Inconclusive").when(F.col("worst") >= 0.05, "Ok").otherwise("FidelityBelowThreshold")
-    return segments.join(scored, "segment", "left").select("segment", detail.alias("detail"), F.when(bound, F.round("worst", 6)).alias("score"))
+    scored = analytics.mean_similarity(_frame_pairs(spark, d), "vec_id").groupBy(F.expr("vec_id div 8").alias("segment")).agg(F.min("mssim").alias("score"))
+    blobs = _blobs(spark, d).select(F.col("doc_id").alias("output"), F.col("c").alias("held"))
+    own = blobs.withColumnsRenamed({"output": "segment", "held": "sent"})
+    sent = segments.join(own, "segment", "left").select("segment", F.when(F.col("segment") % 9 == 4, F.lit("0" * 64)).otherwise(F.col("sent")).alias("sent"), F.when(F.col("segment") % 13 != 5, F.col("segment")).alias("output"))
+    return analytics.segment_verdicts(sent, blobs, scored, 0.05).select("segment", "detail", F.round("score", 6).alias("score"))
 
 
-@query()
+_PLANES = """p AS (SELECT vec_id // 4 AS frame, vec_id % 4 AS part, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings),
+q AS (SELECT frame, (part % 2) * 8 + i % 8 AS x, (part // 2) * 8 + i // 8 AS y, greatest(0, least(255, round((e::DOUBLE + 1) * 127.5)))::DOUBLE AS v FROM p),
+g AS (SELECT wx, wy FROM (SELECT unnest([0, 4, 8]) AS wx), (SELECT unnest([0, 4, 8]) AS wy)),
+s AS (SELECT a.frame, wx, wy, avg(a.v) AS mx, avg(b.v) AS my, var_samp(a.v) AS vx, var_samp(b.v) AS vy, covar_samp(a.v, b.v) AS c FROM q a JOIN q b ON b.frame = a.frame + 1 AND b.x = a.x AND b.y = a.y JOIN g ON a.x >= wx AND a.x < wx + 8 AND a.y >= wy AND a.y < wy + 8 GROUP BY ALL)"""
+
+
+@query(f"WITH {_PLANES} SELECT frame, count(*) AS windows, round(avg(((2 * mx * my + 6.5025) * (2 * c + 58.5225)) / ((mx * mx + my * my + 6.5025) * (vx + vy + 58.5225))), 6) AS mssim FROM s GROUP BY frame")
+def mssim_planes(spark, d):
+    """Planes of 16 x 16 (nine windows of 8 x 8 at every fourth place) against the next."""
+    luma = F.transform("embedding", lambda e: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round((e.cast("double") + 1) * 127.5))))
+    quarters = T.table(spark, d, "embeddings").groupBy(F.expr("vec_id div 4").alias("frame")).agg(F.sort_array(F.collect_list(F.struct("vec_id", luma.alias("v")))).alias("q")).where("size(q) = 4")
+    pixel = lambda k: F.get(F.get("q", F.floor(k / 128).cast("int") * 2 + F.floor(k % 16 / 8).cast("int")).getField("v"), F.floor(k % 128 / 16).cast("int") * 8 + k % 8)
+    planes = quarters.select("frame", F.transform(F.sequence(F.lit(0), F.lit(255)), pixel).alias("a"))
+    pairs = planes.join(planes.select((F.col("frame") - 1).alias("frame"), F.col("a").alias("b")), "frame").withColumn("w", F.lit(16)).withColumn("h", F.lit(16))
+    return analytics.mean_similarity(pairs, "frame").select("frame", "windows", F.round("mssim", 6).alias("mssim"))
+
+
+_MIX = """u AS (SELECT segment, k, (segment::HUGEINT + k * 11400714819323198485::HUGEINT) % 18446744073709551616::HUGEINT AS z FROM (SELECT DISTINCT vec_id // 8 AS segment FROM embeddings), (SELECT unnest([1, 2, 3]) AS k)),
+m1 AS (SELECT segment, k, (xor(z::UBIGINT, (z::UBIGINT >> 30))::UHUGEINT * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM u),
+m2 AS (SELECT segment, k, (xor(z::UBIGINT, (z::UBIGINT >> 27))::UHUGEINT * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM m1),
+m3 AS (SELECT segment, k, (xor(z::UBIGINT, (z::UBIGINT >> 31)) >> 11)::DOUBLE / 9007199254740992.0::DOUBLE AS fraction FROM m2)"""
+
+
+@query(f"WITH {_MIX} SELECT segment, round(fraction, 12) AS fraction, least(floor(fraction * 8), 7)::BIGINT AS frame FROM m3")
 def challenge_positions(spark, d):
     """Sampled frame numbers of each segment from its seed."""
     seeds = T.table(spark, d, "embeddings").select(F.expr("vec_id div 8").alias("segment")).distinct()
     drawn = seeds.withColumn("fraction", F.explode(udfs.sample_fractions(3)("segment")))
-    return drawn.select("segment", "fraction", F.least(F.floor(F.col("fraction") * 8), F.lit(7)).alias("frame"))
+    return drawn.select("segment", F.round("fraction", 12).alias("fraction"), scalars.frame_index(F.col("fraction"), F.lit(8)).alias("frame"))
 
 
 # Error rates --------------------------------------------------------------------------------------------------------------------------
@@ -426,9 +468,48 @@ def heldout_rates(spark, d):
     return analytics.error_rates(_scores(spark, d, "held_out"), F.lit(0.5)).withColumn("far", F.round("far", 6)).withColumn("frr", F.round("frr", 6))
 
 
-@query(f"SELECT stratum, count(*) FILTER (class = 'honest') AS honest, count(*) FILTER (class = 'honest' AND score < 0.5) AS false_rejects FROM ({T.SCORES}) WHERE part = 'held_out' GROUP BY stratum")
+def _interval_sql(counts: str) -> str:
+    """SQL for exact 95 % intervals of counts (k, x, n): bisection of both binomial tails."""
+    tail = "list_sum(list_transform(range({0}, n + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(mid) + (n - j) * ln(1 - mid))))"
+    bisect = lambda name, first: f"""{name}(k, n, x, lo, hi, step) AS (SELECT k, n, x, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM c
+ UNION ALL SELECT k, n, x, CASE WHEN t < {'0.025' if name == 'low' else '0.975'} THEN mid ELSE lo END, CASE WHEN t < {'0.025' if name == 'low' else '0.975'} THEN hi ELSE mid END, step + 1
+ FROM (SELECT *, {tail.format(first)} AS t FROM (SELECT *, (lo + hi) / 2 AS mid FROM {name} WHERE step < 40)))"""
+    return f"""c AS ({counts}), {bisect('low', 'x')}, {bisect('high', 'x + 1')},
+ci AS (SELECT c.k, CASE WHEN c.n = 0 OR c.x = 0 THEN 0.0 ELSE (SELECT (lo + hi) / 2 FROM low WHERE low.k = c.k AND step = 40) END AS low,
+ CASE WHEN c.n = 0 OR c.x = c.n THEN 1.0 ELSE (SELECT (lo + hi) / 2 FROM high WHERE high.k = c.k AND step = 40) END AS high FROM c)"""
+
+
+def _with_interval(rates, x: str, n: str):
+    """rates with the exact 95 % interval of x of n; counts are few rows."""
+    return rates.withColumn("ci", udfs.binomial_interval()(x, n)).withColumn("low", F.round("ci.low", 6)).withColumn("high", F.round("ci.high", 6)).drop("ci")
+
+
+_FRR = f"SELECT stratum AS k, count(*) FILTER (class = 'honest' AND score < 0.5) AS x, count(*) FILTER (class = 'honest') AS n FROM ({T.SCORES}) WHERE part = 'held_out' GROUP BY stratum"
+
+
+@query(f"WITH RECURSIVE {_interval_sql(_FRR)} SELECT c.k AS stratum, n AS honest, x AS false_rejects, round(x / nullif(n, 0), 6) AS frr, round(low, 6) AS low, round(high, 6) AS high FROM c JOIN ci ON ci.k = c.k")
 def stratum_frr(spark, d):
-    return analytics.error_rates(_scores(spark, d, "held_out"), F.lit(0.5), "stratum").select("stratum", "honest", "false_rejects")
+    rates = analytics.error_rates(_scores(spark, d, "held_out"), F.lit(0.5), "stratum").select("stratum", "honest", "false_rejects", F.round("frr", 6).alias("frr"))
+    return _with_interval(rates, "false_rejects", "honest")
+
+
+@query(f"SELECT stratum, round(false_rejects / honest, 6) AS frr FROM (SELECT k AS stratum, x AS false_rejects, n AS honest FROM ({_FRR})) WHERE honest > 0 ORDER BY false_rejects / honest DESC, stratum DESC LIMIT 1")
+def worst_stratum(spark, d):
+    """The stratum with the greatest false-reject rate, ties to the last name."""
+    rates = analytics.error_rates(_scores(spark, d, "held_out"), F.lit(0.5), "stratum").where("honest > 0")
+    best = rates.agg(F.max_by(F.struct("stratum", "frr"), F.struct("frr", "stratum")).alias("b"))
+    return best.where("b is not null").select("b.stratum", F.round("b.frr", 6).alias("frr"))
+
+
+_POOLS = f"SELECT stratum || '/' || class AS k, count(*) FILTER ((class = 'attack') = (score >= 0.5)) AS x, count(*) AS n FROM ({T.SCORES}) GROUP BY stratum, class"
+
+
+@query(f"WITH RECURSIVE {_interval_sql(_POOLS)} SELECT c.k AS pool, x AS events, n AS total, round(x / n, 6) AS rate, round(low, 6) AS low, round(high, 6) AS high FROM c JOIN ci ON ci.k = c.k")
+def class_pools(spark, d):
+    """False accepts of each pool of attacks and false rejects of each pool of honest rows, with intervals."""
+    wrong = (F.col("class") == "attack") == (F.col("score") >= 0.5)
+    pools = _scores(spark, d).groupBy(F.concat_ws("/", "stratum", "class").alias("pool")).agg(F.count_if(wrong).alias("events"), F.count("*").alias("total"))
+    return _with_interval(pools.withColumn("rate", F.round(F.col("events") / F.col("total"), 6)), "events", "total")
 
 
 @query(f"WITH s AS ({T.SCORES}) SELECT count(*) = 0 AS disjoint_parts FROM s a JOIN s b ON a.segment = b.segment AND a.stratum = b.stratum AND a.part = 'calibration' AND b.part = 'held_out'")
@@ -437,11 +518,14 @@ def partition_disjoint(spark, d):
     return shared.agg((F.count("*") == 0).alias("disjoint_parts"))
 
 
-@query()
+_SPOTS = "SELECT k, x, n FROM (VALUES (1, 10, 48), (2, 1, 12), (3, 6, 9), (4, 0, 9), (5, 1, 4), (6, 0, 10), (7, 10, 10), (8, 0, 0)) t(k, x, n)"
+
+
+@query(f"WITH RECURSIVE {_interval_sql(_SPOTS)} SELECT c.k::BIGINT AS k, c.x::BIGINT AS x, c.n::BIGINT AS n, round(low, 6) AS low, round(high, 6) AS high FROM c JOIN ci ON ci.k = c.k")
 def clopper_pearson(spark, d):
-    """Exact 95 % intervals of the false-reject rate by stratum."""
-    rates = stratum_frr(spark, d)
-    return rates.withColumn("ci", udfs.binomial_interval()("false_rejects", "honest")).select("stratum", "honest", "false_rejects", F.round("ci.low", 6).alias("low"), F.round("ci.high", 6).alias("high"))
+    """Exact 95 % intervals of given counts."""
+    spots = spark.createDataFrame([(1, 10, 48), (2, 1, 12), (3, 6, 9), (4, 0, 9), (5, 1, 4), (6, 0, 10), (7, 10, 10), (8, 0, 0)], "k long, x long, n long")
+    return _with_interval(spots, "x", "n")
 
 
 # Detection ----------------------------------------------------------------------------------------------------------------------------
@@ -467,6 +551,14 @@ def detection_divergence(spark, d):
     return _grid(spark).select("tier", "n", "f", (F.round(F.col("binom") - F.col("hyper"), 6) + 0.0).alias("divergence"))
 
 
+@query(f"WITH {_GRID} SELECT tier, n, f, round(binom - hyper, 6) + 0.0 AS divergence FROM h ORDER BY abs(binom - hyper) DESC, p, n, f LIMIT 1")
+def greatest_divergence(spark, d):
+    """Where the binomial form is furthest from the exact one; the first of equals by tier, size and share."""
+    gap = _grid(spark).withColumn("gap", F.col("binom") - F.col("hyper"))
+    best = gap.agg(F.min_by(F.struct("tier", "n", "f", "gap"), F.struct(-F.abs("gap"), "p", "n", "f")).alias("b"))
+    return best.select("b.tier", "b.n", "b.f", (F.round("b.gap", 6) + 0.0).alias("divergence"))
+
+
 @query(f"WITH {_GRID}, r AS (SELECT stratum AS class, count(*) FILTER (class = 'attack' AND score >= 0.5) / nullif(count(*) FILTER (class = 'attack'), 0)::DOUBLE AS far FROM ({T.SCORES}) GROUP BY stratum) SELECT r.class, tier, n, f, round(hyper * (1 - far), 6) AS p_effective FROM h, r")
 def effective_detection(spark, d):
     far = analytics.error_rates(_scores(spark, d), F.lit(0.5), "stratum").select(F.col("stratum").alias("class"), "far")

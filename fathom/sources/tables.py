@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "benchmark", "labels", "conversations")
@@ -38,8 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """A derived table; the stored tables that its text names are read as views."""
-    for name in TABLES:
-        if name in text:
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(text)
+    """A derived table; the stored tables that its text reads are handed over as DataFrames, no view is made."""
+    named = re.compile(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b")
+    frames = {m.group(2): table(spark, sf_dir, m.group(2)) for m in named.finditer(text)}
+    return spark.sql(named.sub(r"\1 {\2}", text), **frames)

@@ -2,21 +2,21 @@
 
 import pytest
 
-from fathom.plans import registry
+from fathom.plans import catalog, flow, registry, summaries  # noqa: F401
 
 from .conftest import DATA
 
 
-@pytest.mark.parametrize("name", sorted(registry.SQL))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_twin(name, agree):
-    agree(registry.QUERIES[name], registry.SQL[name])
+    agree(catalog.QUERIES[name], catalog.SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(name, spark):
-    df = registry.QUERIES[name](spark, DATA)
+    df = catalog.QUERIES[name](spark, DATA)
     assert df.columns and df.count() >= 0
 
 
 def test_every_twin_has_a_query():
-    assert set(registry.SQL) <= set(registry.QUERIES)
+    assert set(catalog.SQL) <= set(catalog.QUERIES)

@@ -5,7 +5,7 @@ import os
 
 from fathom.operators import lifecycle
 from fathom.sources import tables
-from fathom.streaming import tasks
+from fathom.streaming import serving, tasks
 
 from .conftest import DATA
 
@@ -72,3 +72,39 @@ def test_registry_keeps_the_latest(spark, tmp_path):
     spark.sql("select * from values (1L, 5L), (1L, 9L), (2L, 3L) as t(worker, now)").write.parquet(str(tmp_path / "in"))
     got = _run(tasks.registry(_source(spark, str(tmp_path / "in"), "worker long, now long", 9)), tmp_path, "complete")
     assert sorted(r[1:] for r in got if r[0] == max(g[0] for g in got)) == [(1, 9), (2, 3)]
+
+
+def test_leases_run_out_by_the_clock(spark, tmp_path):
+    """A timer ends task 1's lease after task 2's event moved the clock; task 3's own late event finds its lease ended."""
+    rows = [(1, 1, "Lease", 5, 1, 100, False, 10), (3, 2, "Lease", 5, 1, 120, False, 11), (2, 3, "Lease", 6, 1, 900, False, 150), (3, 4, "Submit", 5, 1, 0, False, 160), (2, 5, "Heartbeat", 6, 1, 950, False, 170)]
+    events = spark.createDataFrame(rows, serving_schema := "task long, seq long, event string, worker long, epoch long, deadline long, passed boolean, now long")
+    folder = _as_files(events, "seq", tmp_path / "in", 5)
+    got = [r[1:] for r in _run(serving.with_deadlines(_source(spark, folder, serving_schema)).select("task", "seq", "event", "was", "status", "error", "actions"), tmp_path, "append")]
+    ended = [r for r in got if r[2] == "LeaseExpired"]
+    assert sorted(ended) == [(1, None, "LeaseExpired", "Leased", "Pending", None, "Requeue,EmitReputation(Timeout)"), (3, None, "LeaseExpired", "Leased", "Pending", None, "Requeue,EmitReputation(Timeout)")]
+    assert (3, 4, "Submit", "Pending", "Pending", "IllegalTransition", "") in got and (2, 5, "Heartbeat", "Leased", "Leased", None, "") in got
+
+
+def test_messages_reach_their_receiver(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 7, 1, 50), (2, 8, 1, 60), (3, 7, 2, 70)], serving.ASSIGNMENT)
+    rows.write.parquet(str(tmp_path / "in"))
+    done = serving.push(_source(spark, str(tmp_path / "in"), rows.schema, 9), str(tmp_path / "box"), str(tmp_path / "c1"), "worker").trigger(availableNow=True).start()
+    done.awaitTermination()
+    got = _run(serving.pop(spark, str(tmp_path / "box"), 7), tmp_path / "pop", "append")
+    assert sorted(r[1:] for r in got) == [(1, 7, 1, 50), (3, 7, 2, 70)]
+
+
+def test_requests_are_served_and_routed(spark, tmp_path):
+    payload = bytearray(b"abc")
+    blobs = spark.createDataFrame([("ba7816bf8f01cfea414140de5dae2223", payload)], "address string, payload binary")
+    good = "8a7deab2cc5ee003b6394337538a52b3198f1a6ddeb10c7daf62fe1c9834b43b"
+    lines = [json.dumps({"task": 1, "output": "ba7816bf8f01cfea414140de5dae2223", "commitment": good}), json.dumps({"task": 2, "output": "gone", "commitment": good}), json.dumps({"task": 3, "output": "ba7816bf8f01cfea414140de5dae2223", "commitment": "00"}), "nonsense"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("\n".join(lines) + "\n")
+    frames, broken = serving.serve(spark.readStream.text(str(tmp_path / "in")), blobs)
+    sent = _run(frames, tmp_path / "f", "append")
+    assert {(r[1], json.loads(r[3])["detail"]) for r in sent} == {(1, "Ok"), (2, "Inconclusive"), (3, "CommitmentMismatch")}
+    assert [r[1] for r in _run(broken, tmp_path / "b", "append")] == ["nonsense"]
+    spark.createDataFrame([(r[2], r[3]) for r in sent] + [(9, "{}"), (0, "")], "tag int, body string").write.parquet(str(tmp_path / "frames"))
+    kinds = sorted(r[3] for r in _run(serving.inbound(_source(spark, str(tmp_path / "frames"), "tag int, body string", 9)), tmp_path / "r", "append"))
+    assert kinds == ["malformed", "malformed", "verdict", "verdict", "verdict"]
