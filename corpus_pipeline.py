@@ -7,6 +7,11 @@ Decisions are made by row, not by doc_id. Rows without an id, and texts of an id
 beyond its first (by a hash of the text), are documents of their own, which come
 after all rows with an id of their own. Repeated rows, equal in id and text, are
 exact copies.
+
+Odd input: null and empty texts are never toxic beyond the base rate, copies,
+repeats or contaminated, so they stay as they are, each row of them; an empty
+table gives an empty table; further columns travel with their row, whatever they
+are called, but for those of the last stage's results, which it replaces.
 """
 
 from __future__ import annotations
@@ -52,9 +57,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated byte runs are cut out, with what they leave of split characters; emptied documents go."""
-    found = suffix.deduplicate(docs, carry=True).where("n_removed = 0 or length(kept) > 0")
-    text = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(_whole_characters(F.col("kept")))
-    joined = found.select("row.*", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    named = docs.withColumn("__none", F.col("text").isNull())
+    found = suffix.deduplicate(named, carry=True).where("n_removed = 0 or length(kept) > 0")
+    cut = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(_whole_characters(F.col("kept")))
+    joined = found.select("row.*", F.when(~F.col("row.__none"), cut).alias("text"), (F.col("n_removed") > 0).alias("__cut"))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("__cut"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return joined.select(*docs.columns)
 
 
@@ -75,8 +83,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their slot in a mix of equal source weights."""
-    return mixing.mix(docs)
+    """All documents with their slot in a mix by the target weights of their sources."""
+    return mixing.mix(docs, mixing.target_weights(docs))
 
 
 STAGES = [
