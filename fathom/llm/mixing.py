@@ -56,6 +56,17 @@ def schedule(weights: Mapping[str, int]) -> list[tuple[str, int, int, int, int]]
     return out
 
 
+def target_weight(source: str | None) -> int:
+    """A stated target weight of a source: 1 to 4, by the last byte of its name; 1 without a name."""
+    return 1 + (source.encode()[-1] % 4 if source else 0)
+
+
+def target_weights(docs: DataFrame, source_col: str = "source") -> dict[str | None, int]:
+    """The target weight of each source of docs, one more than mix takes at most."""
+    names = docs.select(source_col).distinct().limit(MAX_TABLE + 1).collect()
+    return {r[0]: target_weight(r[0]) for r in names}
+
+
 def mix(docs: DataFrame, weights: Mapping[str, int] | None = None, size: int = BLOCK, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """docs with block, release, deadline, slot, place (within the block) and balanced.
 

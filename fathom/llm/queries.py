@@ -44,16 +44,9 @@ def op6_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.likelihood(_table(spark, sf_dir, "documents"))
 
 
-def target_weight(source: str | None) -> int:
-    """The target weight of a source in op7: 1 to 4, by the last byte of its name."""
-    return 1 + (source.encode()[-1] % 4 if source else 0)
-
-
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    names = [r.source for r in docs.select("source").distinct().limit(mixing.MAX_TABLE).collect()]
-    mixed = mixing.mix(docs.select("doc_id", "source"), {s: target_weight(s) for s in names})
-    return mixed.select("doc_id", "source", "block", "place", "release", "deadline", "slot", "balanced")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, mixing.target_weights(docs)).select("doc_id", "source", "block", "place", "release", "deadline", "slot", "balanced")
 
 
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,19 @@ def test_mixing_keeps_all(steps):
     assert len({(r.slot, r.place) for r in rows}) == len(rows) and all(r.release <= r.slot < r.deadline for r in rows)
 
 
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
+def test_stages_take_odd_tables(spark, odd, odd_rows, nothing, k):
+    """Nulls, blanks, repeated rows and clashing columns pass; null and empty texts stay as they are; nothing gives nothing."""
+    stage = corpus_pipeline.STAGES[k][1]
+    after = corpus_pipeline.store(stage(spark, odd, DATA), "odd")
+    assert after.columns[: len(odd.columns)] == odd.columns or k == 4
+    assert set(odd.columns) <= set(after.columns)
+    blank = sorted(((i, t) for i, t in odd_rows if not (t or "")), key=repr)
+    assert sorted(((r.doc_id, r.text) for r in after.where("coalesce(text, '') = ''").collect()), key=repr) == blank
+    assert after.where("label <> 'l' or shard <> 2 or n <> 3 or key <> 'k'").isEmpty()
+    assert stage(spark, nothing, DATA).isEmpty()
+
+
 def test_entry_without_the_subpackage(tmp_path):
     """Without these folders the other queries still register."""
     import subprocess
