@@ -104,25 +104,62 @@ class Layout:
         self.text, self.sizes = text, sizes
         self.first = np.cumsum(sizes) - sizes
         self.owner = np.repeat(np.arange(len(sizes)), sizes)
-        every = np.arange(len(text))
-        self.within = every - self.first[self.owner]
-        self.last = np.where(self.within >= STEP, every - STEP, every + sizes[self.owner] - STEP).astype(np.int32)
-        following = np.where(self.within + 1 < sizes[self.owner], every + 1, self.first[self.owner])
-        self.before = text[self.last].astype(np.uint16) << np.uint16(8) | text[following[self.last]]
-
-    def ahead(self, step: int) -> np.ndarray:
-        """The position step bytes on, cyclic within the piece."""
-        return self.first[self.owner] + (self.within + step) % self.sizes[self.owner]
+        self.size = np.repeat(sizes.astype(np.int32), sizes)
+        self.start = np.repeat(self.first.astype(np.int32), sizes)
+        self.within = np.arange(len(text), dtype=np.int32) - self.start
+
+    def two_back(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the position two bytes before each, the two bytes between)."""
+        last = self.ahead(-STEP)
+        return last, self.text[last].astype(np.uint16) << np.uint16(8) | self.text[self.ahead(-1)]
+
+    def ahead(self, step: int, of: np.ndarray | None = None) -> np.ndarray:
+        """The position step bytes on, cyclic within the piece, of some positions or of all."""
+        start, size, then = (self.start, self.size, self.within) if of is None else (self.start[of], self.size[of], self.within[of])
+        then = then + np.int32(step)
+        if step < 0:
+            then[then < 0] += size[then < 0]
+        elif step <= SIZE:  # once around at most, as pieces are longer
+            then -= size * (then >= size)
+        else:
+            then %= size
+        then += start
+        return then
 
 
 def cyclic_order(laid: Layout) -> np.ndarray:
-    """The positions in the order of the endless strings that start there, equal ones by position."""
-    every = np.arange(len(laid.text))
-    place, context, left = merge(laid, [every.astype(np.int32)]), MERGED, 1
-    while left and context < 2 * int(laid.sizes.max()):
-        left = refine(place, every, laid.ahead(context))
+    """The positions in the order of the endless strings that start there, equal ones by position.
+
+    First by eight bytes, then those that still agree by the place of the
+    position as far on as is settled, which doubles each time.
+    """
+    key, context = laid.text.astype(np.uint64), 1
+    while context < 8:
+        key = key << np.uint64(8 * context) | key[laid.ahead(context)]
+        context *= 2
+    order = np.argsort(key)
+    new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    tied = ~new
+    tied[:-1] |= ~new[1:]
+    alive = order[tied]
+    while len(alive) and context < 2 * int(laid.sizes.max()):
+        key = place[alive] << 32 | place[laid.ahead(context, alive)]
+        by = np.argsort(key)
+        alive, key = alive[by], key[by]
+        run, new = key >> 32, np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.concatenate([[True], run[1:] != run[:-1]])
+        count = np.arange(len(alive))
+        place[alive] = run + np.maximum.accumulate(np.where(new, count, 0)) - np.maximum.accumulate(np.where(first, count, 0))
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        alive = alive[tied]
         context *= 2
-    return np.argsort(place, kind="stable")
+    if len(alive):
+        return np.argsort(place, kind="stable")
+    order[place] = np.arange(len(place))
+    return order
 
 
 def transform(laid: Layout, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,21 +205,22 @@ def restore(turned: list[np.ndarray], start: np.ndarray, sizes: np.ndarray, piec
 def merge(laid: Layout, transforms: list[np.ndarray]) -> np.ndarray:
     """The place of each position among all transforms, interleaved by their first MERGED bytes; equal bytes, equal places."""
     positions = np.concatenate(transforms)
+    last, before = laid.two_back()
     block = np.zeros(len(positions), np.int32)
     for _ in range(MERGED // STEP):
-        key = laid.before[positions]
+        key = before[positions]
         order = np.argsort(key, kind="stable")
         key, block = key[order], block[order]
         differs = np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
-        positions = laid.last[positions[order]]
+        positions = last[positions[order]]
         block = np.cumsum(differs, dtype=np.int32)
     place = np.empty(len(positions), np.int32)
     place[positions] = np.flatnonzero(differs)[block - 1]
     return place
 
 
-def refine(place: np.ndarray, wanted: np.ndarray, further: np.ndarray) -> int:
-    """Settle runs of equal place among wanted by the place of the further positions; how many there were to settle."""
+def refine(place: np.ndarray, wanted: np.ndarray, further: np.ndarray) -> None:
+    """Settle runs of equal place among wanted by the place of the further positions."""
     alive = np.bincount(place[wanted], minlength=len(place))[place[wanted]] > 1
     own, ahead = wanted[alive], further[alive]
     key = place[own].astype(np.int64) << 32 | place[ahead]
@@ -194,7 +232,6 @@ def refine(place: np.ndarray, wanted: np.ndarray, further: np.ndarray) -> int:
         count = np.arange(len(own))
         shift = np.maximum.accumulate(np.where(sub, count, 0)) - np.maximum.accumulate(np.where(first, count, 0))
         place[own] = (run + shift).astype(np.int32)
-    return len(own)
 
 
 def intervals(laid: Layout, transforms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +240,7 @@ def intervals(laid: Layout, transforms: list[np.ndarray]) -> tuple[np.ndarray, n
     Shared bytes are given in the steps of refinement: 0, MERGED, 2 and 4 times MERGED, or SIZE.
     """
     place = merge(laid, transforms)
-    room = laid.sizes[laid.owner] - STEP - laid.within
+    room = laid.size - STEP - laid.within
     every = np.arange(len(laid.text))
     whole = every[room >= SIZE]
     settled = [(MERGED, place[whole])]
@@ -320,7 +357,7 @@ def _bundles(texts: list[np.ndarray], run: np.ndarray, start: np.ndarray, end: n
         spans = zip(run[own].tolist(), start[own].tolist(), end[own].tolist(), strict=True)
         text = np.frombuffer(b"".join(texts[r][a:b].tobytes() + gap for r, a, b in spans), np.uint8)
         laid = Layout(text, sizes[own])
-        turned, rank = transform(laid, bucket[own])
+        turned, rank = transform(laid, np.repeat(np.arange(hi - lo, dtype=np.uint16 if hi - lo < 65536 else np.int64), tails[lo:hi] - heads[lo:hi]))
         for h, t in zip(heads[lo:hi].tolist(), tails[lo:hi].tolist(), strict=True):
             a = int(laid.first[h - own.start])
             yield int(bucket[h]), slice(h, t), rank[h - own.start : t - own.start], turned[a : a + int(sizes[h:t].sum())].tobytes()
