@@ -9,7 +9,8 @@ windows with one anchor travel as one piece of text. Equal windows have equal
 anchors, so they meet in the same bucket. Anchors that occur once in the corpus
 are dropped on count alone, and equal pieces (by a 128-bit digest) collapse to
 the earliest, first within a shard of documents and then across shards, before
-anything is sorted. An anchor of more than ``HOT`` pieces is split further: its
+anything is sorted; where all pieces of an anchor are alike (least and greatest
+hash agree), their digests are all that travels. An anchor of more than ``HOT`` pieces is split further: its
 distinct pieces go as digests of single windows, dealt by anchor and window, so
 the most frequent passage is no group of its own and only equal windows meet.
 
@@ -59,17 +60,19 @@ COLLECTION = 1 << 20
 #: Pieces of one anchor that surely fit a collection.
 HOT = COLLECTION // (2 * SIZE - GRAM + 1)
 SHARD_BYTES = 8 << 20
+#: How pieces of an anchor travel: as digests only, as text, as digests of single windows.
+ALIKE, WHOLE, SPLIT = 0, 1, 2
 _PLACE_BITS = np.uint64(32)
 _LISTS = {"key": "long", "digest": "long", "tail": "long", "doc_id": "long", "sub": "long", "at": "int", "windows": "int", "start": "int"}
 _BUNDLE = f"bucket long, {', '.join(f'{c} array<{t}>' for c, t in _LISTS.items())}, transform binary"
 
 
 def _pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(start, windows, anchor hash, document) of every run of windows with one anchor."""
+    """(start, windows, anchor hash, document, hash of the whole) of every run of windows with one anchor."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < SIZE:
-        return none, none, none.astype(np.uint64), none
+        return none, none, none.astype(np.uint64), none, none.astype(np.uint64)
     grams = blocks.rolling_hashes(data, GRAM)
     place = np.arange(len(grams), dtype=np.uint64)
     low = (np.uint64(1) << _PLACE_BITS) - np.uint64(1)
@@ -93,15 +96,20 @@ def _pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     change[1:] |= valid[1:] != valid[:-1]
     starts = np.flatnonzero(change)
     ends = np.append(starts[1:], len(anchor))
+    rank = np.arange(len(anchor), dtype=np.uint64) - np.repeat(starts, ends - starts).astype(np.uint64)
+    summed = np.concatenate([[np.uint64(0)], np.cumsum(blocks.mix(grams[: len(anchor)] + rank * np.uint64(blocks.MULTIPLIER)))])
     starts, ends = starts[valid[starts]], ends[valid[starts]]
-    return starts, ends - starts, grams[anchor[starts]], np.searchsorted(bounds, starts, "right") - 1
+    whole = summed[ends] - summed[starts] + (ends - starts).astype(np.uint64)
+    for step in (GRAM, 2 * GRAM, SIZE - GRAM):  # the rest of the last window
+        whole = blocks.mix(whole) + grams[ends - 1 + step]
+    return starts, ends - starts, grams[anchor[starts]], np.searchsorted(bounds, starts, "right") - 1, whole
 
 
 class Layout:
     """Pieces in a row, each followed by STEP zero bytes, with the ways back from each position, cyclic within its piece."""
 
     def __init__(self, text: np.ndarray, sizes: np.ndarray):
-        self.text, self.sizes = text, sizes
+        self.text, self.sizes, self.least = text, sizes, int(sizes.min(initial=1 << 30))
         self.first = np.cumsum(sizes) - sizes
         self.owner = np.repeat(np.arange(len(sizes)), sizes)
         self.size = np.repeat(sizes.astype(np.int32), sizes)
@@ -119,7 +127,7 @@ class Layout:
         then = then + np.int32(step)
         if step < 0:
             then[then < 0] += size[then < 0]
-        elif step <= SIZE:  # once around at most, as pieces are longer
+        elif step <= self.least:  # once around at most
             then -= size * (then >= size)
         else:
             then %= size
@@ -297,13 +305,20 @@ def _ranks(ids: np.ndarray, sub: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _anchors(table: pa.Table) -> pa.Table:
-    found = [np.zeros(0, np.uint64)]
+    """(shard, key, n, lo, hi): how many pieces of an anchor the shard has, and the least and greatest hash of them."""
+    keys, whole = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     with np.errstate(over="ignore"):
         for _, data, bounds in _shard_rows(table):
-            found.append(_pieces(data, bounds)[2])
-    keys, n = np.unique(np.concatenate(found), return_counts=True)
+            found = _pieces(data, bounds)
+            keys.append(found[2])
+            whole.append(found[4])
+    key, whole = blocks.signed(np.concatenate(keys)), blocks.signed(np.concatenate(whole))
+    order = np.argsort(key)
+    key, whole = key[order], whole[order]
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    spread = (np.minimum.reduceat(whole, heads), np.maximum.reduceat(whole, heads)) if len(key) else (key, key)
     shard = table.column("shard")[0].as_py()
-    return pa.table({"shard": pa.array(np.full(len(keys), shard, np.int64)), "key": pa.array(blocks.signed(keys)), "n": pa.array(n)})
+    return pa.table({"shard": np.full(len(heads), shard, np.int64), "key": key[heads], "n": np.diff(np.append(heads, len(key))), "lo": spread[0], "hi": spread[1]})
 
 
 def _covered(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -365,20 +380,22 @@ def _bundles(texts: list[np.ndarray], run: np.ndarray, start: np.ndarray, end: n
 
 
 def _shard_pieces(docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
-    """Bundles of the shard's distinct pieces whose anchor is repeated, those of hot anchors as windows with an empty transform.
+    """Bundles of the shard's distinct pieces whose anchor is repeated.
 
+    Pieces that are alike wherever their anchor is, and the windows of hot
+    anchors, have an empty transform: only their digests meet.
     What later equal ones within the shard cover comes as one bundle without a transform.
     """
-    wanted, hot = np.zeros(0, np.uint64), np.zeros(0, bool)
+    wanted, kind = np.zeros(0, np.uint64), np.zeros(0, np.int32)
     if replies.num_rows:
-        wanted, hot = np.asarray(replies.column("key").combine_chunks()).view(np.uint64), np.asarray(replies.column("hot").combine_chunks().cast(pa.uint8())).astype(bool)
-        wanted, hot = wanted[np.argsort(wanted)], hot[np.argsort(wanted)]
+        wanted, kind = np.asarray(replies.column("key").combine_chunks()).view(np.uint64), np.asarray(replies.column("kind").combine_chunks())
+        wanted, kind = wanted[np.argsort(wanted)], kind[np.argsort(wanted)]
     columns: list[list] = [[np.zeros(0, np.int64)] for _ in range(6)]
     texts: list[np.ndarray] = []
     ranked, ids, sub = _ranks(*_names(docs))
     with np.errstate(over="ignore"):
         for lo, data, bounds in _shard_rows(docs) if len(wanted) else ():
-            start, windows, key, doc = _pieces(data, bounds)
+            start, windows, key, doc, _ = _pieces(data, bounds)
             rank = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
             hit = wanted[rank] == key
             start, windows, key, doc = start[hit], windows[hit], key[hit], doc[hit]
@@ -389,7 +406,8 @@ def _shard_pieces(docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
     end = start + windows + SIZE - 1
     digest, tail = _digests(texts, run, start, end)
     own, later = _collapsed(doc, at, key, digest, tail)
-    split = hot[np.searchsorted(wanted, key[own].view(np.uint64))] if len(own) else np.zeros(0, bool)
+    own_kind = kind[np.searchsorted(wanted, key[own].view(np.uint64))] if len(own) else np.zeros(0, np.int32)
+    alike, own, split = own[own_kind == ALIKE], own[own_kind != ALIKE], own_kind[own_kind != ALIKE] == SPLIT
     known = [(doc[later], at[later], at[later] + windows[later] + SIZE - 1)]
     with np.errstate(over="ignore"):
         many = _windows(*(x[own[split]] for x in (key, doc, at, start, windows, run)), texts)
@@ -408,10 +426,11 @@ def _shard_pieces(docs: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
         own = own[~split][order]
         lists = [x[own] for x in (key, digest, tail, ids[doc], sub[doc], at, windows)]
         rows += [(b, *(x[p] for x in lists), rank, turned) for b, p, rank, turned in _bundles(texts, run[own], start[own], end[own], bucket)]
-        order, bucket = deal(many[0][first])
-        many = [x[first[order]] for x in many]
+        plain = [np.concatenate([x[alike], y[first]]) for x, y in zip((key, digest, tail, doc, at), many, strict=True)]
+        order, bucket = deal(plain[0])
+        plain = [x[order] for x in plain]
     none = np.zeros(max(len(order), len(local[0])), np.int64)
-    lists = [*many[:3], ids[many[3]], sub[many[3]], many[4], none[: len(order)] + 1, none[: len(order)]]
+    lists = [*plain[:3], ids[plain[3]], sub[plain[3]], plain[4], np.concatenate([windows[alike], none[: len(first)] + 1])[order], none[: len(order)]]
     heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
     rows += [(int(bucket[h]), *(x[h:t] for x in lists), b"") for h, t in itertools.pairwise([*heads.tolist(), len(bucket)])]
     if len(local[0]):
@@ -466,9 +485,11 @@ def _found(table: pa.Table) -> pa.Table:
 def repeated_bytes(named: DataFrame, shards: int, buckets: int) -> DataFrame:
     """(shard, doc_id, sub, start, end) of repeated byte runs of named (shard, doc_id, sub, text); runs may overlap."""
     by_shard = named.groupBy("shard")
-    anchors = by_shard.applyInArrow(_anchors, "shard long, key long, n long")
-    total = F.sum("n").over(Window.partitionBy("key"))
-    replies = anchors.withColumn("total", total).where("total > 1").select("shard", "key", (F.col("total") > HOT).alias("hot"))
+    anchors = by_shard.applyInArrow(_anchors, "shard long, key long, n long, lo long, hi long")
+    same = Window.partitionBy("key")
+    met = anchors.withColumns({"total": F.sum("n").over(same), "lo": F.min("lo").over(same), "hi": F.max("hi").over(same)}).where("total > 1")
+    kind = F.when(F.col("lo") == F.col("hi"), ALIKE).when(F.col("total") > HOT, SPLIT).otherwise(WHOLE)
+    replies = met.select("shard", "key", kind.cast("int").alias("kind"))
     bundles = by_shard.cogroup(replies.groupBy("shard")).applyInArrow(lambda docs, replies: _shard_pieces(docs, replies, buckets), _BUNDLE)
     met = bundles.groupBy("bucket").applyInArrow(_found, "doc_id long, sub long, start long, end long")
     return met.select(shard_of(shards), "doc_id", "sub", "start", "end")

@@ -24,8 +24,8 @@ def test_hot_anchor_is_dealt_over_keys():
     counted = pa.concat_tables([suffix._anchors(s) for s in shards])
     total = counted.group_by("key").aggregate([("n", "sum")]).filter(pc.field("n_sum") > 1)
     replies = counted.join(total, "key", join_type="inner")
-    replies = replies.append_column("hot", pc.greater(replies.column("n_sum"), suffix.HOT))
     assert max(replies.column("n_sum").to_pylist()) > suffix.HOT
+    replies = replies.append_column("kind", pc.if_else(pc.greater(replies.column("n_sum"), suffix.HOT), suffix.SPLIT, suffix.WHOLE))
     met = pa.concat_tables([suffix._shard_pieces(docs, replies.filter(pc.equal(replies.column("shard"), s)), 50) for s, docs in enumerate(shards)])
     sent = Counter()
     for r in met.to_pylist():
