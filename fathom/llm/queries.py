@@ -68,6 +68,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _url_sql() -> str:
+    """Rules by a relation, models by counts of suffixes of five characters, the cut-off by running sums."""
+    orders = range(1, 6)
+    tables = ", ".join(f"s{n} AS (SELECT right(g, {n}) AS g, sum(a) AS a, sum(b) AS b FROM known GROUP BY 1), c{n} AS (SELECT left(g, {n - 1}) AS g, sum(a) AS a, sum(b) AS b FROM s{n} GROUP BY 1)" for n in orders)
+    joins = " ".join(f"LEFT JOIN s{n} ON s{n}.g = right(d.g, {n}) LEFT JOIN c{n} ON c{n}.g = left(right(d.g, {n}), {n - 1})" for n in orders)
+    chance = {"a": "(1.0::DOUBLE / 128)", "b": "(1.0::DOUBLE / 128)"}
+    for n in orders:
+        chance = {x: f"((coalesce(s{n}.{x}, 0)::DOUBLE + 4.0::DOUBLE * {p}) / (coalesce(c{n}.{x}, 0)::DOUBLE + 4.0::DOUBLE))" for x, p in chance.items()}
+    return rf"""
+WITH rules(action, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+cut AS (SELECT page_id, instr(coalesce(url, ''), '://') AS pos, substr(coalesce(url, ''), instr(coalesce(url, ''), '://') + 3) AS rest FROM pages),
+u AS (SELECT page_id, CASE WHEN pos > 0 THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host, CASE WHEN pos > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM cut),
+a AS (SELECT host, path, count(*) AS n FROM u GROUP BY ALL),
+best AS (SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action FROM a JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL),
+j AS (SELECT a.host, a.path, n, rule, action, ('0x' || left(md5(a.host || chr(1) || a.path), 4))::INT % 5 = 0 AS held, repeat(chr(2), 4) || a.host || a.path || chr(3) AS t FROM a LEFT JOIN best ON best.host = a.host AND best.path = a.path),
+g AS (SELECT host, path, n, action, held, substr(t, i, 5) AS g FROM (SELECT *, unnest(range(1, length(t) - 3)) AS i FROM j)),
+known AS (SELECT g, sum(CASE WHEN action = 'allow' THEN n ELSE 0 END) AS a, sum(CASE WHEN action = 'block' THEN n ELSE 0 END) AS b FROM g WHERE action IS NOT NULL AND NOT held GROUP BY g),
+{tables},
+scores AS (SELECT d.g, round((ln({chance['a']}) - ln({chance['b']})) * 1e6)::BIGINT AS score FROM (SELECT DISTINCT g FROM g) d {joins}),
+m AS (SELECT host, path, round(sum(score)::BIGINT / count(*) / 1000.0::DOUBLE)::BIGINT AS milli FROM g JOIN scores ON scores.g = g.g GROUP BY host, path),
+v AS (SELECT milli, coalesce(sum(n) FILTER (action = 'allow'), 0) AS a, coalesce(sum(n) FILTER (action = 'block'), 0) AS b FROM j JOIN m ON m.host = j.host AND m.path = j.path WHERE held AND action IS NOT NULL GROUP BY milli),
+k AS (SELECT milli, coalesce(lag(milli) OVER (ORDER BY milli), milli) AS low, coalesce(sum(a) OVER (ORDER BY milli ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ua, coalesce(sum(b) OVER (ORDER BY milli ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ub, sum(a) OVER () AS ta, sum(b) OVER () AS tb FROM v),
+best_cut AS (SELECT arg_max(cut, (gain, cut)) AS cut FROM (SELECT (ta - ua)::DOUBLE / ta::DOUBLE + ub::DOUBLE / tb::DOUBLE AS gain, floor((low + milli) / 2.0)::BIGINT + CASE WHEN low < milli THEN 1 ELSE 0 END AS cut FROM k WHERE ta > 0 AND tb > 0))
+SELECT u.page_id, u.host, u.path, j.rule, coalesce(j.action, CASE WHEN m.milli >= coalesce((SELECT cut FROM best_cut), 0) THEN 'allow' ELSE 'block' END) AS verdict, m.milli AS score
+FROM u JOIN j ON j.host = u.host AND j.path = u.path JOIN m ON m.host = u.host AND m.path = u.path"""
+
+
 SQL: dict[str, str] = {
     "op2_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -101,4 +128,18 @@ SELECT page_id, n AS payload_bytes, p.h AS payload_digest,
        CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN first IS NULL OR first = page_id THEN NULL ELSE first END AS refers_to
 FROM p LEFT JOIN f ON f.h = p.h AND p.n >= 100""",
+    "op7_pfair_mixing": """
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS s, 1 + CASE WHEN source IS NULL OR source = '' THEN 0 ELSE ('0x' || right(hex(encode(source)), 2))::INT % 4 END AS w FROM documents),
+n AS (SELECT s, any_value(w) AS w, count(*) AS n FROM d GROUP BY s),
+c AS (SELECT list(s ORDER BY s) AS s, list(w ORDER BY s) AS w, sum(w)::BIGINT AS p FROM n),
+run(slot, k, i, j) AS (SELECT -1::BIGINT, list_transform(s, lambda x: 0::BIGINT), 0::BIGINT, 0::BIGINT FROM c
+ UNION ALL SELECT slot + 1, list_transform(range(1, len(k) + 1), lambda q: CASE WHEN q = pick THEN k[q] + 1 ELSE k[q] END), pick, k[pick]
+ FROM (SELECT slot, k, list_sort(list_filter(list_transform(range(1, len(k) + 1), lambda q: struct_pack(due := ((k[q] + 1) * p + w[q] - 1) // w[q], q := q, released := k[q] * p // w[q], left_over := w[q] - k[q])), lambda x: x.released <= slot + 1 AND x.left_over > 0))[1].q AS pick
+       FROM run, c WHERE slot + 1 < p)),
+t AS (SELECT c.s[i] AS s, c.w[i] AS w, j, slot, j * p // c.w[i] AS released, ((j + 1) * p + c.w[i] - 1) // c.w[i] AS due, p FROM run, c WHERE slot >= 0),
+gap AS (SELECT min((n // 8) // n.w * p + slot) AS slot FROM n JOIN t ON t.s = n.s AND t.j = (n // 8) % n.w),
+r AS (SELECT doc_id, source, d.s, row_number() OVER (PARTITION BY d.s ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS k FROM d)
+SELECT doc_id, source, k // 8 AS block, k % 8 AS place, k // 8 // w * p + released AS release, k // 8 // w * p + due AS deadline, k // 8 // w * p + t.slot AS slot, k // 8 // w * p + t.slot < gap.slot AS balanced
+FROM r JOIN t ON t.s = r.s AND t.j = (k // 8) % w, gap""",
+    "op9_url_filter": _url_sql(),
 }

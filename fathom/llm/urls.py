@@ -104,7 +104,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     named = named.withColumn("key", F.unhex(F.md5(F.concat(F.col("host"), F.lit("\u0001"), F.col("path")).cast("binary"))))
     addresses = named.groupBy("key").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.count("*").alias("n")).withColumn("rule", rule).withColumn("action", action)
-    addresses = addresses.withColumn("held", F.crc32(F.concat("host", "path")) % FOLD == 0)
+    addresses = addresses.withColumn("held", F.conv(F.hex(F.substring("key", 1, 2)), 16, 10).cast("int") % FOLD == 0)
     addresses = store(addresses, "addresses")
     seen = lambda a: F.sum(F.when(F.col("action") == a, F.col("n") * F.col("times")).otherwise(0))
     known = _grams(addresses.where("action is not null and not held"), "action", "n").groupBy("gram").agg(seen("allow").alias("n_allow"), seen("block").alias("n_block"))
