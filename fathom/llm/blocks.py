@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 #: Spans of up to so many bytes are hashed by one random number per place and byte, longer ones by BLAKE2b.
 REACH = 64

@@ -9,6 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch that Spark hands to a Python worker at once; its own default has no bound.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batch size in bytes, where the user hasn't: rows of a batch may be long texts."""
+    if int(spark.conf.get(_BATCH, "2147483647")) == 2**31 - 1:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; only where unset (tests), a folder of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -21,6 +34,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def store(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: a stage boundary that survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
@@ -32,6 +46,7 @@ def width(spark: SparkSession) -> int:
 
 
 def total_bytes(docs: DataFrame, text_col: str) -> int:
+    bound_batches(docs.sparkSession)
     return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 

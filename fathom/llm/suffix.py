@@ -359,7 +359,7 @@ def _windows(key: np.ndarray, doc: np.ndarray, at: np.ndarray, start: np.ndarray
 
 
 def _bundles(texts: list[np.ndarray], run: np.ndarray, start: np.ndarray, end: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, slice, np.ndarray, bytes]]:
-    """(bucket, its pieces, ranks of their starts, their transform) of pieces in order of bucket, some COLLECTION bytes at a time."""
+    """(bucket, its pieces, ranks of their starts, their transform) of pieces in order of bucket, some blocks.CHUNK bytes at a time."""
     sizes = end - start + STEP
     reach, gap = np.cumsum(sizes), bytes(STEP)
     heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
@@ -367,7 +367,7 @@ def _bundles(texts: list[np.ndarray], run: np.ndarray, start: np.ndarray, end: n
     lo = 0
     while lo < len(heads):
         done = int(reach[heads[lo] - 1]) if heads[lo] else 0
-        hi = max(lo + 1, int(np.searchsorted(reach[tails - 1], done + COLLECTION, "right")))
+        hi = max(lo + 1, int(np.searchsorted(reach[tails - 1], done + blocks.CHUNK, "right")))
         own = slice(int(heads[lo]), int(tails[hi - 1]))
         spans = zip(run[own].tolist(), start[own].tolist(), end[own].tolist(), strict=True)
         text = np.frombuffer(b"".join(texts[r][a:b].tobytes() + gap for r, a, b in spans), np.uint8)
