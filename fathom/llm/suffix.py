@@ -506,7 +506,8 @@ NULL_ID = -(2**63)
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of every row.
 
-    With carry, also row: the row's other columns and its doc_id, as a struct.
+    With carry, also row: the row's other columns and its doc_id, as a struct;
+    and kept is a string, without what cuts leave of split characters.
     """
     spark, total = docs.sparkSession, total_bytes(docs, text_col)
     shards = parts(spark, total, SHARD_BYTES)
@@ -539,16 +540,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     removed, spans = int((b - a).sum()), len(a)
                     text = np.concatenate([text[x:y] for x, y in zip(np.append(0, b), np.append(a, len(text)), strict=True)])
                 left = text.tobytes()
-                rows.append((int(bounds[k + 1] - bounds[k]), removed, spans, hashlib.sha256(left).hexdigest(), left))
+                rows.append((int(bounds[k + 1] - bounds[k]), removed, spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if carry else left))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string() if carry else pa.binary()]
         names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         return pa.table([docs.column("row"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 
     schema = T.StructType([named.schema["row"]])
     for field in ("n_bytes", "n_removed", "n_spans"):
         schema.add(field, "long")
-    schema = schema.add("kept_sha256", "string").add("kept", "binary")
+    schema = schema.add("kept_sha256", "string").add("kept", "string" if carry else "binary")
     found = named.groupBy("shard").cogroup(runs.groupBy("shard")).applyInArrow(cut, schema)
     found = found.select(F.col("row").getField(id_col if carry else "doc_id").cast("long").alias("doc_id"), *found.columns[1:], *(["row"] if carry else []))
     return found
