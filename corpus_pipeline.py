@@ -58,22 +58,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated byte runs are cut out, with what they leave of split characters; emptied documents go."""
     named = docs.withColumn("__none", F.col("text").isNull())
-    found = suffix.deduplicate(named, carry=True).where("n_removed = 0 or length(kept) > 0")
-    cut = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(_whole_characters(F.col("kept")))
-    joined = found.select("row.*", F.when(~F.col("row.__none"), cut).alias("text"), (F.col("n_removed") > 0).alias("__cut"))
+    found = suffix.deduplicate(named, carry=True).where("n_removed < n_bytes or n_removed = 0")
+    joined = found.select("row.*", F.when(~F.col("row.__none"), F.col("kept")).alias("text"), (F.col("n_removed") > 0).alias("__cut"))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("__cut"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return joined.select(*docs.columns)
 
 
-def _whole_characters(raw):
-    @F.pandas_udf("string")
-    def decode(values):
-        return values.map(lambda b: bytes(b).decode("utf-8", "ignore"))
-
-    return decode(raw)
-
-
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
     keyed = _keyed(docs)
