@@ -349,7 +349,7 @@ def aead_aad(spark, d):
 @query()
 def aead_roundtrip(spark, d):
     """Sealed bytes opened with the right and with wrong associated data, key, nonce, tag, and cut short."""
-    sealed = lifecycle_seal(F.col("text").cast("binary"), F.col("doc_id"), F.lit(2).cast("bigint"), 1)
+    sealed = _seal(F.col("text").cast("binary"), F.col("doc_id"), F.lit(2).cast("bigint"), 1)
     rows = T.table(spark, d, "documents").withColumn("sealed", sealed)
     opens = lambda s=F.col("sealed"), job=F.col("doc_id"), seg=2, role=1, key=F.col("doc_id"): scalars.unseal(s, _key(key), scalars.associated_data(job, F.lit(seg).cast("bigint"), F.lit(role)))
     flip = lambda at: F.concat(F.substring("sealed", 1, at - 1), F.unhex(F.lpad(F.hex(F.conv(F.hex(F.substring("sealed", at, 1)), 16, 10).cast("bigint").bitwiseXOR(F.lit(1).cast("bigint"))), 2, "0")), F.expr(f"substring(sealed, {at + 1})"))
@@ -362,7 +362,7 @@ def _key(name):
     return F.unhex(F.sha2(F.concat(F.lit("k:"), name.cast("string")).cast("binary"), 256))
 
 
-def lifecycle_seal(payload, job, segment, role):
+def _seal(payload, job, segment, role):
     """Sealed with a key and nonce of the job, for repeatable rows; a workload draws both at random."""
     nonce = F.substring(F.unhex(F.sha2(F.concat(F.lit("n:"), job.cast("string"), F.lit("-"), segment.cast("string")).cast("binary"), 256)), 1, 12)
     return scalars.seal(payload, _key(job), scalars.associated_data(job, segment, F.lit(role)), nonce)
