@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm, media, minhash, mixing, quality, suffix, toxicity, urls, warc
+from . import decision_list, decontam, lm, media, minhash, mixing, quality, ranked, spelling, suffix, toxicity, urls, warc
 from .scratch import store
 
 
@@ -61,9 +61,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.deduplicate(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decision_list.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_media_fingerprints, op2_minhash_near_dedup, op3_quality_classifier, op4_benchmark_decontamination, op5_toxicity, op6_lattice_likelihood, op7_pfair_mixing, op8_warc_round_trip, op9_url_filter, op10_suffix_dedup)
+    for f in (op1_media_fingerprints, op2_minhash_near_dedup, op3_quality_classifier, op4_benchmark_decontamination, op5_toxicity, op6_lattice_likelihood, op7_pfair_mixing, op8_warc_round_trip, op9_url_filter, op10_suffix_dedup, op11_ranked_search, op12_spelling_variants, op13_quality_rules)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -142,4 +155,32 @@ r AS (SELECT doc_id, source, d.s, row_number() OVER (PARTITION BY d.s ORDER BY m
 SELECT doc_id, source, k // 8 AS block, k % 8 AS place, k // 8 // w * p + released AS release, k // 8 // w * p + due AS deadline, k // 8 // w * p + t.slot AS slot, k // 8 // w * p + t.slot < gap.slot AS balanced
 FROM r JOIN t ON t.s = r.s AND t.j = (k // 8) % w, gap""",
     "op9_url_filter": _url_sql(),
+    "op11_ranked_search": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+b AS (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS repeats FROM b GROUP BY ALL),
+s AS (SELECT count(*)::BIGINT AS big_n, sum(len(ts))::BIGINT AS big_l FROM d WHERE len(ts) > 0),
+p AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(ts)::BIGINT AS n, unnest(ts) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, big_n),
+r AS (SELECT item_id, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score
+      FROM q JOIN f ON f.term = q.term JOIN p ON p.term = q.term, s GROUP BY ALL),
+k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 20""",
+    "op12_spelling_variants": r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+r AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents) GROUP BY ALL),
+b AS (SELECT w, n, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195::BIGINT, ord(c)::BIGINT - 64] END)) AS bytes FROM r),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, t),
+k AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM k WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+g AS (SELECT word, n, unnest(range(length(word))) AS i FROM v),
+gone AS (SELECT DISTINCT word, n, left(word, i::INT) || substr(word, i::INT + 2) AS s FROM g),
+star AS (SELECT word, n, left(word, i::INT) || '*' || substr(word, i::INT + 2) AS s FROM g),
+near AS (SELECT a.word AS word, b.word AS near, b.n AS m FROM star a JOIN star b ON a.s = b.s AND a.word <> b.word
+ UNION SELECT gone.word, v.word, v.n FROM gone JOIN v ON v.word = gone.s
+ UNION SELECT v.word, gone.word, gone.n FROM gone JOIN v ON v.word = gone.s),
+best AS (SELECT word, count(*) AS n_near, min((-m, near)) AS top FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -top[1] >= 5 * v.n THEN top[2] END AS form, CASE WHEN -top[1] >= 5 * v.n THEN -top[1] END AS form_n FROM v LEFT JOIN best ON best.word = v.word),
+walk(word, tip) AS (SELECT word, word FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.tip WHERE f.form IS NOT NULL)
+SELECT f.form, f.form_n::BIGINT AS form_n, f.n, f.n_near, tip AS root, f.word FROM f JOIN walk ON walk.word = f.word JOIN f AS last ON last.word = tip AND last.form IS NULL""",
 }
