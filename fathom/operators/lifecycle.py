@@ -2,17 +2,18 @@
 
 A task's events form one array. Tasks are expected to be many and short; a task
 of unbounded length belongs to the streaming form, which keeps one state row.
-A worker's verdicts may be many: clamped additions compose, so blocks of them are
-folded apart and only a row per block meets in one place.
+A worker's verdicts may be many: clamped additions compose, as do the affine maps
+of a moving average, so both are ordered scans that no single task sees whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import reputation
+from ..functions import reputation, scalars
 from ..plans import rules
+from . import scan
 
 #: Events of a log that are folded into one array at a time.
 BLOCK = 256
@@ -45,32 +46,42 @@ def final_states(events: DataFrame) -> DataFrame:
     return ordered.select("task", F.expr(fold).alias("state")).select("task", "state.*")
 
 
-def _clamped(verdicts: DataFrame) -> DataFrame:
-    """(worker, block, log, off, lo, hi): verdicts in blocks of BLOCK; a block takes standing s to least(hi, greatest(lo, s + off))."""
-    place = F.row_number().over(Window.partitionBy("worker").orderBy("seq")) - 1
-    placed = verdicts.select("worker", "seq", "detail", reputation.verdict_delta(F.col("detail")).cast("int").alias("delta"), F.floor(place / BLOCK).cast("bigint").alias("block"))
-    blocks = placed.groupBy("worker", "block").agg(F.sort_array(F.collect_list(F.struct("seq", "detail", "delta"))).alias("log"))
-    start = F.struct(F.lit(0).alias("off"), F.lit(reputation.FLOOR).alias("lo"), F.lit(0).alias("hi"))
-    after = lambda f, v: F.struct((f.off + v.delta).alias("off"), reputation.clamp(f.lo + v.delta).alias("lo"), reputation.clamp(f.hi + v.delta).alias("hi"))
-    return blocks.withColumn("f", F.aggregate("log", start, after)).select("worker", "block", "log", "f.off", "f.lo", "f.hi")
+def _bounds(off: Column, lo: Column, hi: Column) -> Column:
+    return F.struct(off.cast("bigint").alias("off"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
 
 
 def _through(s: Column, f: Column) -> Column:
-    return F.least(f["hi"], F.greatest(f["lo"], s + f["off"]))
+    return F.least(f["hi"].cast("bigint"), F.greatest(f["lo"].cast("bigint"), s + f["off"])).cast("int")
+
+
+#: Clamped additions: (off, lo, hi) takes a standing s to least(hi, greatest(lo, s + off)); two of them make one.
+CLAMPED = scan.Monoid(lambda: _bounds(F.lit(0), F.lit(reputation.FLOOR), F.lit(0)), lambda a, b: _bounds(a["off"] + b["off"], _through(a["lo"], b), _through(a["hi"], b)))
+#: Affine maps: (mult, add) takes s to mult * s + add; two of them make one.
+AFFINE = scan.Monoid(lambda: F.struct(F.lit(1.0).alias("mult"), F.lit(0.0).alias("add")), lambda a, b: F.struct((a["mult"] * b["mult"]).alias("mult"), (b["mult"] * a["add"] + b["add"]).alias("add")))
+
+
+def step(detail: Column) -> Column:
+    """What a verdict does to a standing, as a value of CLAMPED."""
+    return _bounds(reputation.verdict_delta(detail), F.lit(reputation.FLOOR), F.lit(0))
+
+
+def ewma_step(x: Column, alpha: float = scalars.EWMA_ALPHA) -> Column:
+    """What an observation does to its moving average, as a value of AFFINE."""
+    return F.struct(F.lit(1 - alpha).alias("mult"), (F.lit(alpha) * x.cast("double")).alias("add"))
 
 
 def standings(verdicts: DataFrame) -> DataFrame:
     """(worker, verdicts, standing) after all verdicts (worker, seq, detail) in order."""
-    by = _clamped(verdicts).groupBy("worker").agg(F.sum(F.size("log")).alias("verdicts"), F.sort_array(F.collect_list(F.struct("block", "off", "lo", "hi"))).alias("blocks"))
-    return by.select("worker", "verdicts", F.aggregate("blocks", F.lit(0), _through).alias("standing"))
+    ends = scan.total(verdicts, ["worker"], ["seq"], step(F.col("detail")), CLAMPED)
+    return ends.select("worker", F.col("rows").alias("verdicts"), _through(F.lit(0), F.col("value")).alias("standing"))
 
 
 def trajectories(verdicts: DataFrame) -> DataFrame:
     """A row per verdict: standing before and after."""
-    blocks = _clamped(verdicts)
-    by = blocks.groupBy("worker").agg(F.sort_array(F.collect_list(F.struct("block", "off", "lo", "hi"))).alias("blocks"))
-    first = F.aggregate("blocks", F.array(F.lit(0)), lambda acc, f: F.concat(acc, F.array(_through(F.element_at(acc, -1), f))))
-    starts = by.select("worker", F.posexplode(first).alias("block", "first")).withColumn("block", F.col("block").cast("bigint"))
-    series = F.aggregate("log", F.array(F.col("first")), lambda acc, v: F.concat(acc, F.array(reputation.clamp(F.element_at(acc, -1) + v.delta))))
-    opened = blocks.join(starts, ["worker", "block"]).withColumn("series", series).select("worker", "series", F.posexplode("log").alias("k", "v"))
-    return opened.select("worker", "v.seq", "v.detail", F.get("series", F.col("k")).alias("before"), F.get("series", F.col("k") + 1).alias("after"))
+    found = scan.scan(verdicts.select("worker", "seq", "detail"), ["worker"], ["seq"], step(F.col("detail")), CLAMPED)
+    return found.select("worker", "seq", "detail", _through(F.lit(0), F.col("before")).alias("before"), _through(F.lit(0), F.col("after")).alias("after"))
+
+
+def moving_averages(series: DataFrame, keys: list[str], order: list[str], x: Column, alpha: float = scalars.EWMA_ALPHA) -> DataFrame:
+    """keys and ewma, the moving average after all rows in order; it starts from 0."""
+    return scan.total(series, keys, order, ewma_step(x, alpha), AFFINE).select(*keys, F.col("value.add").alias("ewma"))

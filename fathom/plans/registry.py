@@ -150,8 +150,9 @@ def cached_tiers(spark, d):
 
 @query("WITH w AS (SELECT l_suppkey AS worker, l_shipdate, l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice) AS rn FROM lineitem), l AS (SELECT worker, list(l_quantity ORDER BY rn) AS q FROM w GROUP BY worker) SELECT worker, round(list_reduce(q, lambda a, x: 0.3::DOUBLE * x + 0.7::DOUBLE * a, 0.0::DOUBLE), 6) AS ewma FROM l")
 def ewma_throughput(spark, d):
-    rows = T.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("worker")).agg(F.sort_array(F.collect_list(F.struct("l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"))).alias("q"))
-    return rows.select("worker", F.round(scalars.ewma_series(F.transform("q", lambda r: r.l_quantity)), 6).alias("ewma"))
+    order = ["l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"]
+    rows = T.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("worker"), *order)
+    return lifecycle.moving_averages(rows, ["worker"], order, F.col("l_quantity")).select("worker", F.round("ewma", 6).alias("ewma"))
 
 
 @query("WITH n AS (SELECT unnest(range(1, 65)) AS n) SELECT n, n::DOUBLE AS target, greatest(1, ceil(n::DOUBLE / n))::BIGINT + 1 AS worker_cap, greatest(1, ceil(n::DOUBLE))::BIGINT * 4 AS queue_cap, 2 * n + 4 AS round_trips FROM n")
