@@ -21,7 +21,7 @@ from ..sources.staged import store
 
 #: Rows of a block, a power of two, and of a range, about.
 BLOCK = 256
-RANGE_ROWS = 100_000
+RANGE_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -32,25 +32,39 @@ class Monoid:
     combine: Callable[[Column, Column], Column]
 
 
-def _same(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> Column:
-    return reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[c]) for c in columns))
+def _joined(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
+    """a with the other columns of b; null keys meet null keys."""
+    named = b.withColumnsRenamed({c: f"__on_{c}" for c in on})
+    return a.join(named, reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on))).drop(*(f"__on_{c}" for c in on))
 
 
-def dealt(rows: DataFrame, keys: Sequence[str], order: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+def dealt(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int) -> DataFrame:
     """rows with ``__range``, a number that rises with (keys, order)."""
-    ranges = max(1, -(-rows.count() // range_rows))
+    if ranges < 2:
+        return rows.withColumn("__range", F.lit(0))
     return store(rows.repartitionByRange(ranges, *keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
 
 
-def placed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+def _ranges(n: int, range_rows: int) -> int:
+    return max(1, -(-n // range_rows))
+
+
+def _sizes(rows: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """The number of rows, and that of the keys that have most."""
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    return found.n or 0, found.most or 0
+
+
+def placed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int) -> DataFrame:
     """rows with ``place`` (from 0) in order within keys."""
-    split = dealt(rows, keys, order, range_rows)
+    split = dealt(rows, keys, order, ranges)
     by = [*keys, "__range"]
+    local = split.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint") - 1)
+    if ranges < 2:
+        return local.select(*rows.columns, F.col("__k").alias("place"))
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     held = split.groupBy(*by).agg(F.count("*").alias("__n")).withColumn("__n", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    local = split.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    joined = local.join(held, _same(local, held, by))
-    return joined.select(*(local[c] for c in rows.columns), (F.col("__k") - 1 + F.col("__n")).cast("bigint").alias("place"))
+    return _joined(local, held, by).select(*rows.columns, (F.col("__k") + F.col("__n")).alias("place"))
 
 
 def _doubled(values: Column, combine: Callable[[Column, Column], Column], reach: int) -> Column:
@@ -68,13 +82,14 @@ def _blocks(rows: DataFrame, keys: Sequence[str], carried: Sequence[str], monoid
     return found.withColumn("upto", upto)
 
 
-def _scanned(rows: DataFrame, keys: Sequence[str], carried: Sequence[str], monoid: Monoid, block: int) -> DataFrame:
-    """keys, carried, place, before and after of rows with place and __value."""
-    blocks = store(_blocks(rows, keys, carried, monoid, block), "blocks")
-    if (blocks.agg(F.max("__block")).first()[0] or 0) > 0:
+def _scanned(rows: DataFrame, keys: Sequence[str], carried: Sequence[str], monoid: Monoid, block: int, most: int) -> DataFrame:
+    """keys, carried, place, before and after of rows with place and __value; no keys have more than most."""
+    blocks = _blocks(rows, keys, carried, monoid, block)
+    if most > block:
+        blocks = store(blocks, "blocks")
         heads = blocks.select(*keys, F.col("__block").alias("place"), F.element_at("upto", -1).alias("__value"))
-        starts = _scanned(heads, keys, [], monoid, block).select(*keys, F.col("place").alias("__block"), F.col("before").alias("start"))
-        blocks = blocks.join(starts, _same(blocks, starts, [*keys, "__block"])).select(*(blocks[c] for c in blocks.columns), "start")
+        starts = _scanned(heads, keys, [], monoid, block, -(-most // block)).select(*keys, F.col("place").alias("__block"), F.col("before").alias("start"))
+        blocks = _joined(blocks, starts, [*keys, "__block"])
     else:
         blocks = blocks.withColumn("start", monoid.identity())
     opened = blocks.select(*keys, "start", "upto", F.posexplode("log").alias("__k", "__r"))
@@ -86,19 +101,23 @@ def _scanned(rows: DataFrame, keys: Sequence[str], carried: Sequence[str], monoi
 def scan(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, monoid: Monoid, block: int = BLOCK, range_rows: int = RANGE_ROWS) -> DataFrame:
     """rows with place, before (the composite of the values of all earlier rows of the keys) and after (with the row's own)."""
     carried = [c for c in rows.columns if c not in keys]
-    made = placed(rows.withColumn("__value", value), keys, order, range_rows)
-    return _scanned(made, keys, carried, monoid, block).select(*rows.columns, "place", "before", "after")
+    n, most = _sizes(rows, keys)
+    made = placed(rows.withColumn("__value", value), keys, order, _ranges(n, range_rows))
+    return _scanned(made, keys, carried, monoid, block, most).select(*rows.columns, "place", "before", "after")
 
 
 def total(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, monoid: Monoid, block: int = BLOCK, range_rows: int = RANGE_ROWS) -> DataFrame:
     """keys, rows (their number) and value (the composite of all their values in order)."""
-    held = placed(rows.select(*keys, *order, value.alias("__value")), keys, order, range_rows).select(*keys, "place", "__value", F.lit(1).cast("bigint").alias("rows"))
+    n, most = _sizes(rows, keys)
+    needed = list(dict.fromkeys([*keys, *order]))
+    held = placed(rows.select(*needed, value.alias("__value")), keys, order, _ranges(n, range_rows)).select(*keys, "place", "__value", F.lit(1).cast("bigint").alias("rows"))
     while True:
         log = F.sort_array(F.collect_list(F.struct("place", "__value")))
         held = held.groupBy(*keys, F.expr(f"place div {block}").alias("place")).agg(log.alias("log"), F.sum("rows").alias("rows"))
-        held = store(held.select(*keys, "place", "rows", F.aggregate("log", monoid.identity(), lambda a, r: monoid.combine(a, r["__value"])).alias("__value")), "folded")
-        if (held.agg(F.max("place")).first()[0] or 0) == 0:
+        held = held.select(*keys, "place", "rows", F.aggregate("log", monoid.identity(), lambda a, r: monoid.combine(a, r["__value"])).alias("__value"))
+        if most <= block:
             return held.select(*keys, "rows", F.col("__value").alias("value"))
+        most = -(-most // block)
 
 
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, take: Sequence[str], ties: Sequence[str] = (), or_equal: bool = True, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -114,15 +133,17 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, take:
     a = left.select(*keys, at, F.lit(1 if or_equal else -1).alias("__side"), row.alias("__row"), F.lit(None).alias("__found"))
     b = right.where(F.col(at).isNotNull()).select(*keys, at, F.lit(0).alias("__side"), F.lit(None).alias("__row"), found.alias("__found"))
     order = [at, "__side", "__found"]
-    split = dealt(a.unionByName(b), keys, order, range_rows)
+    both = a.unionByName(b)
+    ranges = _ranges(both.count(), range_rows)
+    split = dealt(both, keys, order, ranges)
     by = [*keys, "__range"]
     before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     held = split.groupBy(*by).agg(F.max(F.when(F.col("__side") == 0, F.struct(*(F.col(c) for c in order)))).alias("__top"))
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     carried = held.select(*by, F.last(F.col("__top.__found"), ignorenulls=True).over(earlier).alias("__carry"))
     local = split.withColumn("__near", F.last("__found", ignorenulls=True).over(before))
-    joined = local.join(carried, _same(local, carried, by)).where("__side <> 0")
+    joined = (_joined(local, carried, by) if ranges > 1 else local.withColumn("__carry", F.col("__near"))).where("__side <> 0")
     got = F.coalesce("__near", "__carry")
-    named = {c: F.col(f"__row.{c}") for c in kept} | {c: local[c] for c in (*keys, at)}
+    named = {c: F.col(f"__row.{c}") for c in kept} | {c: F.col(c) for c in (*keys, at)}
     known = F.col(at).isNotNull()
     return joined.select(*(named[c].alias(c) for c in left.columns), *(F.when(known, got[c]).alias(c) for c in take))

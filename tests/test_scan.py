@@ -36,10 +36,10 @@ def test_clamped_scan_of_a_hot_key(spark):
 def test_a_hot_key_spreads_over_ranges(spark):
     """A third of all rows under one key, and all rows under one leading value: no range holds much more than its share."""
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("worker"), F.lit(1).alias("day"), F.col("id").alias("seq"))
-    split = scan.dealt(df, ["worker"], ["day", "seq"], range_rows=100)
+    split = scan.dealt(df, ["worker"], ["day", "seq"], 30)
     by = [r["count"] for r in split.groupBy("__range").count().collect()]
     assert len(by) >= 25 and max(by) <= 400 and split.where("worker = 7").select("__range").distinct().count() >= 8
-    assert scan.placed(df, [], ["day", "seq"], range_rows=100).where("place <> seq").isEmpty()
+    assert scan.placed(df, [], ["day", "seq"], 30).where("place <> seq").isEmpty()
 
 
 def test_affine_scan(spark):
