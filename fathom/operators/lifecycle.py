@@ -39,6 +39,23 @@ def replay(events: DataFrame) -> DataFrame:
     return ordered.select("task", F.expr(fold).alias("steps")).select("task", F.inline("steps"))
 
 
+def clocked(events: DataFrame) -> DataFrame:
+    """Steps of events (with now, a clock that rises with seq) where the clock meets a task before each of its events, and all tasks at its end.
+
+    As replay, with seq doubled: even steps are the clock's.
+    """
+    ends = events.select("task").distinct().crossJoin(F.broadcast(events.agg(F.max("now").alias("now"), F.max("seq").alias("seq"))))  # the right side is one row
+    tick = lambda rows, at: rows.select("task", at.alias("seq"), F.lit("Tick").alias("event"), F.lit(None).cast("bigint").alias("worker"), F.lit(None).cast("bigint").alias("epoch"), F.col("now").alias("deadline"), F.lit(None).cast("boolean").alias("passed"))
+    own = events.select("task", (2 * F.col("seq") + 1).alias("seq"), "event", "worker", "epoch", "deadline", "passed")
+    return replay(own.union(tick(events, 2 * F.col("seq"))).union(tick(ends, 2 * F.col("seq") + 2)))
+
+
+def reclaims(events: DataFrame) -> DataFrame:
+    """(task, seq, epoch, deadline, priority) of every lease that the clock of events ended; priority is the last that the task's events brought before."""
+    ended = clocked(events).where("event = 'Tick' and was = 'Leased' and status = 'Pending'").select("task", F.expr("seq div 2").alias("seq"), "epoch", "deadline")
+    return scan.asof(ended, events.where("priority is not null").select("task", "seq", "priority"), ["task"], "seq", ["priority"])
+
+
 def final_states(events: DataFrame) -> DataFrame:
     """The state of every task after all its events."""
     ordered = events.groupBy("task").agg(F.sort_array(F.collect_list(F.struct(*_EVENT))).alias("log"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import intervals, scan
+from ..operators import intervals, lifecycle, scan
 from ..operators.ordered import in_order
 from ..sources import tables as T
 from .catalog import query
+from .twins import fold
 
 
 @query(f"""WITH e AS ({T.TASK_EVENTS}), l AS (SELECT task, seq, worker AS holder, epoch AS current FROM e WHERE event = 'Lease'), m AS (SELECT task, seq, event, worker, epoch FROM e WHERE event IN ('Heartbeat', 'Submit'))
@@ -46,3 +47,18 @@ def ticks_in_lease(spark, d):
     granted = T.derived(spark, d, _GRANTED)
     held = intervals.holding(T.derived(spark, d, _TICKS), granted, "tick", "seq", "due").groupBy("task", "seq").agg(F.count("*").alias("ticks"), F.min("tick").alias("first_tick"))
     return granted.join(held, ["task", "seq"], "left").select("task", "seq", F.coalesce("ticks", F.lit(0)).alias("ticks"), "first_tick")
+
+
+#: Task events whose seq is the clock as well, with the priority that a task's first event brings.
+CLOCKED = f"SELECT task, seq, event, worker, epoch, seq + 50 + task % 50 AS deadline, passed, seq AS now, CASE WHEN row_number() OVER (PARTITION BY task ORDER BY seq) = 1 THEN task * 7 % 5 END AS priority FROM ({T.TASK_EVENTS}) AS t"
+_TICKED = f"""SELECT task, 2 * seq + 1 AS seq, event, worker, epoch, deadline, passed FROM ({CLOCKED}) AS a
+ UNION ALL SELECT task, 2 * seq, 'Tick', NULL, NULL, now, NULL FROM ({CLOCKED}) AS b
+ UNION ALL SELECT task, 2 * clock + 2, 'Tick', NULL, NULL, clock, NULL FROM (SELECT DISTINCT task FROM ({CLOCKED}) AS c) AS d, (SELECT max(event_id) AS clock FROM events) AS e"""
+
+
+@query(f"""WITH RECURSIVE {fold(_TICKED)}, p AS (SELECT task, max(priority) AS priority FROM ({CLOCKED}) GROUP BY task)
+SELECT f.task, epoch, deadline, priority FROM f JOIN p ON p.task = f.task WHERE event = 'Tick' AND error IS NULL AND rn > 0""")
+def lease_reclaims(spark, d):
+    """Every lease that the clock ended, to be queued again at the priority that its task came with."""
+    events = T.derived(spark, d, CLOCKED)
+    return lifecycle.reclaims(events).select("task", "epoch", "deadline", "priority")

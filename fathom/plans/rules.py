@@ -1,7 +1,8 @@
 """The lifecycle transition rules, stated once as expressions over a state s and an event e.
 
-Order of evaluation: terminal states, kind of event, state, epoch, holder. The
-same text serves the batch fold and its SQL twin.
+Order of evaluation: terminal states, kind of event, state, epoch, holder. A Tick
+is no event of the task but the clock (in ``deadline``) as it meets the task: it
+ends a lease whose deadline it has reached and is never rejected.
 """
 
 #: Fixed value: failed verifications that put a task back before it fails for good.
@@ -9,6 +10,7 @@ MAX_RETRIES = 3
 FIELDS = ("status", "holder", "epoch", "deadline", "epoch_hw", "retries")
 
 ERROR = """CASE
+ WHEN e.event = 'Tick' THEN NULL
  WHEN s.status IN ('Accepted', 'Failed') THEN 'Terminal'
  WHEN e.event = 'Abandon' THEN NULL
  WHEN e.event = 'Lease' THEN CASE WHEN s.status <> 'Pending' THEN 'IllegalTransition' WHEN e.epoch <= s.epoch_hw THEN 'StaleEpoch' END
@@ -18,7 +20,10 @@ ERROR = """CASE
  WHEN e.event = 'LeaseExpired' THEN CASE WHEN s.status = 'Submitted' THEN NULL WHEN s.status <> 'Leased' THEN 'IllegalTransition' WHEN e.epoch <> s.epoch THEN 'StaleEpoch' END
  ELSE 'IllegalTransition' END"""
 
+LAPSED = "e.event = 'Tick' AND s.status = 'Leased' AND s.deadline <= e.deadline"
 STATUS = f"""CASE
+ WHEN {LAPSED} THEN 'Pending'
+ WHEN e.event = 'Tick' THEN s.status
  WHEN ({ERROR}) IS NOT NULL THEN s.status
  WHEN e.event = 'Abandon' THEN 'Failed'
  WHEN e.event = 'Lease' THEN 'Leased'
@@ -37,6 +42,8 @@ DEADLINE = f"CASE WHEN {_OK} AND e.event IN ('Lease', 'Heartbeat') THEN e.deadli
 EPOCH_HW = f"CASE WHEN {_OK} AND e.event = 'Lease' THEN e.epoch ELSE s.epoch_hw END"
 RETRIES = f"CASE WHEN {_OK} AND e.event = 'VerifyOutcome' AND NOT e.passed AND s.retries < {MAX_RETRIES} THEN s.retries + 1 ELSE s.retries END"
 ACTIONS = f"""CASE
+ WHEN {LAPSED} THEN 'Requeue,EmitReputation(Timeout)'
+ WHEN e.event = 'Tick' THEN ''
  WHEN ({ERROR}) IS NOT NULL THEN ''
  WHEN e.event = 'Abandon' THEN 'MarkFailed'
  WHEN e.event = 'SelectForVerification' THEN 'IssueChallenge'

@@ -12,6 +12,7 @@ RULES = """rule(state, event, passed, spent, fence, next, actions) AS (VALUES
  ('Leased', 'Heartbeat', NULL, NULL, 'holder', 'Leased', ''),
  ('Leased', 'Submit', NULL, NULL, 'holder', 'Submitted', ''),
  ('Leased', 'LeaseExpired', NULL, NULL, 'epoch', 'Pending', 'Requeue,EmitReputation(Timeout)'),
+ ('Leased', 'Tick', NULL, NULL, 'clock', 'Pending', 'Requeue,EmitReputation(Timeout)'),
  ('Submitted', 'SelectForVerification', NULL, NULL, 'none', 'Verifying', 'IssueChallenge'),
  ('Submitted', 'Accept', NULL, NULL, 'none', 'Accepted', 'NotifyAccepted'),
  ('Submitted', 'LeaseExpired', NULL, NULL, 'none', 'Submitted', ''),
@@ -30,13 +31,18 @@ _JUDGED = """SELECT e.task, e.rn, e.seq, e.event, e.worker, e.epoch AS given, e.
        WHEN r.fence IN ('epoch', 'holder') AND NOT e.epoch = f.epoch THEN 'StaleEpoch'
        WHEN r.fence = 'holder' AND NOT e.worker = f.holder THEN 'WrongHolder' END AS error
  FROM f JOIN n e ON e.task = f.task AND e.rn = f.rn + 1
- LEFT JOIN rule r ON r.state = f.status AND r.event = e.event AND coalesce(r.passed = e.passed, true) AND coalesce(r.spent = (f.retries = 3), true)"""
+ LEFT JOIN rule r ON r.state = f.status AND r.event = e.event AND coalesce(r.passed = e.passed, true) AND coalesce(r.spent = (f.retries = 3), true) AND (r.fence <> 'clock' OR e.deadline >= f.deadline)"""
 
-#: f has a row per task and event number (0 before the first) with the state after it; to stand behind WITH RECURSIVE.
-FOLD = f"""ev AS ({T.TASK_EVENTS}), n AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY seq) AS rn FROM ev), {RULES},
+
+def fold(events: str) -> str:
+    """f has a row per task and event number (0 before the first) with the state after it; to stand behind WITH RECURSIVE."""
+    return f"""ev AS ({events}), n AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY seq) AS rn FROM ev), {RULES},
 f AS (SELECT task, 0::BIGINT AS rn, 0::BIGINT AS seq, '' AS event, '' AS was, 'Pending' AS status, NULL::BIGINT AS holder, 0::BIGINT AS epoch, 0::BIGINT AS deadline, 0::BIGINT AS epoch_hw, 0::BIGINT AS retries,
   NULL::VARCHAR AS error, '' AS actions FROM (SELECT DISTINCT task FROM n)
  UNION ALL SELECT task, rn, seq, event, was, CASE WHEN error IS NULL THEN next ELSE was END,
   CASE WHEN error IS NULL AND fence = 'mint' THEN worker ELSE holder END, CASE WHEN error IS NULL AND fence = 'mint' THEN given ELSE epoch END,
   CASE WHEN error IS NULL AND (fence = 'mint' OR event = 'Heartbeat') THEN due ELSE deadline END, CASE WHEN error IS NULL AND fence = 'mint' THEN given ELSE epoch_hw END,
   retries + CASE WHEN error IS NULL AND spent = false THEN 1 ELSE 0 END, error, CASE WHEN error IS NULL THEN actions ELSE '' END FROM ({_JUDGED}))"""
+
+
+FOLD = fold(T.TASK_EVENTS)
