@@ -21,7 +21,9 @@ so a bucket loses no link between its members.
 Results for odd input: null, empty or blank text has an empty set, is linked
 with nothing and is its own component; repeated rows each get a result row; a
 null doc_id keeps its row, with component_id the smallest known id of its class
-or null; columns other than the id and the text are ignored.
+or null; texts of one id are linked by it (an empty set isn't), each row with the
+size of its own set;
+columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -93,13 +95,17 @@ _PROFILE = T.StructType([
 ])
 
 
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
             counts, digests, halves = [], [], []
             for s in shingle_sets(batch.column(1)):
                 counts.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digests.append(_digest(s))
                 halves.append(half_keys(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(halves, pa.binary())], names=_PROFILE.names)
 
@@ -120,9 +126,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(column), 512):
                 part = column.slice(lo, 512)
                 sets = [blocks.signed(s) for s in shingle_sets(part)]
+                digests = pa.array([_digest(s) for s in sets], pa.binary())
                 bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512), pa.ListArray.from_arrays(pa.array(bounds), values)], names=["doc", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 512), digests, pa.ListArray.from_arrays(pa.array(bounds), values)], names=["doc", "digest", "shingles"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,14 +218,34 @@ def _block_links(clusters: DataFrame, placed: DataFrame, sets: DataFrame, percen
     return dealt.groupBy("cluster", "i", "j").applyInArrow(join, "x long, y long")
 
 
+def _numbered(classes: DataFrame, profile: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """classes (digest, low: its least id) with doc, a number of each; and the links between classes that share an id, None if there are none.
+
+    The number is low where no other class has it, else beyond all ids. A class
+    numbered so shares its low with one that is numbered by it, so the least
+    number of a component is still its least id.
+    """
+    held = profile.where("digest is not null and doc_id is not null")
+    several = store(held.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("doc_id"), "several")
+    if several.isEmpty():
+        return classes.withColumn("doc", F.col("low")), None
+    beyond = held.agg(F.max("doc_id")).first()[0] + 1
+    firsts = classes.groupBy("low").agg(F.min("digest").alias("digest")).withColumn("first", F.lit(True))
+    numbers = classes.join(firsts, ["low", "digest"], "left").withColumn("new", F.monotonically_increasing_id() + F.lit(beyond))
+    classes = store(numbers.select("digest", "low", F.when(F.col("first"), F.col("low")).otherwise(F.col("new")).alias("doc")), "numbered")
+    shared = store(held.join(several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes.select("digest", "doc"), "digest").select("doc_id", "doc"), "shared")
+    heads = shared.groupBy("doc_id").agg(F.min("doc").alias("x"))
+    return classes, shared.join(heads, "doc_id").where("doc <> x").select("x", F.col("doc").alias("y")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs."""
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     profile = store(named.mapInArrow(_profile, _PROFILE), "profiles")
-    classes = profile.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"))
-    classes = store(classes, "classes")
+    classes = profile.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("low"))
+    classes, alike = _numbered(store(classes, "classes"), profile)
 
-    lone = profile.where("digest is not null").select(F.col("doc_id").alias("doc"), "halves").join(classes.select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
+    lone = profile.where("digest is not null").join(classes.withColumnRenamed("low", "doc_id"), ["doc_id", "digest"]).select("doc", "halves").dropDuplicates(["doc"])
     keys = lone.mapInArrow(_halves, "doc long, key long, second boolean")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     keys = keys.join(shared, "key", "left_semi")
@@ -228,7 +255,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = store(tables.join(full, "bucket", "left_semi"), "buckets")
 
     members = buckets.select("doc").distinct()
-    sets = store(named.where("doc_id is not null").join(members, named.doc_id == members.doc, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc long, shingles array<long>"), "sets")
+    if alike is None:
+        texts = named.where("doc_id is not null").join(members, named.doc_id == members.doc, "left_semi").dropDuplicates(["doc_id"])
+    else:
+        asked = classes.join(members, "doc", "left_semi")
+        texts = named.join(asked.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").distinct()
+    found = texts.mapInArrow(_sets, "doc long, digest binary, shingles array<long>")
+    if alike is not None:
+        found = found.select("digest", "shingles").join(asked.select("digest", "doc"), "digest").dropDuplicates(["doc"])
+    sets = store(found.select("doc", "shingles"), "sets")
     lone = sets.select("doc", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.max("doc").alias("doc")).where("n = 1").groupBy("doc").agg(F.count("*").alias("own"))
     sized = store(sets.select("doc", F.size("shingles").alias("size")).join(lone, "doc", "left").select("doc", F.coalesce("own", F.lit(0)).alias("own"), (F.col("size") - F.coalesce("own", F.lit(0))).alias("open")), "sizes")
     placed = buckets.join(sized, "doc")
@@ -244,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = own.select("doc", F.least("doc", "centre").alias("x"), F.greatest("doc", "centre").alias("y"))
         found.append(store(_confirmed(own.select("x", "y").distinct(), sets, percent), "confirmed"))
         waiting = waiting.join(own.join(found[-1], ["x", "y"], "left_semi").select("doc"), "doc", "left_anti")
-    links = reduce(DataFrame.union, found)
+    links = reduce(DataFrame.union, found if alike is None else [*found, alike])
 
     first = components(links)
     named_by = first.withColumnRenamed("v", "doc")
