@@ -246,7 +246,8 @@ def _dealt(words: DataFrame, size: int) -> DataFrame:
     spread = told.join(hot, ["side", "half"], "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     spread = spread.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("stored", F.col("shard") == F.expr("pmod(xxhash64(word), shards)"))
     count = parts(words.sparkSession, told.count(), size)
-    return spread.where("stored or asks").withColumn("bucket", F.expr(f"pmod(xxhash64(side, half, shard), {count}L)")).select("side", F.char_length("half").alias("known"), "bucket", "word", "n", "stored", "asks")
+    bucketed = spread.where("stored or asks").withColumn("bucket", F.expr(f"pmod(xxhash64(side, half, shard), {count}L)"))
+    return bucketed.select("side", F.char_length("half").alias("known"), "bucket", "word", "n", "stored", "asks").repartition(count, "side", "known", "bucket")
 
 
 def near_pairs(words: DataFrame, size: int = BUCKET) -> DataFrame:
