@@ -67,6 +67,24 @@ def detect_hypergeometric(n: Column, tampered: Column, k: Column) -> Column:
     return F.when(none, F.lit(0.0)).otherwise(1 - survival(n, tampered, k))
 
 
+def detect_exactly(n: Column, tampered: Column, k: Column, passed: Column) -> Column:
+    """Chance that one of k drawn of n is caught, where each tampered one drawn passes with chance ``passed`` on its own.
+
+    1 - sum over j of P(j drawn are tampered) * passed**j; the hypergeometric mass
+    by its recurrence, scaled down where it grows large, and divided by its sum.
+    """
+    least, most = F.greatest(F.lit(0).cast("long"), k - (n - tampered)), F.least(tampered, k)
+    steps = F.when(most > least, F.sequence(least, most - 1)).otherwise(F.array().cast("array<bigint>"))
+    start = F.struct(F.lit(1.0).alias("mass"), F.lit(1.0).alias("total"), F.pow(passed, least).alias("missed"))
+
+    def after(a: Column, j: Column) -> Column:
+        mass = a["mass"] * ((tampered - j) * (k - j)).cast("double") / ((j + 1) * (n - tampered - k + j + 1)).cast("double")
+        scale = F.when(mass > 1e200, F.lit(1e-200)).otherwise(F.lit(1.0))
+        return F.struct((mass * scale).alias("mass"), ((a["total"] + mass) * scale).alias("total"), ((a["missed"] + mass * F.pow(passed, j + 1)) * scale).alias("missed"))
+
+    return F.when((n == 0) | (tampered == 0) | (k == 0), F.lit(0.0)).otherwise(1 - F.aggregate(steps, start, after, lambda a: a["missed"] / a["total"]))
+
+
 def detect_binomial(share: Column, tampered: Column) -> Column:
     return 1 - F.pow(1 - share, tampered)
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from fathom.plans import catalog, flow, leases, registry, summaries  # noqa: F401
+from fathom.plans import catalog, evidence, flow, leases, registry, summaries  # noqa: F401
 
 from .conftest import DATA
 
