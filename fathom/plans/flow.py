@@ -8,7 +8,7 @@ from ..functions import reputation, scalars
 from ..operators import exchange, lifecycle
 from ..operators.ordered import in_order
 from ..sources import tables as T
-from .catalog import query
+from .catalog import formula, query
 from .twins import FOLD
 
 _ADDRESS = "substr(sha256({0}), 1, 32)"
@@ -235,7 +235,7 @@ def profile_names(spark, d):
     return rows.select("vec_id", "label", scalars.encoder_of(codec).alias("encoder"), scalars.muxer_of(container).alias("muxer"))
 
 
-@query("SELECT * FROM (VALUES ('cheap_downscale', 'FidelityBelowThreshold'), ('byte_swap', 'CommitmentMismatch'), ('wrong_content', 'FidelityBelowThreshold')) t(label, detail)")
+@formula("SELECT * FROM (VALUES ('cheap_downscale', 'FidelityBelowThreshold'), ('byte_swap', 'CommitmentMismatch'), ('wrong_content', 'FidelityBelowThreshold')) t(label, detail)")
 def attack_verdicts(spark, d):
     """What a caught attack of each class is called."""
     rows = spark.createDataFrame([("cheap_downscale",), ("byte_swap",), ("wrong_content",)], "label string")
@@ -248,7 +248,7 @@ def challenge_seeds(spark, d):
     return _documents(spark, d).select("doc_id", scalars.challenge_seed(F.sha2(F.col("text").cast("binary"), 256), F.col("doc_id")).alias("seed"))
 
 
-@query("SELECT w, round(w * 1.0 + 0.15, 6)::DOUBLE AS first, round(w * 1.0 + 0.55, 6)::DOUBLE AS second FROM range(4) t(w)")
+@formula("SELECT w, round(w * 1.0 + 0.15, 6)::DOUBLE AS first, round(w * 1.0 + 0.55, 6)::DOUBLE AS second FROM range(4) t(w)")
 def window_times(spark, d):
     times = scalars.window_times(F.col("id"))
     return spark.range(4).select(F.col("id").alias("w"), F.round(F.get(times, F.lit(0)), 6).alias("first"), F.round(F.get(times, F.lit(1)), 6).alias("second"))

@@ -11,7 +11,7 @@ from ..operators.ordered import in_order
 from ..sources import logs
 from ..sources import tables as T
 from . import twins
-from .catalog import QUERIES, SQL, query
+from .catalog import QUERIES, SQL, formula, query
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -155,7 +155,7 @@ def ewma_throughput(spark, d):
     return lifecycle.moving_averages(rows, ["worker"], order, F.col("l_quantity")).select("worker", F.round("ewma", 6).alias("ewma"))
 
 
-@query("WITH n AS (SELECT unnest(range(1, 65)) AS n) SELECT n, n::DOUBLE AS target, greatest(1, ceil(n::DOUBLE / n))::BIGINT + 1 AS worker_cap, greatest(1, ceil(n::DOUBLE))::BIGINT * 4 AS queue_cap, 2 * n + 4 AS round_trips FROM n")
+@formula("WITH n AS (SELECT unnest(range(1, 65)) AS n) SELECT n, n::DOUBLE AS target, greatest(1, ceil(n::DOUBLE / n))::BIGINT + 1 AS worker_cap, greatest(1, ceil(n::DOUBLE))::BIGINT * 4 AS queue_cap, 2 * n + 4 AS round_trips FROM n")
 def sizing_caps(spark, d):
     n = spark.range(1, 65).withColumnRenamed("id", "n")
     target = scalars.in_flight_target(F.col("n") / scalars.SERVICE_SECONDS, F.lit(scalars.SERVICE_SECONDS))
@@ -163,24 +163,24 @@ def sizing_caps(spark, d):
     return n.select("n", target.alias("target"), scalars.worker_cap(target, F.col("n")).alias("worker_cap"), scalars.queue_cap(target).alias("queue_cap"), (2 * F.col("n") + 4).alias("round_trips"))
 
 
-@query("WITH g AS (SELECT n, m FROM (SELECT unnest([1, 4, 16, 64]) AS n), (SELECT unnest([1, 2, 4, 8]) AS m)) SELECT n::BIGINT AS n, m::BIGINT AS m, round(0.02 * 1.66 * n / m, 6)::DOUBLE AS utilisation, round(least(1.0, m / (1.66 * n)), 6)::DOUBLE AS saturating_share FROM g")
+@formula("WITH g AS (SELECT n, m FROM (SELECT unnest([1, 4, 16, 64]) AS n), (SELECT unnest([1, 2, 4, 8]) AS m)) SELECT n::BIGINT AS n, m::BIGINT AS m, round(0.02 * 1.66 * n / m, 6)::DOUBLE AS utilisation, round(least(1.0, m / (1.66 * n)), 6)::DOUBLE AS saturating_share FROM g")
 def verifier_capacity(spark, d):
     grid = spark.range(1).select(F.explode(_longs(1, 4, 16, 64)).alias("n")).withColumn("m", F.explode(_longs(1, 2, 4, 8)))
     return grid.select("n", "m", F.round(F.lit(0.02 * 1.66) * F.col("n") / F.col("m"), 6).alias("utilisation"), F.round(F.least(F.lit(1.0), F.col("m") / (F.lit(1.66) * F.col("n"))), 6).alias("saturating_share"))
 
 
-@query()
+@formula()
 def admission_shed(spark, d):
     """Admission against a bounded queue that drains at a fixed rate: per-tick offered, admitted, shed and depth."""
     return simulation.admission(T.table(spark, d, "events").select("event_id", "event_type"))
 
 
-@query()
+@formula()
 def saturation_summary(spark, d):
     return simulation.saturation_summary(admission_shed(spark, d))
 
 
-@query()
+@formula()
 def dispatch_plan(spark, d):
     """Greedy placement of the most urgent tasks on workers, least loaded first."""
     ready = T.derived(spark, d, T.READY_SPARK)
@@ -237,7 +237,7 @@ def achieved_rate(spark, d):
     return T.table(spark, d, "events").groupBy(F.col("event_type").alias("event")).agg(F.count("*").alias("n"), seconds.alias("span")).select("event", "n", F.round((F.col("n") - 1) / F.col("span"), 6).alias("rate"))
 
 
-@query("SELECT i AS slot, (i * 1000000000 // 404)::BIGINT AS intended_ns FROM range(6061) t(i)")
+@formula("SELECT i AS slot, (i * 1000000000 // 404)::BIGINT AS intended_ns FROM range(6061) t(i)")
 def open_loop_schedule(spark, d):
     return spark.range(6061).select(F.col("id").alias("slot"), F.expr("id * 1000000000 div 404").alias("intended_ns"))
 
@@ -522,7 +522,7 @@ def partition_disjoint(spark, d):
 _SPOTS = "SELECT k, x, n FROM (VALUES (1, 10, 48), (2, 1, 12), (3, 6, 9), (4, 0, 9), (5, 1, 4), (6, 0, 10), (7, 10, 10), (8, 0, 0)) t(k, x, n)"
 
 
-@query(f"WITH RECURSIVE {_interval_sql(_SPOTS)} SELECT c.k::BIGINT AS k, c.x::BIGINT AS x, c.n::BIGINT AS n, round(low, 6) AS low, round(high, 6) AS high FROM c JOIN ci ON ci.k = c.k")
+@formula(f"WITH RECURSIVE {_interval_sql(_SPOTS)} SELECT c.k::BIGINT AS k, c.x::BIGINT AS x, c.n::BIGINT AS n, round(low, 6) AS low, round(high, 6) AS high FROM c JOIN ci ON ci.k = c.k")
 def clopper_pearson(spark, d):
     """Exact 95 % intervals of given counts."""
     spots = spark.createDataFrame([(1, 10, 48), (2, 1, 12), (3, 6, 9), (4, 0, 9), (5, 1, 4), (6, 0, 10), (7, 10, 10), (8, 0, 0)], "k long, x long, n long")
@@ -542,17 +542,17 @@ def _grid(spark):
     return grid.withColumn("hyper", scalars.detect_hypergeometric(F.col("n"), F.col("m"), F.col("k"))).withColumn("binom", scalars.detect_binomial(F.col("p"), F.col("m")))
 
 
-@query(f"WITH {_GRID} SELECT tier, p, n, f, m, k, round(hyper, 6) AS p_detect FROM h")
+@formula(f"WITH {_GRID} SELECT tier, p, n, f, m, k, round(hyper, 6) AS p_detect FROM h")
 def detection_family(spark, d):
     return _grid(spark).select("tier", "p", "n", "f", "m", "k", F.round("hyper", 6).alias("p_detect"))
 
 
-@query(f"WITH {_GRID} SELECT tier, n, f, round(binom - hyper, 6) + 0.0 AS divergence FROM h")
+@formula(f"WITH {_GRID} SELECT tier, n, f, round(binom - hyper, 6) + 0.0 AS divergence FROM h")
 def detection_divergence(spark, d):
     return _grid(spark).select("tier", "n", "f", (F.round(F.col("binom") - F.col("hyper"), 6) + 0.0).alias("divergence"))
 
 
-@query(f"WITH {_GRID} SELECT tier, n, f, round(binom - hyper, 6) + 0.0 AS divergence FROM h ORDER BY abs(binom - hyper) DESC, p, n, f LIMIT 1")
+@formula(f"WITH {_GRID} SELECT tier, n, f, round(binom - hyper, 6) + 0.0 AS divergence FROM h ORDER BY abs(binom - hyper) DESC, p, n, f LIMIT 1")
 def greatest_divergence(spark, d):
     """Where the binomial form is furthest from the exact one; the first of equals by tier, size and share."""
     gap = _grid(spark).withColumn("gap", F.col("binom") - F.col("hyper"))
@@ -572,7 +572,7 @@ def sample_gate(spark, d):
     return rows.select("event_id", (scalars.uniform(F.concat(F.lit("gate:"), F.col("event_id").cast("string")).cast("binary")) < reputation.share_for(F.col("tier"))).alias("sampled"))
 
 
-@query("WITH t AS (SELECT trial, slot, sha256('mc:' || trial || ':' || slot) AS u FROM range(2000) a(trial), range(16) b(slot)), r AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY u) AS k FROM t), c AS (SELECT trial, bool_or(slot < 4 AND k <= 4) AS caught FROM r GROUP BY trial) SELECT count(*) FILTER (caught) AS caught, count(*) AS trials FROM c")
+@formula("WITH t AS (SELECT trial, slot, sha256('mc:' || trial || ':' || slot) AS u FROM range(2000) a(trial), range(16) b(slot)), r AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY u) AS k FROM t), c AS (SELECT trial, bool_or(slot < 4 AND k <= 4) AS caught FROM r GROUP BY trial) SELECT count(*) FILTER (caught) AS caught, count(*) AS trials FROM c")
 def mc_detection(spark, d):
     slots = spark.range(2000).select(F.col("id").alias("trial"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("slot"))
     key = F.sha2(F.concat(F.lit("mc:"), F.col("trial").cast("string"), F.lit(":"), F.col("slot").cast("string")).cast("binary"), 256)
@@ -581,12 +581,12 @@ def mc_detection(spark, d):
     return caught.agg(F.count_if("caught").alias("caught"), F.count("*").alias("trials"))
 
 
-@query()
+@formula()
 def escalation(spark, d):
     """Cheating workers under the sampling policy until banned: one row per seed and job."""
     return simulation.escalation(spark, seeds=200, jobs=40, share=0.5, slots=16)
 
 
-@query()
+@formula()
 def escalation_summary(spark, d):
     return simulation.escalation_summary(escalation(spark, d))
