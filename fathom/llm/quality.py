@@ -174,7 +174,7 @@ def fit(docs: DataFrame) -> Model:
 
     picked = voted.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "pattern").limit(SAMPLE).join(F.broadcast(known), "pattern").groupBy("doc_id").agg(F.min("post").alias("post"))
     sample = named.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "post").mapInArrow(_features, "post double, features binary")
-    got = [(r.post, np.frombuffer(r.features, np.float32)) for r in sample.toLocalIterator()]
+    got = [(r.post, np.frombuffer(r.features, np.float32)) for r in store(sample, "sample").collect()]
     got.sort(key=lambda r: (r[0], r[1].tobytes()))
     weights, bias = train(np.stack([f for _, f in got]), np.array([p for p, _ in got])) if got else (np.zeros(DIMS), 0.0)
     return Model(codes, patterns, post, accuracy, coverage, weights, bias)
