@@ -17,6 +17,7 @@ Shards send their distinct words with counts, words are counted and scored once,
 and each shard gets the values of its own words back; so a frequent word is one
 row per shard. Words are told apart by their bytes, never by a hash alone, and
 are never collected; only the vocabulary-sized arc counts reach the driver.
+A word of any length takes constant memory beside its bytes.
 ``lattice_score`` is the pure marginal over segmentations, without the counts.
 
 Results for odd input: null or empty text is one end token; repeated rows each
@@ -27,6 +28,7 @@ alone; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterator
 
@@ -44,6 +46,7 @@ ROUNDS = 1
 KEEP = 0.02
 DISCOUNT = 0.75
 LONG = 48
+SPAN = 1 << 14
 SHARD_BYTES = 32 << 20
 
 
@@ -137,38 +140,86 @@ def lattice(words: np.ndarray, pieces: Pieces, counts: np.ndarray | None = None,
     return alpha[size]
 
 
+def _arcs(word: np.ndarray, pieces: Pieces, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, piece) of all arcs that end in (lo, hi] or start in [lo, hi)."""
+    first = max(0, lo + 1 - pieces.longest)
+    part = word[first : hi + pieces.longest - 1]
+    h = np.zeros(hi - first, np.uint64)
+    found = []
+    for length in range(1, min(pieces.longest, len(part)) + 1):
+        n = min(hi - first, len(part) - length + 1)
+        h = h[:n] + blocks.byte_values(length - 1, part[length - 1 : length - 1 + n])
+        piece = pieces.find(blocks.mix(h + np.uint64(length)))
+        own = np.flatnonzero(piece >= 0)
+        found.append((own + first, own + first + length, piece[own]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _fill(values: list[float], places: np.ndarray, sources: np.ndarray, logs: np.ndarray) -> None:
+    """Sets values at each place to ln of the summed exp(value at source + log) of its arcs; arcs of a place adjoin, in working order."""
+    at, steps = -1, []
+
+    def settle() -> None:
+        top = max(steps)
+        values[at] = top + math.log(sum(math.exp(x - top) for x in steps)) if top > -math.inf else top
+
+    for place, source, log in zip(places.tolist(), sources.tolist(), logs.tolist(), strict=True):
+        if place != at:
+            if steps:
+                settle()
+            at, steps = place, []
+        steps.append(values[source] + log)
+    if steps:
+        settle()
+
+
 def long_lattice(word: np.ndarray, pieces: Pieces, count: float = 0.0, out: np.ndarray | None = None) -> float:
-    """The same for one long word: spans of one length at a time, then positions in order."""
-    size = len(word)
-    h = np.zeros(size + 1, np.uint64)
-    log = np.append(pieces.log, -np.inf)
-    weights = np.full((pieces.longest, size + 1), -np.inf)
-    found = np.full((pieces.longest, size + 1), -1)
-    for length in range(1, min(pieces.longest, size) + 1):
-        h = h[: size - length + 1] + blocks.byte_values(length - 1, word[length - 1 :])
-        found[length - 1, length:] = pieces.find(blocks.mix(h + np.uint64(length)))
-        weights[length - 1, length:] = log[found[length - 1, length:]]
-    alpha = np.full(size + pieces.longest + 1, -np.inf)
-    base = pieces.longest
-    alpha[base] = 0
-    lengths = np.arange(1, pieces.longest + 1)
-    for end in range(1, size + 1):
-        step = alpha[base + end - lengths] + weights[:, end]
-        top = step.max()
-        alpha[base + end] = top + np.log(np.exp(step - top).sum()) if top > -np.inf else top
-    if out is not None:
-        beta = np.full(size + pieces.longest + 1, -np.inf)
-        beta[size] = 0
-        for start in range(size - 1, -1, -1):
-            reach = lengths[: size - start]
-            step = weights[reach - 1, start + reach] + beta[start + reach]
-            top = step.max()
-            beta[start] = top + np.log(np.exp(step - top).sum()) if top > -np.inf else top
-        for length in range(1, min(pieces.longest, size) + 1):
-            ends = np.flatnonzero(found[length - 1] >= 0)
-            share = alpha[base + ends - length] + weights[length - 1, ends] + beta[ends] - alpha[base + size]
-            np.add.at(out, found[length - 1, ends], count * np.exp(share))
-    return float(alpha[base + size])
+    """The same for one long word, ``SPAN`` bytes at a time.
+
+    The forward values of ``longest`` positions are all that a span hands on.
+    For the expected uses, these are kept for each span, from which the backward
+    pass makes the forward values of a span again.
+    """
+    size, reach = len(word), pieces.longest
+    none = -math.inf
+
+    def forward(arcs: tuple[np.ndarray, ...], lo: int, hi: int, head: list[float]) -> list[float]:
+        """Forward values at positions lo + 1 - reach to hi, the first of them given."""
+        own = np.flatnonzero((arcs[1] > lo) & (arcs[1] <= hi))
+        start, end, piece = (x[own[np.argsort(arcs[1][own], kind="stable")]] for x in arcs)
+        alpha = head + [none] * (hi - lo)
+        _fill(alpha, end - lo + reach - 1, start - lo + reach - 1, pieces.log[piece])
+        return alpha
+
+    def level(values: list[float]) -> tuple[list[float], float]:
+        """The values less their greatest, and that: small numbers keep their digits over millions of positions."""
+        top = max(values)
+        return ([x - top for x in values], top) if top > none else (values, 0.0)
+
+    spans = [(lo, min(lo + SPAN, size)) for lo in range(0, size, SPAN)]
+    head, before = [none] * (reach - 1) + [0.0], 0.0
+    heads = []
+    for lo, hi in spans:
+        if out is not None:
+            heads.append((head, before))
+        head, top = level(forward(_arcs(word, pieces, lo, hi), lo, hi, head)[-reach:])
+        before += top
+    total = before + head[-1]
+    if out is None or total == none:
+        return total
+    tail, after = [0.0] + [none] * (reach - 1), 0.0
+    for (lo, hi), (head, before) in zip(reversed(spans), reversed(heads), strict=True):
+        arcs = _arcs(word, pieces, lo, hi)
+        alpha = np.array(forward(arcs, lo, hi, head)[reach - 1 :])
+        own = np.flatnonzero(arcs[0] >= lo)
+        start, end, piece = (x[own[np.argsort(-arcs[0][own], kind="stable")]] for x in arcs)
+        beta = [none] * (hi - lo) + tail
+        _fill(beta, start - lo, end - lo, pieces.log[piece])
+        share = alpha[start - lo] + pieces.log[piece] + np.array(beta)[end - lo] + (before + after - total)
+        np.add.at(out, piece, count * np.exp(share))
+        tail, top = level(beta[:reach])
+        after += top
+    return total
 
 
 def word_lattices(words: list[bytes], pieces: Pieces, counts: np.ndarray | None = None, out: np.ndarray | None = None) -> np.ndarray:
@@ -213,17 +264,16 @@ def _shard_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def adapt(words: DataFrame, pieces: Pieces) -> Pieces:
-    """One forward-backward pass over all training words."""
+    """One forward-backward pass over all training words, each as often as it occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(len(pieces.spans))
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            word_lattices(words, pieces, np.ones(len(words)), out)
+            word_lattices(batch.column(0).to_pylist(), pieces, np.asarray(batch.column(1)).astype(float), out)
         own = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(out[own])], names=["piece", "n"])
 
-    used = words.where("n > 0").select("word").mapInArrow(count, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+    used = words.where("n > 0").select("word", "n").mapInArrow(count, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
     if not len(used):
         return pieces
     share = np.zeros(len(pieces.spans))

@@ -230,7 +230,18 @@ def test_very_long_urls(spark):
     assert (got[1].rule, got[2].verdict, got[3].path, got[4].host) == ("com/en/", "allow", "/", "") and len(got[1].path) == 100_004
 
 
-def test_lattice_score_of_documents(spark):
+def segmentations(word, share):
+    """All ways to cut word into pieces of share."""
+    if not word:
+        yield ()
+    for k in range(1, len(word) + 1):
+        if word[:k] in share:
+            for rest in segmentations(word[k:], share):
+                yield (word[:k], *rest)
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_lattice_score_of_documents(spark, rounds):
     rows = [(k, t) for k, t in enumerate(["ab ba", "the Cat's naïve", "", "ab " * 5, None])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     pieces = lm.load_pieces()
@@ -246,7 +257,17 @@ def test_lattice_score_of_documents(spark):
     count = Counter(w for i, t in rows if i not in held for w in words(t))
     ends = len(rows) - len(held)
     total, types = sum(count.values()) + ends, len(count) + 1
-    for r in lm.likelihood(docs, rounds=0).collect():
+    for _ in range(rounds):  # expected uses by enumeration of all segmentations
+        used = Counter()
+        for word, n in count.items():
+            weights = Counter()
+            for parts in segmentations(b" " + word.encode(), share):
+                weights[parts] = math.prod(share[x] for x in parts)
+            for parts, weight in weights.items():
+                for x in parts:
+                    used[x] += n * weight / sum(weights.values())
+        share = {x: (1 - lm.KEEP) * used[x] / sum(used.values()) + lm.KEEP * v for x, v in share.items()}
+    for r in lm.likelihood(docs, rounds=rounds).collect():
         pure = [lattice(b" " + w.encode()) for w in words(rows[r.doc_id][1])]
         last = math.log10((ends - lm.DISCOUNT) / total)
         seen = [max(count[w] - lm.DISCOUNT, 0) / total for w in words(rows[r.doc_id][1])]
