@@ -150,8 +150,8 @@ def verify_stitches(requests: DataFrame, inputs: DataFrame, blobs: DataFrame) ->
 
 def stitch(inputs: DataFrame) -> DataFrame:
     """(task, payload): the payloads of inputs (task, place, payload) in order, as one."""
-    by = inputs.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("place", "payload"))).alias("rows"))
-    return by.select("task", F.aggregate("rows", F.lit("").cast("binary"), lambda a, r: F.concat(a, r.payload)).alias("payload"))
+    by = inputs.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("place", F.hex("payload").alias("payload")))).alias("rows"))
+    return by.select("task", F.unhex(F.array_join("rows.payload", "")).alias("payload"))
 
 
 def verify_requests(requests: DataFrame, transcodes: DataFrame, stitches: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..operators import exchange, lifecycle
 from ..operators.ordered import in_order
 from ..sources import tables as T
 from .catalog import formula, query
+from .registry import _VERDICTS, verdicts
 from .twins import FOLD
 
 _ADDRESS = "substr(sha256({0}), 1, 32)"
@@ -140,10 +141,10 @@ def verdict_standings(spark, d):
     return lifecycle.standings(taken.select(F.col("holder").alias("worker"), "seq", F.expr(_DETAIL).alias("detail")))
 
 
-@query("SELECT user_id AS worker, greatest(-128, sum(CASE event_type WHEN 'error' THEN -8 ELSE -4 END))::INT AS standing FROM events WHERE event_type IN ('error', 'click') AND event_id % 40 = 7 GROUP BY user_id")
+@query("SELECT user_id AS worker, greatest(-128, sum(CASE event_type WHEN 'error' THEN -8 ELSE -4 END))::INT AS standing FROM events WHERE event_type IN ('error', 'click') GROUP BY user_id")
 def coarse_standing(spark, d):
     """Standings after timeouts and failed verifications only."""
-    rows = T.table(spark, d, "events").where("event_type in ('error', 'click') and event_id % 40 = 7")
+    rows = T.table(spark, d, "events").where("event_type in ('error', 'click')")
     return exchange.coarse_standings(rows.select(F.col("user_id").alias("worker"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "VerificationFailure").otherwise("Timeout").alias("change")))
 
 
@@ -188,33 +189,40 @@ def _stitch_parts(spark, d):
     return requests, inputs, blobs
 
 
-_STITCHED = """s AS (SELECT task, CASE WHEN task % 11 = 2 THEN 'Inconclusive' WHEN task % 6 = 4 THEN 'CommitmentMismatch' WHEN task % 5 = 1 AND turns > 1 THEN 'Inconclusive' WHEN task % 7 = 3 AND turns > 1 THEN 'IntegrityViolation' ELSE 'Ok' END AS detail
- FROM (SELECT conv_id AS task, count(*) FILTER (turn <= 1) AS turns FROM conversations GROUP BY conv_id))"""
+_STITCHED = f"""{_TURNS}, {_WHOLE},
+own AS (SELECT task, CASE WHEN task % 11 = 2 THEN 'gone' ELSE {_ADDRESS.format('whole')} END AS output, CASE WHEN task % 6 = 4 THEN repeat('0', 64) ELSE {_COMMITMENT.format('whole')} END AS commitment FROM w),
+ins AS (SELECT task, CASE WHEN task % 5 = 1 AND place = 1 THEN 'gone' ELSE a END AS output, CASE WHEN task % 7 = 3 AND place = 1 THEN repeat('0', 64) ELSE c END AS commitment FROM i),
+stored AS (SELECT DISTINCT {_ADDRESS.format('text')} AS address, {_COMMITMENT.format('text')} AS held FROM (SELECT text FROM i UNION ALL SELECT whole FROM w)),
+parts AS (SELECT ins.task, bool_or(stored.held IS NULL) AS absent, bool_and(coalesce(stored.held = ins.commitment, false)) AS sound FROM ins LEFT JOIN stored ON stored.address = ins.output GROUP BY ins.task),
+stitched AS (SELECT own.task, CASE WHEN stored.held IS NULL THEN 'Inconclusive' WHEN stored.held <> own.commitment THEN 'CommitmentMismatch' WHEN absent THEN 'Inconclusive' WHEN NOT sound THEN 'IntegrityViolation' ELSE 'Ok' END AS detail
+ FROM own LEFT JOIN stored ON stored.address = own.output LEFT JOIN parts ON parts.task = own.task)"""
 
 
-@query(f"WITH {_STITCHED} SELECT task, detail FROM s")
+@query(f"WITH {_STITCHED} SELECT task, detail FROM stitched")
 def stitch_verdicts(spark, d):
     """Stitched outputs checked: own output first, then each input; some outputs and inputs are gone or changed."""
     return exchange.verify_stitches(*_stitch_parts(spark, d))
 
 
-@query(f"WITH {_STITCHED}, q AS (SELECT conv_id AS task, CASE WHEN conv_id % 2 = 0 THEN 'stitch' ELSE 'transcode' END AS kind FROM conversations GROUP BY conv_id) SELECT q.task, q.kind, CASE WHEN q.kind = 'stitch' THEN s.detail WHEN q.task % 3 = 0 THEN 'FidelityBelowThreshold' WHEN q.task % 3 = 1 THEN 'Ok' ELSE 'Inconclusive' END AS detail, CASE WHEN q.kind = 'stitch' THEN s.detail = 'Ok' ELSE q.task % 3 = 1 END AS passed FROM q JOIN s ON s.task = q.task")
+@query(f"""{_VERDICTS}, {_STITCHED}, asked AS (SELECT DISTINCT conv_id AS task, CASE WHEN conv_id % 2 = 0 THEN 'stitch' ELSE 'transcode' END AS kind FROM conversations)
+SELECT asked.task, asked.kind, coalesce(CASE WHEN asked.kind = 'stitch' THEN stitched.detail ELSE scored.detail END, 'Inconclusive') AS detail, coalesce(CASE WHEN asked.kind = 'stitch' THEN stitched.detail ELSE scored.detail END, '') = 'Ok' AS passed
+FROM asked LEFT JOIN stitched ON stitched.task = asked.task LEFT JOIN scored ON scored.segment = asked.task""")
 def verify_requests(spark, d):
-    """Requests answered by the verdict of their kind; those without one are inconclusive."""
+    """Requests answered by the verdict of their kind: scored frames of the segment of that number, or a checked stitch; those without one are inconclusive."""
     asked = T.table(spark, d, "conversations").select(F.col("conv_id").alias("task")).distinct().withColumn("kind", F.when(F.col("task") % 2 == 0, "stitch").otherwise("transcode"))
-    scored = asked.where("task % 3 <> 2").select("task", F.when(F.col("task") % 3 == 0, "FidelityBelowThreshold").otherwise("Ok").alias("detail"))
+    scored = verdicts(spark, d).select(F.col("segment").alias("task"), "detail")
     return exchange.verify_requests(asked, scored, stitch_verdicts(spark, d))
 
 
-@query("WITH g AS (SELECT doc_id AS job, unnest(range(0, (length(text) - 1) // 500 + 1)) AS segment, text FROM documents WHERE length(text) > 0) SELECT job, segment, strlen(substr(text, segment * 500 + 1, 500))::BIGINT AS plain_bytes, (28 + strlen(substr(text, segment * 500 + 1, 500)))::BIGINT AS sealed_bytes, true AS opens FROM g")
+@query("WITH g AS (SELECT doc_id AS job, unnest(range(0, (length(text) - 1) // 500 + 1)) AS segment, text FROM documents WHERE length(text) > 0) SELECT job, segment, strlen(substr(text, segment * 500 + 1, 500))::BIGINT AS plain_bytes, (28 + strlen(substr(text, segment * 500 + 1, 500)))::BIGINT AS sealed_bytes, substr(sha256(substr(text, segment * 500 + 1, 500)), 1, 32) AS opened FROM g")
 def staged_segments(spark, d):
-    """Documents cut into segments of 500 characters, sealed under a key of their own, addressed, and opened again."""
+    """Documents cut into segments of 500 characters, sealed under a key of their own, and the address of what opening gives."""
     docs = _documents(spark, d).where("length(text) > 0").select(F.col("doc_id").alias("job"), "text")
     places = docs.select("job", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.char_length("text") - 1) / 500).cast("bigint"))).alias("segment"))
     keys = places.withColumn("key", F.unhex(F.sha2(F.concat_ws("-", "job", "segment").cast("binary"), 256)))
     staged = exchange.stage(docs, 500, keys).join(keys, ["job", "segment"])
     opened = scalars.unseal(F.col("sealed"), F.col("key"), scalars.associated_data(F.col("job"), F.col("segment"), F.lit(0)))
-    return staged.select("job", "segment", F.length(F.col("plain").cast("binary")).cast("bigint").alias("plain_bytes"), F.length("sealed").cast("bigint").alias("sealed_bytes"), (opened == F.col("plain").cast("binary")).alias("opens"))
+    return staged.select("job", "segment", F.length(F.col("plain").cast("binary")).cast("bigint").alias("plain_bytes"), F.length("sealed").cast("bigint").alias("sealed_bytes"), scalars.content_address(opened).alias("opened"))
 
 
 @query("WITH p AS (SELECT conv_id AS job, count(*) AS n FROM conversations GROUP BY conv_id), r AS (SELECT job, n, row_number() OVER (ORDER BY job) - 1 AS c, count(*) OVER () AS m FROM p), k AS (SELECT a.job, unnest(range(a.n)) AS segment, b.job AS other_job, b.n AS size FROM r a JOIN r b ON b.c = (a.c + 1) % a.m) SELECT job, segment, other_job, least(segment, size - 1) AS other_segment FROM k")

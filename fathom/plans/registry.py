@@ -390,12 +390,15 @@ def segment_min_ssim(spark, d):
     return analytics.mean_similarity(_frame_pairs(spark, d), "vec_id").groupBy(F.expr("vec_id div 8").alias("segment")).agg(F.round(F.min("mssim"), 6).alias("worst"))
 
 
-@query(f"""{_SSIM}, m AS (SELECT vec_id // 8 AS segment, min(ssim) AS worst FROM r GROUP BY 1), z AS (SELECT DISTINCT vec_id // 8 AS segment FROM embeddings),
+_VERDICTS = f"""{_SSIM}, m AS (SELECT vec_id // 8 AS segment, min(ssim) AS worst FROM r GROUP BY 1), z AS (SELECT DISTINCT vec_id // 8 AS segment FROM embeddings),
 b AS (SELECT doc_id, sha256('\\x00'::BLOB || unhex(sha256(text))) AS held FROM documents),
 sent AS (SELECT segment, CASE WHEN segment % 9 = 4 THEN repeat('0', 64) ELSE (SELECT held FROM b WHERE doc_id = segment) END AS sent, CASE WHEN segment % 13 = 5 THEN NULL ELSE segment END AS output FROM z),
-j AS (SELECT s.segment, s.sent, b.held, m.worst FROM sent s LEFT JOIN b ON b.doc_id = s.output LEFT JOIN m ON m.segment = s.segment)
-SELECT segment, CASE WHEN held IS NULL OR sent IS NULL THEN 'Inconclusive' WHEN held <> sent THEN 'CommitmentMismatch' WHEN worst IS NULL THEN 'Inconclusive' WHEN worst >= 0.05 THEN 'Ok' ELSE 'FidelityBelowThreshold' END AS detail,
- CASE WHEN held = sent THEN round(worst, 6) END AS score FROM j""")
+j AS (SELECT s.segment, s.sent, b.held, m.worst FROM sent s LEFT JOIN b ON b.doc_id = s.output LEFT JOIN m ON m.segment = s.segment),
+scored AS (SELECT segment, CASE WHEN held IS NULL OR sent IS NULL THEN 'Inconclusive' WHEN held <> sent THEN 'CommitmentMismatch' WHEN worst IS NULL THEN 'Inconclusive' WHEN worst >= 0.05 THEN 'Ok' ELSE 'FidelityBelowThreshold' END AS detail,
+ CASE WHEN held = sent THEN round(worst, 6) END AS score FROM j)"""
+
+
+@query(f"{_VERDICTS} SELECT segment, detail, score FROM scored")
 def verdicts(spark, d):
     """Segments bound to the blob that they name, then scored; what is missing is inconclusive."""
     segments = T.table(spark, d, "embeddings").select(F.expr("vec_id div 8").alias("segment")).distinct()
