@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fathom.operators import lifecycle
 from fathom.plans import flow
+from fathom.plans import evidence, leases, registry  # noqa: F401 (each registers its queries)
 from fathom.plans.catalog import QUERIES
 from fathom.sources import tables, upserts
 from fathom.streaming import metrics, queues, tasks
