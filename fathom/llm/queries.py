@@ -155,6 +155,17 @@ r AS (SELECT doc_id, source, d.s, row_number() OVER (PARTITION BY d.s ORDER BY m
 SELECT doc_id, source, k // 8 AS block, k % 8 AS place, k // 8 // w * p + released AS release, k // 8 // w * p + due AS deadline, k // 8 // w * p + t.slot AS slot, k // 8 // w * p + t.slot < gap.slot AS balanced
 FROM r JOIN t ON t.s = r.s AND t.j = (k // 8) % w, gap""",
     "op9_url_filter": _url_sql(),
+    "op10_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, length(h) // 2 AS n, o, substr(h, o * 2 + 1, 1198) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 500)) AS o FROM d)),
+s AS (SELECT doc_id, o + i AS p, md5_number(substr(part, (i * 2 + 1)::INT, 200)) AS g FROM (SELECT *, unnest(range(0, least(500, n - o - 99))) AS i FROM c)),
+f AS (SELECT g, min((doc_id, p)) AS first FROM s GROUP BY g HAVING count(*) > 1),
+r AS (SELECT doc_id, p, p > 100 + lag(p, 1, -101) OVER (PARTITION BY doc_id ORDER BY p) AS opens FROM s JOIN f ON f.g = s.g WHERE (doc_id, p) <> first),
+k AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM (SELECT doc_id, p, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM r) GROUP BY doc_id, run),
+e AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM k),
+t AS (SELECT e.doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS tail, string_agg(substr(h, before * 2 + 1, (a - before) * 2), '' ORDER BY a) AS lead FROM e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(lead, '') || substr(h, coalesce(tail, 0) * 2 + 1))) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id""",
     "op11_ranked_search": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
 b AS (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
