@@ -43,9 +43,18 @@ SCHEMA = "record_type string, record_id string, target_uri string, payload_diges
 #: Columns that stand in a record's header, by header name. Fixed by the WARC format.
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to", "payload_length": "x-payload-length"}
 MANIFEST = "_manifest-"
+#: Hadoop's names of object stores, and what pyarrow calls them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+
+
+def store_uri(path: str) -> str:
+    """path with the scheme that pyarrow knows its store by; a path without a scheme is left as it is."""
+    scheme, cut, rest = path.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}://{rest}" if cut else path
 
 
 def _place(path: str) -> tuple[pafs.FileSystem, str]:
+    path = store_uri(path)
     return pafs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pafs.LocalFileSystem(), path)
 
 

@@ -191,3 +191,8 @@ def test_url_rules(spark, pages):
 def test_url_plan_has_no_python(spark):
     plan = urls.judge(spark.read.parquet(f"{LARGER}/pages.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_store_names():
+    named = {"s3a://bucket/a b/c": "s3://bucket/a b/c", "s3n://bucket": "s3://bucket", "abfss://box@account/x": "abfs://box@account/x", "file:///tmp/x": "file:///tmp/x", "/tmp/x": "/tmp/x", "hdfs://name:8020/x": "hdfs://name:8020/x"}
+    assert {path: warc.store_uri(path) for path in named} == named
