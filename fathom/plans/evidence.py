@@ -1,12 +1,13 @@
-"""Registered queries of sampled evidence: frames out of binary planes, forged payloads under the binding check, exact detection, last releases."""
+"""Registered queries of sampled evidence: frames out of binary planes, forged payloads and segments, exact detection, last releases."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import reputation, scalars, udfs
-from ..operators import analytics, exchange, planes
+from ..operators import analytics, exchange, planes, variants
 from ..sources import tables as T
+from ..sources.staged import store
 from .catalog import query
 from .registry import _MIX, _SSIM, _frame_pairs
 
@@ -63,3 +64,43 @@ def last_releases(spark, d):
     """The release that stands at each output address: of several writes the last."""
     rows = T.table(spark, d, "documents").select(scalars.content_address(F.col("text").cast("binary")).alias("output"), F.col("doc_id").alias("task"), "lang")
     return rows.groupBy("output").agg(F.max("task").alias("task"), F.max_by("lang", "task").alias("lang"), F.count("*").alias("writes"))
+
+
+#: Clips of 32 frames in four windows of eight, of which the third and the sixth are compared; an attacker has the next clip's frames.
+_VARIANTS = """v AS (SELECT vec_id, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings), q AS (SELECT vec_id, i, greatest(0, least(255, round((e::DOUBLE + 1) * 127.5)))::DOUBLE AS v FROM v), top AS (SELECT max(vec_id) + 1 AS n FROM embeddings),
+f AS (SELECT vec_id, i, v AS a FROM q WHERE vec_id % 8 IN (2, 5)),
+b AS (SELECT vec_id, i, a, 'honest' AS variant, floor(a / 4) * 4 + 2 AS b FROM f
+ UNION ALL SELECT vec_id, i, a, 'cheap_downscale', avg(a) OVER (PARTITION BY vec_id, i // 16, i % 8 // 2) FROM f
+ UNION ALL SELECT vec_id, i, a, 'wrong_bitrate', floor(a / 64) * 64 + 32 FROM f
+ UNION ALL SELECT f.vec_id, f.i, a, 'frame_substitution', q.v FROM f, top JOIN q ON q.vec_id = (f.vec_id + 32) % n AND q.i = f.i
+ UNION ALL SELECT vec_id, i, a, 'garbage', 16 FROM f),
+s AS (SELECT vec_id, variant, avg(a) AS mx, avg(b) AS my, var_samp(a) AS vx, var_samp(b) AS vy, covar_samp(a, b) AS c FROM b GROUP BY ALL),
+x AS (SELECT vec_id // 32 AS clip, vec_id // 8 % 4 AS segment, variant, round(min(((2 * mx * my + 6.5025) * (2 * c + 58.5225)) / ((mx * mx + my * my + 6.5025) * (vx + vy + 58.5225))), 6) AS score FROM s GROUP BY ALL),
+samples AS (SELECT clip, segment, CASE segment WHEN 0 THEN 'calibration' WHEN 1 THEN 'held_out' WHEN 2 THEN 'calibration' ELSE 'held_out' END AS set, variant, CASE variant WHEN 'honest' THEN 'honest' ELSE 'attack' END AS class, score FROM x)"""
+
+
+def _variant_samples(spark, d):
+    luma = F.transform("embedding", lambda e: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round((e.cast("double") + 1) * 127.5))))
+    frames = T.table(spark, d, "embeddings").select("vec_id", luma.alias("a"))
+    total = frames.agg((F.max("vec_id") + 1).alias("total"))
+    drawn = frames.where(F.expr("vec_id % 8 IN (2, 5)")).crossJoin(F.broadcast(total)).withColumn("other", F.expr("(vec_id + 32) % total"))  # one row
+    paired = drawn.join(frames.select(F.col("vec_id").alias("other"), F.col("a").alias("substitute")), "other", "left")
+    placed = paired.select(F.expr("vec_id div 32").alias("clip"), F.expr("vec_id div 8 % 4").alias("segment"), F.col("vec_id").alias("frame"), "a", "substitute")
+    return variants.samples(placed, 8, 8).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_VARIANTS} SELECT * FROM samples")
+def variant_samples(spark, d):
+    """Every segment of every clip as sent honestly and as forged in four ways, each by its least similarity."""
+    return _variant_samples(spark, d)
+
+
+@query(f"""WITH {_VARIANTS}, k AS (SELECT class, score FROM samples WHERE set = 'calibration'),
+t AS (SELECT coalesce((score + lag(score) OVER (ORDER BY score)) / 2, score - 1e-6) AS t FROM (SELECT DISTINCT score FROM k) UNION ALL SELECT max(score) + 1e-6 FROM k),
+j AS (SELECT t, round((1 - count(*) FILTER (class = 'honest' AND score < t)::DOUBLE / count(*) FILTER (class = 'honest')) - count(*) FILTER (class = 'attack' AND score >= t)::DOUBLE / count(*) FILTER (class = 'attack'), 9) AS j FROM t, k GROUP BY t),
+cut AS (SELECT arg_max(t, (j, t)) AS t FROM j)
+SELECT variant, class, round(t, 6) AS threshold, count(*) AS n, count(*) FILTER (score >= t) AS accepted, round(count(*) FILTER (score >= t) / count(*)::DOUBLE, 6) AS rate FROM samples, cut WHERE set = 'held_out' GROUP BY variant, class, t""")
+def variant_rates(spark, d):
+    """How much of each variant passes among held-out segments, at the threshold of the calibrating ones."""
+    found = variants.rates(store(_variant_samples(spark, d), "variants"))
+    return found.withColumns({"threshold": F.round("threshold", 6), "rate": F.round("rate", 6)})
