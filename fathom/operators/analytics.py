@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +81,43 @@ def mean_similarity(frames: DataFrame, *keys: str) -> DataFrame:
     return windows.groupBy(*keys).agg(F.count("*").alias("windows"), F.avg(window_similarity(F.col("x"), F.col("y"))).alias("mssim"))
 
 
+def moments(x: Column, y: Column) -> Column:
+    """Number, sums, sums of squares and sum of products of two aligned arrays of whole numbers; those of parts add up without error."""
+    total = lambda v: F.aggregate(v, F.lit(0).cast("bigint"), lambda a, e: a + e)
+    product = lambda a, b: total(F.zip_with(a, b, lambda p, q: p * q))
+    return F.struct(F.size(x).cast("bigint").alias("n"), total(x).alias("x"), total(y).alias("y"), product(x, x).alias("xx"), product(y, y).alias("yy"), product(x, y).alias("xy"))
+
+
+def similarity_of(m: Column) -> Column:
+    """As window_similarity, of the moments of a window's pixels."""
+    n = m["n"].cast("double")
+    mx, my = m["x"] / n, m["y"] / n
+    spread = lambda ab, a, b: F.when(m["n"] > 1, (m["n"] * m[ab] - m[a] * m[b]) / (n * (n - 1))).otherwise(0.0)
+    return ((2 * mx * my + C1) * (2 * spread("xy", "x", "y") + C2)) / ((mx * mx + my * my + C1) * (spread("xx", "x", "x") + spread("yy", "y", "y") + C2))
+
+
+def mosaic_similarity(parts: DataFrame, width: int, height: int, side: int, *keys: str, size: int = WINDOW, stride: int = STRIDE) -> DataFrame:
+    """Windows that hold pixels and their mean similarity, of planes given by pairs of square parts: keys, px, py (a part's corner) and whole pixels a and b.
+
+    Parts are cut into tiles that no window splits; a window adds up its tiles'
+    moments, so it is judged by the pixels there are, and a part paired more than
+    once counts as often. Parts outside the plane count nowhere. A plane smaller than a window is one window.
+    """
+    starts = lambda n: range(0, n - size + 1, stride) if n > size else (0,)
+    tile = math.gcd(side, size, stride)
+    cut = lambda c, x, y: F.flatten(F.array(*(F.slice(c, (y + r) * side + x + 1, tile) for r in range(tile))))
+    tiles = [F.struct((F.col("px") + x).alias("tx"), (F.col("py") + y).alias("ty"), moments(cut("a", x, y), cut("b", x, y)).alias("m")) for y in range(0, side, tile) for x in range(0, side, tile)]
+    found = parts.select(*keys, F.array(*tiles).alias("tiles")).groupBy(*keys).agg(F.flatten(F.collect_list("tiles")).alias("tiles"))
+    corners = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for y in starts(height) for x in starts(width)))
+    names = ("n", "x", "y", "xx", "yy", "xy")
+    none = F.struct(*(F.lit(0).cast("bigint").alias(c) for c in names))
+    inside = lambda t, w: (t["tx"] >= w["x"]) & (t["tx"] < w["x"] + size) & (t["ty"] >= w["y"]) & (t["ty"] < w["y"] + size)
+    held = F.transform(corners, lambda w: F.aggregate(F.filter("tiles", lambda t: inside(t, w)), none, lambda m, t: F.struct(*((m[c] + t["m"][c]).alias(c) for c in names))))
+    windows = F.transform(F.filter(held, lambda m: m["n"] > 0), similarity_of)
+    scored = found.select(*keys, windows.alias("__s")).where("size(__s) > 0")
+    return scored.select(*keys, F.size("__s").cast("bigint").alias("windows"), (F.aggregate("__s", F.lit(0.0), lambda a, e: a + e) / F.size("__s")).alias("mssim"))
+
+
 def segment_verdicts(sent: DataFrame, blobs: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
     """(segment, detail, score): what each sent (segment, sent, output) is worth.
 

@@ -2,10 +2,14 @@
 
 import math
 
+import duckdb
 from pyspark.sql import functions as F
 
 from fathom.functions import scalars
 from fathom.operators import planes
+from fathom.plans import catalog, registry
+
+from .conftest import canonical
 
 
 def test_frames_are_cut_by_offset(spark):
@@ -38,3 +42,19 @@ def test_exact_detection(spark):
         assert abs(r.p - (1 - sum(p * r.far**j for j, p in enumerate(mass)))) < 1e-9
     huge = spark.sql("select 100000L as n, 50000L as m, 20000L as k, 0.999d as far").select(scalars.detect_exactly(F.col("n"), F.col("m"), F.col("k"), F.col("far"))).first()[0]
     assert 0.99995 < huge <= 1
+
+
+def test_planes_without_all_their_quarters_agree_with_sql(spark, tmp_path):
+    """Quarters missing at the end, within and on one side only; ids twice; ids below 0; vectors null, short, long and with odd values."""
+    vector = lambda k: [math.sin(k * 1.7 + i * (0.3 + k % 5)) for i in range(64)]
+    rows = [(k, vector(k)) for k in range(-9, 47) if k not in (9, 16, 17, 18, 24, 25, 26, 27, 33)]
+    rows += [(5, vector(50)), (5, vector(51)), (8, vector(52)), (60, vector(60)), (65, vector(65)), (None, vector(70))]
+    rows += [(80, None), (81, vector(81)[:60]), (82, vector(82) * 2), (83, [None, math.nan, math.inf, -math.inf] + vector(83)[4:]), (84, vector(84)), (85, []), (86, vector(86)), (87, vector(87))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = registry.mssim_planes(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    ran = con.execute(catalog.SQL["mssim_planes"])
+    want = canonical([c[0] for c in ran.description], ran.fetchall())
+    assert canonical(df.columns, df.collect()) == want
+    assert {4, 9} < {r[want[0].index("windows")] for r in want[1]}
