@@ -90,3 +90,36 @@ def test_fences_agree_with_the_fold(spark):
     assert both.where("not (holder <=> h) or coalesce(current, 0) <> e").isEmpty()
     leased = both.where("was = 'Leased'")
     assert leased.where("fence <> coalesce(error, 'Ok')").isEmpty() and leased.select("fence").distinct().count() >= 2
+
+
+def test_reclaims_read_events_once_and_fold_them_once(spark, monkeypatch):
+    """No job counts, deals or stores what the fold gives, and no filter evaluates it a second time."""
+    from fathom.operators import scan
+
+    monkeypatch.setattr(scan, "asof", lambda *a, **k: pytest.fail("the fold is read again"))
+    events = tables.derived(spark, DATA, queries.CLOCKED)
+    found = lifecycle.reclaims(events)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("epoch_hw") and not [line for line in plan.split("\n") if "Filter" in line and "aggregate(" in line]
+    assert plan.count("collect_list(") == 1
+    rows = events.collect()
+    want = [(r.task, r.seq, r.epoch, r.deadline, _brought(rows, r.task, r.seq)) for r in _ended(lifecycle.clocked(events).collect())]
+    assert sorted(tuple(r) for r in found.select("task", "seq", "epoch", "deadline", "priority").collect()) == sorted(want) and len(want) > 10
+
+
+def test_priority_is_the_last_brought_before_the_lease_ended(spark):
+    """The second lease ends at an event that brings a priority itself, the third at the clock's end."""
+    rows = [
+        (1, 1, "Lease", 5, 1, 20, None, 1, 4), (1, 2, "Heartbeat", 9, 1, 20, None, 30, None), (1, 3, "Lease", 5, 2, 40, None, 31, None), (1, 4, "Submit", 9, 2, 40, None, 50, 7), (1, 5, "Lease", 5, 3, 60, None, 51, None),
+        (2, 6, "Lease", 6, 1, 70, None, 52, None), (3, 7, "Lease", 6, 1, 900, None, 80, 1),
+    ]
+    got = lifecycle.reclaims(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2, 1, 20, 4), (1, 4, 2, 40, 7), (1, 8, 3, 60, 7), (2, 8, 1, 70, None)]
+
+
+def _ended(steps):
+    return [r.__class__(**r.asDict() | {"seq": r.seq // 2}) for r in steps if r.event == "Tick" and r.was == "Leased" and r.status == "Pending"]
+
+
+def _brought(rows, task, seq):
+    return max(((r.seq, r.priority) for r in rows if r.task == task and r.seq <= seq and r.priority is not None), default=(0, None))[1]
