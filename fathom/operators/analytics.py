@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
 from .ordered import in_order
 
 #: Fixed values of the similarity index.
@@ -137,10 +140,50 @@ def stage_latency(lifecycle: DataFrame, start: str, end: str) -> DataFrame:
     return both.where("a is not null and b >= a").select("task", (F.col("b") - F.col("a")).alias("latency_ns"))
 
 
+#: Bits of a value that one pass of an order statistic tells apart.
+DIGIT = 14
+
+
+def discrete(values: DataFrame, wanted: Mapping[str, tuple[str, float]], *keys: str, aggregates: Sequence[Column] = (), digit: int = DIGIT) -> DataFrame:
+    """keys, aggregates and, for each name and (column, q) of wanted, the least value that at least a share q of the column's values doesn't exceed.
+
+    Columns are whole numbers; nulls count nowhere. Exact, by leading bits: a pass
+    counts the values by their next bits within the bits that were found before,
+    so no task holds more than 2**digit counts of a key, whatever the number of
+    distinct values. For few keys: their bits are broadcast.
+    """
+    by, columns = [*keys, "__one"], sorted({c for c, _ in wanted.values()})
+    rows = values.withColumn("__one", F.lit(0))
+    ends = values.agg(*(f(c).cast("bigint").alias(f"{n}{k}") for k, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    plain = values.groupBy(*keys).agg(*aggregates, F.count("*").alias("__rows")).withColumn("__one", F.lit(0))
+    spans = [(ends[f"lo{k}"], ends[f"hi{k}"]) for k in range(len(columns)) if ends[f"lo{k}"] is not None]
+    if not spans:
+        return plain.select("*", *(F.lit(None).cast("bigint").alias(n) for n in wanted)).drop("__one", "__rows")
+    shift = next(s for s in range(64) if all((hi >> s) - (lo >> s) < 2**digit for lo, hi in spans))
+    node = lambda v, s: F.call_function("shiftright", v, F.lit(s))
+    long = rows.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("c"), F.col(c).cast("bigint").alias("v")) for k, c in enumerate(columns)))).alias("__x"))
+    long = long.select(*by, F.col("__x.c").alias("__c"), F.col("__x.v").alias("__v")).where("__v is not null")
+    upto = lambda *on: F.sum("__n").over(Window.partitionBy(*by, *on).orderBy("__node"))
+    counted = long.groupBy(*by, "__c", node(F.col("__v"), shift).alias("__node")).agg(F.count("*").alias("__n")).withColumns({"__upto": upto("__c"), "__all": F.sum("__n").over(Window.partitionBy(*by, "__c"))})
+    ranks = [F.struct(F.lit(k).alias("name"), F.lit(columns.index(c)).alias("c"), F.greatest(F.ceil(F.lit(Decimal(str(q))) * F.col("__all")).cast("bigint"), F.lit(1).cast("bigint")).alias("rank")) for k, (c, q) in enumerate(wanted.values())]
+    counted = counted.withColumn("__w", F.explode(F.array(*ranks))).where("__w.c = __c").withColumns({"__name": F.col("__w.name"), "__rank": F.col("__w.rank")})
+    while True:
+        found = counted.where("__upto - __n < __rank and __rank <= __upto").select(*by, "__name", "__c", "__node", (F.col("__rank") - F.col("__upto") + F.col("__n")).alias("__rank"))
+        if shift == 0:
+            break
+        low = max(0, shift - digit)
+        within = scan.joined(long.withColumn("__node", node(F.col("__v"), shift)), F.broadcast(found), [*by, "__c", "__node"])
+        counted = within.groupBy(*by, "__name", "__c", node(F.col("__v"), low).alias("__node")).agg(F.count("*").alias("__n"), F.first("__rank").alias("__rank")).withColumn("__upto", upto("__name"))
+        shift = low
+    found = found.groupBy(*by).agg(*(F.max(F.when(F.col("__name") == k, F.col("__node"))).alias(n) for k, n in enumerate(wanted)))
+    return scan.joined(plain, F.broadcast(found), by, "left").drop("__one", "__rows")
+
+
 def percentiles(values: DataFrame, column: str, *keys: str) -> DataFrame:
-    """Count, least, greatest, mean and discrete percentiles."""
-    q = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})").cast("bigint")
-    return values.groupBy(*keys).agg(F.count("*").alias("count"), F.min(column).alias("min_ns"), q(0.5).alias("p50"), q(0.99).alias("p99"), q(0.999).alias("p999"), F.max(column).alias("max_ns"), F.avg(column).alias("mean_ns"))
+    """Count, least, greatest, mean and discrete percentiles of a whole-number column, for few keys."""
+    plain = [F.count("*").alias("count"), F.min(column).alias("min_ns"), F.max(column).alias("max_ns"), F.avg(column).alias("mean_ns")]
+    found = discrete(values, {"p50": (column, 0.5), "p99": (column, 0.99), "p999": (column, 0.999)}, *keys, aggregates=plain)
+    return found.select(*keys, "count", "min_ns", "p50", "p99", "p999", "max_ns", "mean_ns")
 
 
 def nearest_rank(values: DataFrame, column: str, qs: float | list[float], *keys: str) -> DataFrame:

@@ -32,10 +32,10 @@ class Monoid:
     combine: Callable[[Column, Column], Column]
 
 
-def _joined(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
+def joined(a: DataFrame, b: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """a with the other columns of b; null keys meet null keys."""
     named = b.withColumnsRenamed({c: f"__on_{c}" for c in on})
-    return a.join(named, reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on))).drop(*(f"__on_{c}" for c in on))
+    return a.join(named, reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on)), how).drop(*(f"__on_{c}" for c in on))
 
 
 def dealt(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int) -> DataFrame:
@@ -64,7 +64,7 @@ def placed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: i
         return local.select(*rows.columns, F.col("__k").alias("place"))
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     held = split.groupBy(*by).agg(F.count("*").alias("__n")).withColumn("__n", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    return _joined(local, held, by).select(*rows.columns, (F.col("__k") + F.col("__n")).alias("place"))
+    return joined(local, held, by).select(*rows.columns, (F.col("__k") + F.col("__n")).alias("place"))
 
 
 def _doubled(values: Column, combine: Callable[[Column, Column], Column], reach: int) -> Column:
@@ -89,7 +89,7 @@ def _scanned(rows: DataFrame, keys: Sequence[str], carried: Sequence[str], monoi
         blocks = store(blocks, "blocks")
         heads = blocks.select(*keys, F.col("__block").alias("place"), F.element_at("upto", -1).alias("__value"))
         starts = _scanned(heads, keys, [], monoid, block, -(-most // block)).select(*keys, F.col("place").alias("__block"), F.col("before").alias("start"))
-        blocks = _joined(blocks, starts, [*keys, "__block"])
+        blocks = joined(blocks, starts, [*keys, "__block"])
     else:
         blocks = blocks.withColumn("start", monoid.identity())
     opened = blocks.select(*keys, "start", "upto", F.posexplode("log").alias("__k", "__r"))
@@ -142,8 +142,8 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, take:
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     carried = held.select(*by, F.last(F.col("__top.__found"), ignorenulls=True).over(earlier).alias("__carry"))
     local = split.withColumn("__near", F.last("__found", ignorenulls=True).over(before))
-    joined = (_joined(local, carried, by) if ranges > 1 else local.withColumn("__carry", F.col("__near"))).where("__side <> 0")
+    carrying = (joined(local, carried, by) if ranges > 1 else local.withColumn("__carry", F.col("__near"))).where("__side <> 0")
     got = F.coalesce("__near", "__carry")
     named = {c: F.col(f"__row.{c}") for c in kept} | {c: F.col(c) for c in (*keys, at)}
     known = F.col(at).isNotNull()
-    return joined.select(*(named[c].alias(c) for c in left.columns), *(F.when(known, got[c]).alias(c) for c in take))
+    return carrying.select(*(named[c].alias(c) for c in left.columns), *(F.when(known, got[c]).alias(c) for c in take))

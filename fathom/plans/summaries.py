@@ -29,17 +29,16 @@ _RANKED = "r AS (SELECT {0}, {1} AS v, row_number() OVER (PARTITION BY {0} ORDER
 def crypto_share(spark, d):
     """The share of sealing in all work, in parts per million, by concurrency."""
     rows = _times(spark, d).withColumn("ppm", scalars.parts_per_million(F.col("crypto_ns"), F.col("crypto_ns") + F.col("work_ns")))
-    q = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY ppm)").cast("bigint")
-    by = rows.groupBy("concurrency").agg(F.count("*").alias("samples"), q(0.5).alias("p50_ppm"), q(0.99).alias("p99_ppm"))
+    by = analytics.discrete(rows, {"p50_ppm": ("ppm", 0.5), "p99_ppm": ("ppm", 0.99)}, "concurrency", aggregates=[F.count("*").alias("samples")])
     return by.withColumn("p50_pct", F.round(F.col("p50_ppm") / 10000, 4))
 
 
 @query(f"WITH t AS ({_TIMES}) SELECT profile, count(*) AS samples, round(quantile_disc(verify_ns, 0.5) / greatest(quantile_disc(work_ns, 0.5), 1), 6)::DOUBLE AS ratio, count(*) FILTER (verify_ns <= 3 * work_ns) AS passed FROM t GROUP BY profile")
 def verify_cost(spark, d):
     """Median time of checking over median time of the work itself, and how many checks passed."""
-    q = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})").cast("double")
-    by = _times(spark, d).groupBy("profile").agg(F.count("*").alias("samples"), q("verify_ns").alias("v"), q("work_ns").alias("w"), F.count_if(F.expr("verify_ns <= 3 * work_ns")).alias("passed"))
-    return by.select("profile", "samples", F.round(F.col("v") / F.greatest("w", F.lit(1.0)), 6).alias("ratio"), "passed")
+    plain = [F.count("*").alias("samples"), F.count_if(F.expr("verify_ns <= 3 * work_ns")).alias("passed")]
+    by = analytics.discrete(_times(spark, d), {"v": ("verify_ns", 0.5), "w": ("work_ns", 0.5)}, "profile", aggregates=plain)
+    return by.select("profile", "samples", F.round(F.col("v") / F.greatest("w", F.lit(1)), 6).alias("ratio"), "passed")
 
 
 @query("SELECT round(avg(CASE WHEN a > 0 THEN b / a ELSE 0 END), 6) AS encode_ratio, round(avg(CASE WHEN pairs > 0 THEN b / pairs * 1000 ELSE 0 END), 6) AS per_pair_ms, count(*) AS clips FROM (SELECT ps.p_brand AS clip, sum(CASE WHEN p_size > 25 THEN p_retailprice ELSE 0 END) AS a, sum(p_retailprice) AS b, count(*) FILTER (p_size > 40) AS pairs FROM part ps GROUP BY 1)")
